@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import default_partitions
 
 #: Windows that a task gathers before it settles and sends them.
-FLUSH_WINDOWS = 1_500_000
+FLUSH_WINDOWS = 1_000_000
 #: Bytes of text for which there is one bucket of the exact pass.
 BUCKET_TEXT = 16_000_000
+_ZSTD = zstandard.ZstdCompressor(level=1)
 _SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary"
 _FOUND = "row_key long, at binary"
 
@@ -36,7 +38,7 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _later(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def later(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """True where a smaller document has the same fingerprint."""
     order = np.lexsort((doc, hi, lo))
     new = _starts(lo[order], hi[order])
@@ -46,6 +48,46 @@ def _later(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def settle_later(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Found within the task, and to be sent on: what may be first of all."""
+    found = later(lo, hi, doc)
+    return found, ~found
+
+
+def shared(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True where another document has the same fingerprint: sorted, a neighbour in its run differs in its document."""
+    return _runs(lo, hi, doc)[0]
+
+
+def settle_shared(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Found within the task; sent on are the others, and of each run found the first and the last document's."""
+    found, ends = _runs(lo, hi, doc)
+    return found, ~found | ends
+
+
+def _runs(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((doc, hi, lo))
+    new = _starts(lo[order], hi[order])
+    run = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    end = np.append(begin, len(lo))[1:] - 1
+    ordered = doc[order]
+    several = ordered[begin] != ordered[end]
+    found, ends = np.empty(len(lo), bool), np.zeros(len(lo), bool)
+    found[order] = several[run]
+    ends[order[begin]] = ends[order[end]] = True
+    return found, ends
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Integers in runs, as compressed steps."""
+    return _ZSTD.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+
+
+def _unpacked(packed: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), kind), dtype=kind)
+
+
 def _by_row(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((at, row))
     row, at = row[order], at[order]
@@ -54,25 +96,29 @@ def _by_row(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(row[starts], pa.int64()), pa.array([at[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["row_key", "at"])
 
 
-def later_windows(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]], text_bytes: int) -> DataFrame:
-    """For each row key the first words (binary of unsigned 32-bit integers, one or more rows a key) of its
-    windows that also start in a document with a smaller id."""
+Settle = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Meet = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]], text_bytes: int, settle: Settle = settle_later, decide: Meet = later) -> DataFrame:
+    """For each row key the first words (binary of unsigned 32-bit integers, one or more rows a key, perhaps
+    with repeats) of its windows that `decide` finds among all with their fingerprint. By default: those that
+    also start in a document with a smaller id."""
     buckets = max(default_partitions(source.sparkSession), -(-text_bytes // BUCKET_TEXT))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Found] = []
         size = 0
 
-        def settle() -> Iterator[pa.RecordBatch]:
+        def send_on() -> Iterator[pa.RecordBatch]:
             n = [len(x[2]) for x in held]
             row, doc = np.repeat(np.array([x[0] for x in held], np.int64), n), np.repeat(np.array([x[1] for x in held], np.int64), n)
             lo, hi, at = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-            late = _later(lo, hi, doc)
+            late, early = settle(lo, hi, doc)
             if late.any():
                 done = _by_row(row[late], at[late])
                 k = done.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), *([pa.nulls(k, pa.binary())] * 3), pa.array([x.to_bytes(8, "little", signed=True) for x in done["row_key"].to_pylist()], pa.binary()), done["at"]], names=["bucket", "lo", "hi", "doc", "row", "at"])
-            early = ~late
             row, doc, lo, hi, at = (x[early] for x in (row, doc, lo, hi, at))
             bucket = (hi % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -80,7 +126,7 @@ def later_windows(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[F
             parts = [order[s:e] for s, e in zip(starts, np.append(starts, len(order))[1:], strict=True)]
             if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (lo, hi, doc, row, at))],
+                    [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *(pa.array([pack(x[p]) for p in parts], pa.binary()) for x, pack in ((lo, bytes), (hi, bytes), (doc, _packed), (row, _packed), (at, _packed)))],
                     names=["bucket", "lo", "hi", "doc", "row", "at"],
                 )
             held.clear()
@@ -91,18 +137,21 @@ def later_windows(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[F
                     held.append(found)
                     size += len(found[2])
                     if size >= FLUSH_WINDOWS:
-                        yield from settle()
+                        yield from send_on()
                         size = 0
         if held:
-            yield from settle()
+            yield from send_on()
 
     def meet(table: pa.Table) -> pa.Table:
         def joined(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-        row, at = joined("row", "<i8"), joined("at", "<u4")
+        def steps(name: str, kind: str) -> np.ndarray:
+            return np.concatenate([_unpacked(x, kind) for x in table[name].to_pylist()])
+
+        row, at = steps("row", "<i8"), steps("at", "<u4")
         if table["bucket"][0].as_py() >= 0:
-            late = _later(joined("lo", "<u8"), joined("hi", "<u8"), joined("doc", "<i8"))
+            late = decide(joined("lo", "<u8"), joined("hi", "<u8"), steps("doc", "<i8"))
             row, at = row[late], at[late]
             return pa.Table.from_batches([_by_row(row, at)])
         raise AssertionError("settled windows are not dealt")

@@ -14,16 +14,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .common import MIX_A, default_partitions, mixed
 
 PAGE = 1 << 16
 #: Keys that a task gathers before it sends their counts.
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 4_000_000
 #: Cells that share one coarse count.
 COARSE = 1 << 7
-_SENT = "page int, cells binary, more binary, counts binary"
+_ZSTD = zstandard.ZstdCompressor(level=1)
+_SENT = "n int, page int, cells binary, more binary, counts binary"
 
 
 def bits_for(keys: int, least: int, most: int) -> int:
@@ -37,6 +39,17 @@ def cells(lo: np.ndarray, hi: np.ndarray, bits: int, depth: int) -> list[np.ndar
     return [(lo if r == 0 else hi if r == 1 else mixed(lo ^ MIX_A * np.uint64(r))) >> shift for r in range(depth)]
 
 
+def _packed(offsets: np.ndarray) -> bytes:
+    """Ascending 16-bit offsets as steps: all low bytes, then the high bytes, few of them not zero, compressed."""
+    steps = np.diff(offsets, prepend=np.uint16(0))
+    return (steps & 0xFF).astype(np.uint8).tobytes() + _ZSTD.compress((steps >> 8).astype(np.uint8).tobytes())
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    high = np.frombuffer(zstandard.decompress(packed[n:]), np.uint8).astype(np.int64)
+    return np.cumsum(np.frombuffer(packed[:n], np.uint8) + (high << 8))
+
+
 def _pages(gathered: list[np.ndarray], bits: int, row: int) -> Iterator[dict]:
     found, counts = np.unique(np.concatenate(gathered), return_counts=True)
     page = (found >> np.uint64(16)).astype(np.int64)
@@ -45,8 +58,9 @@ def _pages(gathered: list[np.ndarray], bits: int, row: int) -> Iterator[dict]:
     for s, e in zip(starts, np.r_[starts[1:], len(page)], strict=True):
         many = counts[s:e] > 1
         yield {
+            "n": int(e - s),
             "page": int(page[s]) + (row << max(0, bits - 16)),
-            "cells": offset[s:e].tobytes(),
+            "cells": _packed(offset[s:e]),
             "more": offset[s:e][many].tobytes(),
             "counts": counts[s:e][many].astype("<u4").tobytes(),
         }
@@ -83,7 +97,7 @@ def merged(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np
         def flush() -> Iterator[pa.RecordBatch]:
             for r in range(depth):
                 if gathered[r]:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(list(_pages(gathered[r], bits, r))).astype({"page": "int32"}), preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(list(_pages(gathered[r], bits, r))).astype({"n": "int32", "page": "int32"}), preserve_index=False)
                     gathered[r].clear()
 
         for batch in batches:
@@ -101,8 +115,8 @@ def merged(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
-        for one in table.select(["cells", "more", "counts"]).to_pylist():
-            total[np.frombuffer(one["cells"], "<u2")] += 1
+        for one in table.select(["n", "cells", "more", "counts"]).to_pylist():
+            total[_unpacked(one["cells"], one["n"])] += 1
             total[np.frombuffer(one["more"], "<u2")] += np.frombuffer(one["counts"], "<u4").astype(np.int64) - 1
         bit = np.packbits(total > 1, bitorder="little").tobytes()
         coarse = total.reshape(-1, COARSE).sum(axis=1)

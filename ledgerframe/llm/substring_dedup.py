@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .common import Words, covered, text_size, windows
-from .repeats import Found, gathered, later_windows
+from .repeats import Found, gathered, meeting
 
 #: Bounds of the bits of a sketch row. Beyond the upper one (two rows of 128 MB, whatever the input) more
 #: windows pass to the exact pass; the result stays the same.
@@ -54,23 +54,25 @@ def repeated_windows(docs: DataFrame, window: int = 13, doc_id: str = "doc_id",
             at = np.flatnonzero(estimate.repeated(lo, hi))
             yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4")
 
-    return gathered(later_windows(rows, find, size))
+    return gathered(meeting(rows, find, size))
 
 
 def with_removals(docs: DataFrame, late: DataFrame, window: int, doc_id: str, text: str, added: str, finish) -> DataFrame:
     """Join the windows to their texts and call finish(words or None, removed mask) -> values of the added columns."""
     kept = [c for c in docs.columns if c not in {x.split()[0] for x in added.split(", ")}]
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"), F.col(f"`{text}`").cast("binary").alias("body"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"))
     both = own.join(late.hint("shuffle_hash"), "row_key", "left").drop("row_key")
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in kept)).schema)
     names = [x.split()[0] for x in added.split(", ")]
+    place = kept.index(text)  # the text travels once, within `own`
     kinds = {"long": pa.int64(), "string": pa.string()}
     types = [kinds[x.split()[1]] for x in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for body, late_at in zip(batch.column("body"), batch.column("late_at"), strict=True):
+            bodies = batch.column("own").field(place).cast(pa.binary())
+            for body, late_at in zip(bodies, batch.column("late_at"), strict=True):
                 words = (body.as_py() or b"").split()
                 starts = np.frombuffer(b"".join(late_at.as_py() or ()), "<u4").astype(np.int64)
                 rows.append(finish(body.as_py(), words, covered(starts, window, len(words))))
