@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 #: Odd 64-bit multipliers for rolling fingerprints.
 BASE_LO, BASE_HI = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-#: Entries of a word cache after which it starts anew, between documents.
-CACHE_ENTRIES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,29 +53,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Words(dict):
-    """Words (bytes) to dense codes, with a 128-bit hash of each; hashes depend on the word alone."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self._lo, self._hi, self._size = np.empty(1024, np.uint64), np.empty(1024, np.uint64), 0
-
-    def __missing__(self, word: bytes) -> int:
-        code = self._size
-        if code == len(self._lo):
-            self._lo, self._hi = np.resize(self._lo, 2 * code), np.resize(self._hi, 2 * code)
-        value = xxhash.xxh3_128_intdigest(word)
-        self._lo[code], self._hi[code] = value & 0xFFFFFFFFFFFFFFFF, value >> 64
-        self._size += 1
-        self[word] = code
-        return code
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self._size > CACHE_ENTRIES:
-            self.clear()
-            self._size = 0
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self._lo[codes], self._hi[codes]
+#: Bytes of text that are hashed at once, and bytes of a word beyond which it is hashed on its own.
+CHUNK_BYTES, LONG_WORD = 1 << 20, 64
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_RANDOM = np.random.default_rng(20_240_607)
+_BYTES = _RANDOM.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = _RANDOM.integers(0, 1 << 63, (2, LONG_WORD), np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+
+
+def _hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and two independent 64-bit hashes of the words of data: sums over its bytes of a random number of the
+    byte times one of its place (multilinear, so any two words collide with the chance of random ones)."""
+    white = np.r_[True, _WHITE[data], True]
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    inside = data[~white[1:-1]]
+    long = np.flatnonzero(lengths > LONG_WORD)
+    if len(long):
+        place = np.minimum(place, LONG_WORD - 1)
+    out = []
+    for k in range(2):
+        values = (_BYTES[k][_LOWER] if lower else _BYTES[k])[inside]
+        values *= _PLACES[k][place]
+        out.append(np.add.reduceat(values, first))
+    for i in long.tolist():
+        word = data[starts[i] : starts[i] + lengths[i]].tobytes()
+        value = xxhash.xxh3_128_intdigest(word.lower() if lower else word)
+        out[0][i], out[1][i] = value & 0xFFFFFFFFFFFFFFFF, value >> 64
+    return starts, mixed(out[0]), mixed(out[1])
+
+
+def hashed(bodies: Iterable[bytes], lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the 128-bit hashes (two arrays) of its words, runs of bytes other than ASCII white space, with
+    ASCII letters lower-cased if asked for. Short texts are hashed together."""
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts, lo, hi = _hash_words(np.frombuffer(b" ".join(held), np.uint8), lower)
+        bounds = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in held])).tolist()
+        yield from ((lo[s:e], hi[s:e]) for s, e in zip(bounds, bounds[1:], strict=False))
+
+    for body in bodies:
+        held.append(body)
+        size += len(body)
+        if size >= CHUNK_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def windows(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,3 +131,13 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + length, n), -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def rolling_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every run of `width` values."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        reach += step
+    return values

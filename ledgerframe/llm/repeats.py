@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_partitions
+from .common import mixed
 
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
@@ -26,8 +26,10 @@ _ZSTD = zstandard.ZstdCompressor(level=1)
 _SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary"
 _FOUND = "row_key long, at binary"
 
-#: What a finder yields for a document: row key, document id, fingerprints and their first words.
-Found = tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
+#: What a finder yields for a document: row key, document id, fingerprints (128 bits, of which 96 are compared),
+#: their first words, and a hash that is the same for equal windows and mostly for neighbouring ones: windows of
+#: one hash meet in one place, so what goes back to a document are few rows.
+Found = tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
     """For each row key the first words (binary of unsigned 32-bit integers, one or more rows a key, perhaps
     with repeats) of its windows that `decide` finds among all with their fingerprint. By default: those that
     also start in a document with a smaller id."""
-    buckets = max(default_partitions(source.sparkSession), -(-text_bytes // BUCKET_TEXT))
+    buckets = max(1, -(-text_bytes // BUCKET_TEXT))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Found] = []
@@ -113,20 +115,21 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
         def send_on() -> Iterator[pa.RecordBatch]:
             n = [len(x[2]) for x in held]
             row, doc = np.repeat(np.array([x[0] for x in held], np.int64), n), np.repeat(np.array([x[1] for x in held], np.int64), n)
-            lo, hi, at = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+            lo, hi, at, near = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4, 5))
+            hi = (hi >> np.uint64(32)).astype("<u4")
             late, early = settle(lo, hi, doc)
             if late.any():
                 done = _by_row(row[late], at[late])
                 k = done.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), *([pa.nulls(k, pa.binary())] * 3), pa.array([x.to_bytes(8, "little", signed=True) for x in done["row_key"].to_pylist()], pa.binary()), done["at"]], names=["bucket", "lo", "hi", "doc", "row", "at"])
-            row, doc, lo, hi, at = (x[early] for x in (row, doc, lo, hi, at))
-            bucket = (hi % np.uint64(buckets)).astype(np.int64)
+            row, doc, lo, hi, at, near = (x[early] for x in (row, doc, lo, hi, at, near))
+            bucket = (mixed(near) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             starts = np.flatnonzero(_starts(bucket[order]))
             parts = [order[s:e] for s, e in zip(starts, np.append(starts, len(order))[1:], strict=True)]
             if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *(pa.array([pack(x[p]) for p in parts], pa.binary()) for x, pack in ((lo, bytes), (hi, bytes), (doc, _packed), (row, _packed), (at, _packed)))],
+                    [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *(pa.array([pack(x[p]) for p in parts], pa.binary()) for x, pack in ((lo, np.ndarray.tobytes), (hi, np.ndarray.tobytes), (doc, _packed), (row, _packed), (at, _packed)))],
                     names=["bucket", "lo", "hi", "doc", "row", "at"],
                 )
             held.clear()
@@ -151,7 +154,7 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
 
         row, at = steps("row", "<i8"), steps("at", "<u4")
         if table["bucket"][0].as_py() >= 0:
-            late = decide(joined("lo", "<u8"), joined("hi", "<u8"), steps("doc", "<i8"))
+            late = decide(joined("lo", "<u8"), joined("hi", "<u4"), steps("doc", "<i8"))
             row, at = row[late], at[late]
             return pa.Table.from_batches([_by_row(row, at)])
         raise AssertionError("settled windows are not dealt")

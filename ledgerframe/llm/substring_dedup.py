@@ -2,7 +2,7 @@
 
 A count-min sketch of all windows, merged from the sketches of the partitions, overestimates how often
 each window occurs. A second pass over the texts groups only the windows estimated to be repeated, by a
-128-bit fingerprint, so none is lost: an estimate is never below the true count.
+96-bit fingerprint, so none is lost: an estimate is never below the true count.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Words, covered, text_size, windows
+from .common import covered, hashed, rolling_least, text_size, windows
 from .repeats import Found, gathered, meeting
 
 #: Bounds of the bits of a sketch row. Beyond the upper one (two rows of 128 MB, whatever the input) more
 #: windows pass to the exact pass; the result stays the same.
 LEAST_BITS, MOST_BITS, DEPTH = 16, 30, 2
 
+#: Windows meet by the least hash of their runs of so many words.
+NEAR = 4
+
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The columns that the passes read: a key of the row's content, the id and the text's bytes."""
@@ -36,23 +39,26 @@ def repeated_windows(docs: DataFrame, window: int = 13, doc_id: str = "doc_id",
     Null ids and null texts take no part. Rows with the same id do not count against each other."""
     rows = keyed(docs, doc_id, text).filter("doc is not null and body is not null")
     _, size = text_size(rows, "body")
+    if window < NEAR:
+        raise ValueError(f"a window has {NEAR} words at least")
     bits = sketch.bits_for(size // 2, LEAST_BITS, MOST_BITS)
 
     def count(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        known = Words()
-        for body in batch.column("body"):
-            lo, hi = windows(*known.hashes(body.as_py().split()), window)
+        for words in hashed(body.as_py() for body in batch.column("body")):
+            lo, hi = windows(*words, window)
             if len(lo):
                 yield lo, hi
 
     shared = docs.sparkSession.sparkContext.broadcast(sketch.merged(rows.select("body"), count, bits, DEPTH))
 
     def find(batch: pa.RecordBatch) -> Iterator[Found]:
-        known, estimate = Words(), shared.value
-        for key, doc, body in zip(*(batch.column(c) for c in ("row_key", "doc", "body")), strict=True):
-            lo, hi = windows(*known.hashes(body.as_py().split()), window)
+        estimate = shared.value
+        for key, doc, words in zip(batch.column("row_key"), batch.column("doc"), hashed(b.as_py() for b in batch.column("body")), strict=True):
+            lo, hi = windows(*words, window)
             at = np.flatnonzero(estimate.repeated(lo, hi))
-            yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4")
+            if len(at):
+                near = rolling_least(windows(*words, NEAR)[0], window - NEAR + 1)
+                yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4"), near[at]
 
     return gathered(meeting(rows, find, size))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, text_size, windows
+from .common import hashed, mixed, text_size, windows
 from .repeats import Found, gathered, meeting, settle_shared, shared
 from .substring_dedup import keyed, with_removals
 
@@ -49,27 +49,25 @@ def repeated_runs(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", tex
     core = length // 2
 
     def suffixes(batch: pa.RecordBatch) -> Iterator[Found]:
-        known = Words()
-        for key, doc, body in zip(*(batch.column(c) for c in ("row_key", "doc", "body")), strict=True):
-            words = body.as_py().split()
-            if len(words) >= length:
-                lo, hi = windows(*known.hashes(words), core)
+        for key, doc, words in zip(batch.column("row_key"), batch.column("doc"), hashed(b.as_py() for b in batch.column("body")), strict=True):
+            if len(words[0]) >= length:
+                lo, hi = windows(*words, core)
                 at = np.unique(selected(lo, length))
-                yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4")
+                yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4"), lo[at]
 
     anchors = gathered(meeting(rows, suffixes, size // 8, settle_shared, shared)).withColumnRenamed("late_at", "anchors")
     anchored = rows.join(anchors.hint("shuffle_hash"), "row_key")
 
     def extend(batch: pa.RecordBatch) -> Iterator[Found]:
-        known = Words()
-        for key, doc, body, anchors in zip(*(batch.column(c) for c in ("row_key", "doc", "body", "anchors")), strict=True):
-            lo, hi = known.hashes(body.as_py().split())
+        for key, doc, anchors, (lo, hi) in zip(*(batch.column(c) for c in ("row_key", "doc", "anchors")), hashed(b.as_py() for b in batch.column("body")), strict=True):
             is_anchor = np.zeros(len(lo), bool)
             is_anchor[np.frombuffer(b"".join(anchors.as_py()), "<u4")] = True
-            at = np.flatnonzero(is_anchor[selected(windows(lo, hi, core)[0], length)])
+            cores = windows(lo, hi, core)[0]
+            kept = selected(cores, length)
+            at = np.flatnonzero(is_anchor[kept])
             # every extent of an anchor: from length - core words to its left, to as many to its right
             whole_lo, whole_hi = windows(lo, hi, length)
-            yield key.as_py(), doc.as_py(), whole_lo[at], whole_hi[at], at.astype("<u4")
+            yield key.as_py(), doc.as_py(), whole_lo[at], whole_hi[at], at.astype("<u4"), cores[kept[at]]
 
     return gathered(meeting(anchored, extend, size // 4))
 
