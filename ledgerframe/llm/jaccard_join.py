@@ -16,7 +16,7 @@ the hub with all else, so that no link between components is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import Words, checkpointed, mixed, text_size, windows
+from .common import checkpointed, hashed, mixed, text_size, windows
 from .components import roots
 
 LEAST_BITS, MOST_BITS = 16, 29
@@ -34,15 +34,15 @@ MOST_MATCHES, VERIFY_COST = 4, 16.0
 BLOCK_NGRAMS, BLOCK_DOCS = 1_500_000, 2_048
 #: n-grams in this many documents of a block are counted by matrix products, rarer ones pair by pair.
 DENSE, CHUNK = 24, 4_096
+#: Cells of a block whose n-grams are all counted by one product.
+SMALL = 2_000_000
 _SALTS = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 
 
-def ngrams(body: bytes, k: int, known: Words) -> np.ndarray:
-    """Distinct k-word n-grams (64-bit fingerprints, sorted) of a text, ASCII letters lower-cased."""
-    words = body.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(*known.hashes(words), min(k, len(words)))[0])
+def ngrams(bodies: Iterable[bytes], k: int) -> Iterator[np.ndarray]:
+    """Distinct k-word n-grams (64-bit fingerprints, sorted) of each text, ASCII letters lower-cased."""
+    for lo, hi in hashed(bodies, lower=True):
+        yield np.unique(windows(lo, hi, min(k, len(lo)))[0]) if len(lo) else np.empty(0, np.uint64)
 
 
 def _second(grams: np.ndarray) -> np.ndarray:
@@ -89,13 +89,13 @@ def _shared(rows: np.ndarray, grams: np.ndarray, m: int) -> np.ndarray:
     begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, np.int64)
     length = np.append(begin, len(grams))[1:] - begin
     out = np.zeros((m, m), np.float32)
-    heavy = np.flatnonzero(length > DENSE)
+    heavy = np.flatnonzero(length > (DENSE if m * len(length) > SMALL else 1))
     for s in range(0, len(heavy), CHUNK):
         part = heavy[s : s + CHUNK]
         matrix = np.zeros((m, len(part)), np.float32)
         matrix[rows[np.concatenate([np.arange(begin[t], begin[t] + length[t]) for t in part])], np.repeat(np.arange(len(part)), length[part])] = 1
         out += matrix @ matrix.T
-    for size in range(2, DENSE + 1):
+    for size in np.unique(length[(length > 1) & (length <= DENSE)]).tolist() if m * len(length) > SMALL else ():
         some = begin[length == size]
         for i in range(size):
             for j in range(i + 1, size):
@@ -153,9 +153,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     bits = sketch.bits_for(size // 4, LEAST_BITS, MOST_BITS)
 
     def count(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        known = Words()
-        for body in batch.column("body"):
-            grams = ngrams(body.as_py(), k, known)
+        for grams in ngrams((b.as_py() for b in batch.column("body")), k):
             if len(grams):
                 yield grams, _second(grams)
 
@@ -164,11 +162,11 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     shared = spark.sparkContext.broadcast(counted)
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, known = shared.value, Words()
+        counted = shared.value
         for batch in batches:
             n, matches, lo, hi, sent = [], [], [], [], []
-            for doc, body in zip(batch.column("doc"), batch.column("body"), strict=True):
-                grams, levels = _ordered(ngrams(body.as_py() or b"", k, known), counted)
+            for found in ngrams((b.as_py() or b"" for b in batch.column("body")), k):
+                grams, levels = _ordered(found, counted)
                 n.append(len(grams))
                 if not len(grams):
                     matches.append(0), lo.append(0), hi.append(0), sent.append(np.empty(0, np.int64))
@@ -198,11 +196,11 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     placed = members.join(large, "hub", "left").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("block"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, known = shared.value, Words()
+        counted = shared.value
         for batch in batches:
             matches, out = [], []
-            for body in batch.column("body"):
-                grams, levels = _ordered(ngrams(body.as_py(), k, known), counted)
+            for found in ngrams((b.as_py() for b in batch.column("body")), k):
+                grams, levels = _ordered(found, counted)
                 matches.append(_matches(levels, _least(len(grams), percent), background) if len(grams) else 0)
                 out.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(matches, pa.int32()), pa.array(out, pa.binary())], names=["doc", "matches", "grams"])
