@@ -1,5 +1,74 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline over documents: each stage works on all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerframe.llm import bpe, decontam, jaccard_join, quality, suffix_dedup
+from ledgerframe.llm.common import shared_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: No SQL: the classifier of the first stage is trained, and the vocabulary of the last is a file.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.judged(docs, table(spark, sf_dir, "labels")).filter("keep").select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word n-grams with a Jaccard similarity of 0.8 the smallest id stays."""
+    return jaccard_join.kept(docs, k=5, percent=80).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has are cut out."""
+    cut = suffix_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids (little-endian unsigned 32-bit integers), and digests of these and of the
+    text decoded from them."""
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(docs.select(*COLUMNS), vocabulary, pattern)
+    decoded = bpe.decode(encoded, vocabulary, pattern)
+    n_tokens = F.expr("octet_length(bpe_ids) div 4")
+    return decoded.select(*COLUMNS, n_tokens.alias("n_tokens"), "bpe_ids", F.sha2("bpe_ids", 256).alias("ids_sha256"), F.sha2(F.col("bpe_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_benchmark),
+    ("byte-level BPE", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written to the shared folder and read again; the last one's rows without ids."""
+    shared_dir(spark)
+    top = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4()}")
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        docs = spark.read.parquet(f"{top}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir).drop("bpe_ids", "text")

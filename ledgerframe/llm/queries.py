@@ -5,13 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, substring_dedup, suffix_dedup
+from . import ann, bpe, chat, decontam, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.judged(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolved(warc.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n")
+    return found.select("record_id", "url", "response_id", "status", headers.alias("headers"), "payload")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +43,14 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,5 +59,38 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_byte_bpe, op6_suffix_array_dedup, op9_jaccard_join, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_quality_classifier, op3_nearest_neighbours, op4_warc_revisits, op5_byte_bpe,
+        op6_suffix_array_dedup, op7_benchmark_decontamination, op8_toxicity, op9_jaccard_join, op10_substring_dedup,
+    )
+}
+
+_CHAT = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, turn // 256 AS chunk, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece,
+      string_agg(md5(role || chr(0) || text), '') OVER w AS prefix FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_logged, any_value(n) AS n FROM p WHERE place = n GROUP BY prefix),
+kept AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE place < n))
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY chunk) - 1)::INTEGER AS part, n AS n_turns, n_logged, text FROM (
+  SELECT p.conv_id, chunk, kept.n, n_logged, string_agg(piece, '' ORDER BY place) AS text FROM p JOIN kept ON p.conv_id = kept.conv_id GROUP BY ALL)"""
+_CANONICAL = r"""CASE WHEN regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
+  regexp_replace(lower(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), CASE WHEN lower(b) LIKE 'https:%' THEN ':443$' ELSE ':80$' END, '')
+  || CASE WHEN regexp_replace(r, '\?.*$', '') = '' THEN '/' ELSE regexp_replace(r, '\?.*$', '') END
+  || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_sort(q), '&') END ELSE b END"""
+_WARC = rf"""
+WITH raw AS (SELECT 2 * page_id AS id, url, 100 * page_id AS ts, 1 AS f, page_id AS p, md5(html) AS h FROM pages
+  UNION ALL SELECT 2 * page_id + 1, regexp_replace(url, '^https?://', 'HTTP://') || '#again', CASE WHEN page_id % 13 = 0 THEN 100 * page_id - 1 ELSE 100 * page_id + 50 END AS ts, 0, page_id, md5(html) FROM pages WHERE page_id % 3 = 0),
+bare AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM raw),
+rest AS (SELECT *, regexp_replace(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS r FROM bare),
+parts AS (SELECT *, list_filter(string_split(regexp_extract(r, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')) AS q FROM rest),
+c AS (SELECT id, {_CANONICAL} AS u, ts, f, p, h FROM parts),
+one AS (SELECT v.*, r.id AS rid, r.p AS rp, r.h AS rh FROM (SELECT * FROM c WHERE f = 0) v ASOF LEFT JOIN (SELECT * FROM c WHERE f = 1) r ON v.u = r.u AND v.ts > r.ts),
+s AS (SELECT *, CASE WHEN rid IS NULL THEN 'unresolved' WHEN p % 11 = 0 THEN 'unverified' WHEN p % 7 = 0 THEN CASE WHEN rp = p THEN 'resolved' ELSE 'mismatch' END
+  WHEN p % 5 = 0 THEN 'mismatch' WHEN h = rh THEN 'resolved' ELSE 'mismatch' END AS status FROM one)
+SELECT id AS record_id, u AS url, rid AS response_id, status, CASE WHEN status = 'resolved' THEN
+    'cache-control: max-age=' || CASE WHEN p % 7 = 0 THEN '60' ELSE '90' END || chr(10) || 'content-type: text/html' || chr(10) || 'date: later ' || p || chr(10)
+    || 'etag: ' || CASE WHEN p % 7 = 0 THEN '' ELSE 'W/' END || '"' || rh || '"' || chr(10) || 'last-modified: day ' || rp END AS headers,
+  CASE WHEN status = 'resolved' THEN rh END AS payload FROM s"""
+ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op4_warc_revisits": _WARC}
