@@ -19,7 +19,7 @@ from .linear import fit_sparse, sigmoid
 
 #: Labelled rows that the fit uses at most: those of least hash of their ids.
 FIT_ROWS = 20_000
-BITS, SIZES, FEATURES, SMOOTHING, PENALTY = 20, (3, 4, 5), 2_048, 1.0, 1e-4
+BITS, SIZES, FEATURES, SMOOTHING, PENALTY = 20, (3, 4, 5), 1_024, 1.0, 1e-4
 _SLICES = 64
 _BASE, _ODD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
