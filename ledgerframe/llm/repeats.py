@@ -21,7 +21,7 @@ from .common import mixed
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
 #: Bytes of text for which there is one bucket of the exact pass.
-BUCKET_TEXT = 16_000_000
+BUCKET_TEXT = 48_000_000
 _ZSTD = zstandard.ZstdCompressor(level=1)
 _SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary"
 _FOUND = "row_key long, at binary"

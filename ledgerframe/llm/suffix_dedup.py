@@ -55,7 +55,7 @@ def repeated_runs(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", tex
                 at = np.unique(selected(lo, length))
                 yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4"), lo[at]
 
-    anchors = gathered(meeting(rows, suffixes, size // 8, settle_shared, shared)).withColumnRenamed("late_at", "anchors")
+    anchors = gathered(meeting(rows, suffixes, size // 2, settle_shared, shared)).withColumnRenamed("late_at", "anchors")
     anchored = rows.join(anchors.hint("shuffle_hash"), "row_key")
 
     def extend(batch: pa.RecordBatch) -> Iterator[Found]:
@@ -69,7 +69,7 @@ def repeated_runs(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", tex
             whole_lo, whole_hi = windows(lo, hi, length)
             yield key.as_py(), doc.as_py(), whole_lo[at], whole_hi[at], at.astype("<u4"), cores[kept[at]]
 
-    return gathered(meeting(anchored, extend, size // 4))
+    return gathered(meeting(anchored, extend, size))
 
 
 def spans(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
