@@ -64,11 +64,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written to the shared folder and read again; the last one's rows without ids."""
+    """Apply the stages to documents, each written to the shared folder and read again; the last one's rows."""
     shared_dir(spark)
     top = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4()}")
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir).drop("bpe_ids", "text")
+    return STAGES[-1][1](spark, docs, sf_dir)

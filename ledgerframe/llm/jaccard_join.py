@@ -217,7 +217,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
         links = links.unionByName(checkpointed(_across(members, large, found, sets, percent)))
         found = roots(links.unionByName(same))
     named = nodes.join(classes, ["lo", "hi", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc").alias("component_id"))
+    return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep", "doc")).alias("component_id"))
 
 
 def _across(members: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
