@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import bpe, decontam, jaccard_join, quality, suffix_dedup
-from ledgerframe.llm.common import shared_dir, table
+from ledgerframe.llm.common import remove, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -71,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            remove(spark, f"{top}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

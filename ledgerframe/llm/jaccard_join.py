@@ -31,9 +31,9 @@ LEAST_BITS, MOST_BITS = 16, 29
 #: Longest l that a document may choose, and the cost of a verification in reads of a posting.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 #: n-grams and documents that a block holds at most (a single document may have more n-grams).
-BLOCK_NGRAMS, BLOCK_DOCS = 1_500_000, 2_048
+BLOCK_NGRAMS, BLOCK_DOCS = 1_000_000, 2_048
 #: n-grams in this many documents of a block are counted by matrix products, rarer ones pair by pair.
-DENSE, CHUNK = 24, 4_096
+DENSE, CHUNK, CELLS = 24, 2_048, 1_000_000
 #: Cells of a block whose n-grams are all counted by one product.
 SMALL = 2_000_000
 _SALTS = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
@@ -83,19 +83,29 @@ def _arrow_lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _shared(rows: np.ndarray, grams: np.ndarray, m: int) -> np.ndarray:
-    """How many n-grams each pair of the m documents shares; rows and grams are the postings."""
-    order = np.lexsort((rows, grams))
-    rows, grams = rows[order], grams[order]
+    """How many n-grams each pair of the m documents shares (above the diagonal). rows, ascending, and grams are the
+    postings; the matrices of a product hold at most CELLS postings and CHUNK n-grams at once."""
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
     begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, np.int64)
     length = np.append(begin, len(grams))[1:] - begin
+    rows = rows[order].astype(np.int32)
+    del order, grams
+    begin, length = begin[length > 1], length[length > 1]
     out = np.zeros((m, m), np.float32)
-    heavy = np.flatnonzero(length > (DENSE if m * len(length) > SMALL else 1))
-    for s in range(0, len(heavy), CHUNK):
-        part = heavy[s : s + CHUNK]
-        matrix = np.zeros((m, len(part)), np.float32)
-        matrix[rows[np.concatenate([np.arange(begin[t], begin[t] + length[t]) for t in part])], np.repeat(np.arange(len(part)), length[part])] = 1
+    small = m * len(begin) <= SMALL
+    heavy = np.flatnonzero(length > (1 if small else DENSE))
+    s = 0
+    while s < len(heavy):
+        some = heavy[s : s + CHUNK]
+        some = some[: max(1, int(np.searchsorted(np.cumsum(length[some]), CELLS)))]
+        n = length[some]
+        at = np.arange(n.sum()) + np.repeat(begin[some] - np.cumsum(n) + n, n)
+        matrix = np.zeros((m, len(some)), np.float32)
+        matrix[rows[at], np.repeat(np.arange(len(some), dtype=np.int32), n)] = 1
         out += matrix @ matrix.T
-    for size in np.unique(length[(length > 1) & (length <= DENSE)]).tolist() if m * len(length) > SMALL else ():
+        s += len(some)
+    for size in () if small else np.unique(length[length <= DENSE]).tolist():
         some = begin[length == size]
         for i in range(size):
             for j in range(i + 1, size):
@@ -123,17 +133,18 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     docs, matches, sets = docs[order], matches[order], [sets[i] for i in order]
     n, m = np.array([len(s) for s in sets]), len(sets)
     prefix = n - _least(n, percent) + matches
-    seen = _shared(np.repeat(np.arange(m), prefix), np.concatenate([s[:p] for s, p in zip(sets, prefix, strict=True)]), m)
+    seen = _shared(np.repeat(np.arange(m, dtype=np.int32), prefix), np.concatenate([s[:p] for s, p in zip(sets, prefix, strict=True)]), m)
     left, right = np.nonzero(seen)
     enough = seen[left, right] >= np.minimum(matches[left], matches[right])
     enough &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
     left, right = left[enough], right[enough]
+    del seen, enough
     if not len(left):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     some = np.unique(np.r_[left, right])
     place = np.zeros(m, np.int64)
     place[some] = np.arange(len(some))
-    common = _shared(np.repeat(np.arange(len(some)), n[some]), np.concatenate([sets[i] for i in some]), len(some))[place[left], place[right]].astype(np.int64)
+    common = _shared(np.repeat(np.arange(len(some), dtype=np.int32), n[some]), np.concatenate([sets[i] for i in some]), len(some))[place[left], place[right]].astype(np.int64)
     linked = 100 * common >= percent * (n[left] + n[right] - common)
     label = _forest(left[linked], right[linked], m)
     child = np.flatnonzero((label != np.arange(m)) & (docs[label] != docs))

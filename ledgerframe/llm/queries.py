@@ -93,4 +93,33 @@ SELECT id AS record_id, u AS url, rid AS response_id, status, CASE WHEN status =
     'cache-control: max-age=' || CASE WHEN p % 7 = 0 THEN '60' ELSE '90' END || chr(10) || 'content-type: text/html' || chr(10) || 'date: later ' || p || chr(10)
     || 'etag: ' || CASE WHEN p % 7 = 0 THEN '' ELSE 'W/' END || '"' || rh || '"' || chr(10) || 'last-modified: day ' || rp END AS headers,
   CASE WHEN status = 'resolved' THEN rh END AS payload FROM s"""
-ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op4_warc_revisits": _WARC}
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _late(n: int) -> str:
+    """Windows of n words (i from 1) that a smaller doc_id also has."""
+    return f"""{_WORDS},
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w)),
+f AS (SELECT t, min(doc_id) AS m FROM v GROUP BY t),
+l AS (SELECT DISTINCT v.doc_id, v.i FROM v JOIN f ON v.t = f.t WHERE v.doc_id > f.m)"""
+
+
+_SUFFIX = f"""WITH {_late(50)},
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM l),
+q AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s)
+SELECT doc_id, (min(i) - 1)::BIGINT AS first_word, (max(i) - min(i) + 50)::BIGINT AS n_words FROM q GROUP BY doc_id, g"""
+_SUBSTRING = f"""WITH {_late(13)},
+g AS (SELECT DISTINCT doc_id, i + k AS p FROM l, (SELECT unnest(range(13)) AS k)),
+u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.p) FILTER (g.p IS NULL) AS kept, count(*) FILTER (g.p IS NOT NULL) AS gone FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.p = g.p GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
+_JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node)
+SELECT r.node AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node"""
+ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op4_warc_revisits": _WARC, "op6_suffix_array_dedup": _SUFFIX, "op9_jaccard_join": _JACCARD, "op10_substring_dedup": _SUBSTRING}
