@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterator, Sequence
 from pathlib import Path, PurePosixPath
@@ -68,6 +69,11 @@ def documents(spark: SparkSession, root: str | Path, suffix: str = ".pdf", *, re
     return found.select((F.row_number().over(order) - 1).alias("seq"), F.col("path").alias("input_path"), paths.with_suffix(F.col("path"), ".md").alias("output_path"))
 
 
+def _literal(path: str) -> str:
+    """A path whose special characters stand for themselves."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
 def contents(spark: SparkSession, root: str | Path, relative: Sequence[str]) -> DataFrame:
     """path and content of the named files, read by the executors; hidden names are read too."""
     if not relative:
@@ -77,9 +83,9 @@ def contents(spark: SparkSession, root: str | Path, relative: Sequence[str]) ->
     base = Path(root).resolve().as_posix()
     out = spark.createDataFrame([(p, Path(base, p).read_bytes()) for p in hidden], "path string, content binary").withColumn("bytes", F.octet_length("content").cast("long"))
     if plain:
-        read = spark.read.format("binaryFile").load([f"{base}/{p}".replace("%", "%25") if "%" in p else f"{base}/{p}" for p in plain])
-        name = F.expr("url_decode(replace(path, '+', '%2B'))")
-        out = read.select(F.regexp_replace(name, r"^file:/*", "/").alias("full"), "content", F.col("length").alias("bytes")).select(F.expr(f"substring(full, {len(base) + 2})").alias("path"), "content", "bytes").unionByName(out)
+        read = spark.read.format("binaryFile").load([f"{_literal(base)}/{_literal(p)}" for p in plain])
+        full = F.regexp_replace("path", r"^file:/*", "/")
+        out = read.select(F.substring(full, len(base) + 2, 1 << 20).alias("path"), "content", F.col("length").alias("bytes")).unionByName(out)
     return out
 
 

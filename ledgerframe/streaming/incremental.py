@@ -17,7 +17,8 @@ def converted(spark: SparkSession, folder: str, converter: Callable[[bytes], str
     """A streaming DataFrame: each new file converted, normalised and judged, failures as data."""
     files = spark.readStream.format("binaryFile").schema(_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     rows = convert.converted(files.select(F.col("path").alias("input_path"), "content"), lambda: converter)
-    return quality.judged(convert.normalised(rows), "text")
+    judged = quality.judged(convert.normalised(rows).withColumnRenamed("status", "conversion"), "text")
+    return judged.withColumnRenamed("status", "quality").withColumnRenamed("conversion", "status")
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str, done: Callable[[], DataFrame] | None = None) -> StreamingQuery:

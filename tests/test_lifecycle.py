@@ -55,7 +55,7 @@ def test_validate_and_its_issues(package):
     assert run("validate", "--package", out, "--manifest", man, "--report", package / "v.json") == 0
     assert json.loads((package / "v.json").read_text())["summary"] == {"checked": 5, "passed": 5, "failed": 0, "warnings": 1}
     assert run("validate", "--package", out, "--manifest", man, "--strict") == 1
-    (out / "sub/c.md").write_text("other")
+    (out / "sub/c.md").write_text("other\n")
     (out / "a b%.metadata.json").write_text("{")
     (out / "sub/lost.metadata.json").write_text('{"schema_version": 2}')
     (out / "sub/bad.metadata.json").write_bytes((out / "sub/c.metadata.json").read_bytes())
@@ -118,7 +118,7 @@ def test_repair_backup_cleanup_and_audit(package):
     assert R.STATUS.parse(status.read_bytes())["classification"] == "paired"
     assert run("intent-status", "--receipt", package / "receipt.json", "--repair", package / "execution.json") == 0
     assert run("intent-status", "--receipt", package / "receipt.json") == 1
-    assert run("intent-status", "--receipt", package / "receipt.json", "--cleanup", done) == 1
+    assert run("intent-status", "--receipt", package / "receipt.json", "--cleanup", done) == 2  # no receipt in it, and another kind
     inputs = [x for k in ("manifest", "plan", "approval", "preflight") for x in ("--inputs", args[k])]
     assert run("intent-status", "--receipt", package / "receipt.json", *inputs, "--package", out) == 1
     ctx = package / "context.json"
