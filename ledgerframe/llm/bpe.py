@@ -19,6 +19,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Pre-tokens kept with their ids in each worker; the cache then starts anew.
 CACHE_ENTRIES = 300_000
 #: Pre-tokens of more characters are encoded without being kept.
@@ -162,4 +164,4 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, column: str, what: s
                 new = [pa.array(n, pa.int64()), pa.array(first), pa.array(second)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *dict(added)])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Odd 64-bit multipliers for rolling fingerprints.
 BASE_LO, BASE_HI = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -49,6 +53,26 @@ def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers are reused, and what one stage
+    leaves counts against the next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal inputs stay equal, the bits of others become independent."""
     x = x ^ (x >> np.uint64(33))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Bytes of benchmark text that are broadcast at once. A larger benchmark is taken in shards, each with a
 #: pass over the documents.
 SHARD_BYTES = 16_000_000
@@ -165,7 +167,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, l
                     names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
                 )
 
-        found.append(rows.mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"))
+        found.append(rows.mapInArrow(tidy(run), "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -182,5 +184,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.matches(x.as_py(), coverage) for x in batch.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

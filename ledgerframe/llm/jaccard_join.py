@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import checkpointed, hashed, mixed, text_size, windows
+from .common import checkpointed, hashed, mixed, release, text_size, tidy, windows
 from .components import roots
 
 LEAST_BITS, MOST_BITS = 16, 29
@@ -147,6 +147,9 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     common = _shared(np.repeat(np.arange(len(some), dtype=np.int32), n[some]), np.concatenate([sets[i] for i in some]), len(some))[place[left], place[right]].astype(np.int64)
     linked = 100 * common >= percent * (n[left] + n[right] - common)
     label = _forest(left[linked], right[linked], m)
+    del common, left, right, linked, sets
+    if n.sum() > BLOCK_NGRAMS // 10:
+        release()
     child = np.flatnonzero((label != np.arange(m)) & (docs[label] != docs))
     return pa.table({"a": pa.array(docs[child], pa.int64()), "b": pa.array(docs[label[child]], pa.int64())})
 
@@ -193,7 +196,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
                 names=["doc", "n", "matches", "lo", "hi", "sent"],
             )
 
-    nodes = checkpointed(rows.mapInArrow(publish, "doc long, n long, matches int, lo long, hi long, sent array<long>"))
+    nodes = checkpointed(rows.mapInArrow(tidy(publish), "doc long, n long, matches int, lo long, hi long, sent array<long>"))
     own = nodes.filter("doc is not null and n > 0").select("doc", "n", "lo", "hi", "sent")
     classes = own.groupBy("lo", "hi", "n").agg(F.min("doc").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc")).distinct()
@@ -217,7 +220,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(matches, pa.int32()), pa.array(out, pa.binary())], names=["doc", "matches", "grams"])
 
     needed = members.select("doc").distinct()
-    sets = rows.filter("body is not null").join(needed.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(whole, "doc long, matches int, grams binary").filter("matches > 0")
+    sets = rows.filter("body is not null").join(needed.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(tidy(whole), "doc long, matches int, grams binary").filter("matches > 0")
     links = checkpointed(
         placed.join(sets, "doc").select("hub", "block", "doc", "matches", "grams").groupBy("hub", "block").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 from .linear import fit_dense, sigmoid
 
 #: Labelled rows that the document classifier uses at most: those of least hash of their ids.
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             x = [measures(b.as_py()).tolist() for b in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    taken = sorted((r.id, r.y, tuple(r.x)) for r in rows.mapInArrow(run, "id long, y int, x array<double>").toLocalIterator())  # FIT_ROWS short rows, and repeats of their ids
+    taken = sorted((r.id, r.y, tuple(r.x)) for r in rows.mapInArrow(tidy(run), "id long, y int, x array<double>").toLocalIterator())  # FIT_ROWS short rows, and repeats of their ids
     width = len(measures(b""))
     x, y = np.array([r[2] for r in taken]).reshape(-1, width), np.array([r[1] for r in taken], float)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -103,7 +103,7 @@ def _with_evidence(docs: DataFrame, model: Model, text: str) -> DataFrame:
             got = shared.value.evidence([b.as_py() or b"" for b in batch.column(place).cast(pa.binary())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "__evidence"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__evidence double"]))
+    return docs.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__evidence double"]))
 
 
 def _logit(p: Column) -> Column:

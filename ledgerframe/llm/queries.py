@@ -81,7 +81,7 @@ _CANONICAL = r"""CASE WHEN regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
   || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_sort(q), '&') END ELSE b END"""
 _WARC = rf"""
 WITH raw AS (SELECT 2 * page_id AS id, url, 100 * page_id AS ts, 1 AS f, page_id AS p, md5(html) AS h FROM pages
-  UNION ALL SELECT 2 * page_id + 1, regexp_replace(url, '^https?://', 'HTTP://') || '#again', CASE WHEN page_id % 13 = 0 THEN 100 * page_id - 1 ELSE 100 * page_id + 50 END AS ts, 0, page_id, md5(html) FROM pages WHERE page_id % 3 = 0),
+  UNION ALL SELECT 2 * page_id + 1, regexp_replace(url, '^https?://', 'HTTP://') || '#again', CASE WHEN page_id % 13 = 0 THEN 100 * page_id - 1 ELSE 100 * page_id + 50 END AS ts, 0, page_id, md5(html) FROM pages),
 bare AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM raw),
 rest AS (SELECT *, regexp_replace(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS r FROM bare),
 parts AS (SELECT *, list_filter(string_split(regexp_extract(r, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')) AS q FROM rest),

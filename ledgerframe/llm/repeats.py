@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import mixed, tidy
 
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
@@ -159,7 +159,7 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
             return pa.Table.from_batches([_by_row(row, at)])
         raise AssertionError("settled windows are not dealt")
 
-    sent = source.mapInArrow(send, _SENT)
+    sent = source.mapInArrow(tidy(send), _SENT)
     # A settled row needs no meeting: its bucket is spread by the row itself and passes as it is.
     dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("row"), F.lit(buckets))).otherwise(F.col("bucket")))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import MIX_A, default_partitions, mixed
+from .common import MIX_A, default_partitions, mixed, tidy
 
 PAGE = 1 << 16
 #: Keys that a task gathers before it sends their counts.
@@ -51,9 +51,14 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 
 
 def _pages(gathered: list[np.ndarray], bits: int, row: int) -> Iterator[dict]:
-    found, counts = np.unique(np.concatenate(gathered), return_counts=True)
-    page = (found >> np.uint64(16)).astype(np.int64)
-    offset = (found & np.uint64(PAGE - 1)).astype("<u2")
+    every = np.concatenate(gathered)
+    gathered.clear()
+    every.sort()
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    counts = np.diff(first, append=len(every))
+    found = every[first]
+    del every, first
+    page, offset = found >> np.uint32(16), (found & np.uint32(PAGE - 1)).astype("<u2")
     starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
     for s, e in zip(starts, np.r_[starts[1:], len(page)], strict=True):
         many = counts[s:e] > 1
@@ -98,12 +103,11 @@ def merged(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np
             for r in range(depth):
                 if gathered[r]:
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(list(_pages(gathered[r], bits, r))).astype({"n": "int32", "page": "int32"}), preserve_index=False)
-                    gathered[r].clear()
 
         for batch in batches:
             for lo, hi in keys(batch):
                 for r, cell in enumerate(cells(lo, hi, bits, depth)):
-                    gathered[r].append(cell)
+                    gathered[r].append(cell.astype(np.uint32))
                 size += len(lo)
                 if size >= FLUSH_KEYS:
                     yield from flush()
@@ -124,7 +128,7 @@ def merged(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np
         return pa.table({"page": pa.array([table["page"][0].as_py()], pa.int32()), "bit": [bit], "level": [level]})
 
     # Dealt by groups of pages; a page is a fixed 65,536 counters whatever the input.
-    done = source.mapInArrow(count, _SENT).repartition(default_partitions(source.sparkSession), "page").groupBy("page").applyInArrow(add, "page int, bit binary, level binary")
+    done = source.mapInArrow(tidy(count), _SENT).repartition(default_partitions(source.sparkSession), "page").groupBy("page").applyInArrow(add, "page int, bit binary, level binary")
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(depth)]
     levels = np.ones((1 << bits) // COARSE, np.uint8)
     # Bounded by the parameters: at most depth * 2**bits / 8 bytes in all, fetched partition by partition.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import covered, hashed, rolling_least, text_size, windows
+from .common import covered, hashed, rolling_least, text_size, tidy, windows
 from .repeats import Found, gathered, meeting
 
 #: Bounds of the bits of a sketch row. Beyond the upper one (two rows of 128 MB, whatever the input) more
@@ -85,7 +85,7 @@ def with_removals(docs: DataFrame, late: DataFrame, window: int, doc_id: str, te
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["own", *names])
 
-    out = both.mapInArrow(run, f"own struct<{fields}>, {added}")
+    out = both.mapInArrow(tidy(run), f"own struct<{fields}>, {added}")
     return out.select("own.*", *names)
 
 

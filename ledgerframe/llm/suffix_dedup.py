@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, mixed, text_size, windows
+from .common import hashed, mixed, text_size, tidy, windows
 from .repeats import Found, gathered, meeting, settle_shared, shared
 from .substring_dedup import keyed, with_removals
 
@@ -93,7 +93,7 @@ def spans(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str =
                 n += (at[end] + length - at[begin]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "first_word", "n_words"])
 
-    return late.join(names, "row_key").mapInArrow(merge, "doc_id long, first_word long, n_words long")
+    return late.join(names, "row_key").mapInArrow(tidy(merge), "doc_id long, first_word long, n_words long")
 
 
 def without_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

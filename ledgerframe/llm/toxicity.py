@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .linear import fit_sparse, sigmoid
 
 #: Labelled rows that the fit uses at most: those of least hash of their ids.
@@ -84,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     form = "slice int, none binary, toxic binary, n0 long, n1 long"
     counts, n = np.zeros((2, size)), (0, 0)
-    for one in rows.mapInArrow(count, form).groupBy("slice").applyInArrow(add, form).toLocalIterator():  # 8 MB in all
+    for one in rows.mapInArrow(tidy(count), form).groupBy("slice").applyInArrow(add, form).toLocalIterator():  # 8 MB in all
         at = slice(one["slice"] * size // _SLICES, (one["slice"] + 1) * size // _SLICES)
         counts[0, at], counts[1, at], n = np.frombuffer(one["none"], "<u4"), np.frombuffer(one["toxic"], "<u4"), (one["n0"], one["n1"])
     share = (n[1] + SMOOTHING) / (sum(n) + 2 * SMOOTHING)
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([chosen.value.present(x.as_py()).astype("<u2").tobytes() for x in batch.column(0)], pa.binary()), batch.column(1)], names=["found", "y"])
 
-    taken = [(np.frombuffer(x.found, "<u2").astype(np.int64), x.y) for x in rows.mapInArrow(pick, "found binary, y int").sort("y", "found").toLocalIterator()]
+    taken = [(np.frombuffer(x.found, "<u2").astype(np.int64), x.y) for x in rows.mapInArrow(tidy(pick), "found binary, y int").sort("y", "found").toLocalIterator()]
     places = np.repeat(np.arange(len(taken)), [len(x) for x, _ in taken])
     w, b = fit_sparse(places, np.concatenate([x for x, _ in taken]), scale, np.array([y for _, y in taken], float), PENALTY)
     return Model(feature, w * scale, b)
@@ -122,4 +123,4 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("body"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -39,6 +39,12 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
+def _lowered(entries: Column) -> Column:
+    """Headers by name in lower case; of equal names the last one."""
+    again = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: F.lower(o["key"]) == F.lower(e["key"]))
+    return F.map_from_entries(F.transform(F.filter(entries, lambda e, i: ~again(e, i)), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+
+
 def resolved(records: DataFrame) -> DataFrame:
     """One row for each revisit record: record_id, url (canonical), response_id, status, headers and payload.
 
@@ -49,10 +55,10 @@ def resolved(records: DataFrame) -> DataFrame:
 
     status: `resolved` if the entity tags agree weakly or, where the revisit has none, the last-modified dates agree;
     `mismatch` if they don't; `unverified` if the revisit has neither; `unresolved` without an earlier response, or
-    with a null url or time. Only `resolved` rows have merged headers and a payload. Header names count in lower case,
-    a null map as empty. Rows repeating a revisit are each resolved. Empty input: no rows."""
+    with a null url or time. Only `resolved` rows have merged headers and a payload. Header names count in lower case
+    (of equal ones the last), a null map as empty. Rows repeating a revisit are each resolved. Empty input: no rows."""
     spark = records.sparkSession
-    lower = F.coalesce(F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))), F.create_map().cast("map<string,string>"))
+    lower = F.coalesce(_lowered(F.map_entries("headers")), F.create_map().cast("map<string,string>"))
     rows = records.filter("status in (200, 304)").select("record_id", canonical(F.col("url")).alias("url"), "at", (F.col("status") == 200).cast("int").alias("full"), lower.alias("headers"), "payload")
     apart = rows.filter("url is null or at is null")
     rows = rows.filter("url is not null and at is not null")
@@ -81,8 +87,8 @@ def resolved(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """Capture records for a table of pages (page_id, url, html), as resolved() takes them.
 
-    Each page is a full response at time 100 * page_id; every third one is visited again and found not modified,
-    under a URL that differs in case and fragment: some too early, some with another entity tag, some with none."""
+    Each page is a full response at time 100 * page_id, visited again and found not modified under a URL that
+    differs in case and fragment: some too early, some with another entity tag, some with none."""
     digest = F.md5(F.col("html").cast("binary"))
     tag = F.concat(F.lit('"'), digest, F.lit('"'))
     text = lambda *x: F.create_map(*(F.lit(v) if isinstance(v, str) else v for v in x))
@@ -94,7 +100,7 @@ def captures(pages: DataFrame) -> DataFrame:
     p = F.col("page_id")
     late = F.concat(F.lit("later "), p.cast("string"))
     head = F.when(p % 11 == 0, text("Date", late)).when(p % 7 == 0, text("Date", late, "Last-Modified", day)).when(p % 5 == 0, text("Date", late, "ETag", '"other"', "Server", "x")).otherwise(text("Date", late, "ETag", F.concat(F.lit("W/"), tag), "Cache-Control", "max-age=90", "Content-Type", "none"))
-    again = pages.filter(p % 3 == 0).select(
+    again = pages.select(
         (2 * p + 1).alias("record_id"), F.concat(F.regexp_replace(F.col("url"), r"^https?://", "HTTP://"), F.lit("#again")).alias("url"),
         F.when(p % 13 == 0, 100 * p - 1).otherwise(100 * p + 50).alias("at"), F.lit(304).alias("status"), head.alias("headers"), F.lit(None).cast("string").alias("payload"),
     )

@@ -79,7 +79,7 @@ def test_revisits_equal_brute_force(spark):
     for i in range(400):
         url = pick.choice(["http://Hot.com/a", "https://hot.com/a#x", "http://hot.com:80/a", f"http://h{pick.randrange(20)}.com/p", None if pick.random() < 0.1 else "x"])
         tag = pick.choice(['"1"', 'W/"1"', '"2"', None])
-        headers = {"ETag": tag, "Date": f"d{i}", "Server": f"s{i}"} if tag else pick.choice([None, {}, {"Last-Modified": pick.choice("ab"), "Vary": "v"}, {"Date": "d"}])
+        headers = {"ETag": tag, "Date": f"d{i}", "Server": f"s{i}"} if tag else pick.choice([None, {}, {"Last-Modified": pick.choice("ab"), "Vary": "v"}, {"Date": "d"}, {"ETAG": '"1"', "etag": '"2"', "ETag": '"1"'}])
         rows.append((i, url, pick.choice([None, *range(60)]), pick.choice([200, 200, 304, 304, 404]), headers, f"p{i}", 3))
     rows += rows[:5]
     frame = spark.createDataFrame(rows, RECORDS)
