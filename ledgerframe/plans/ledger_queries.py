@@ -156,7 +156,7 @@ def expected_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleanup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    requested = read(spark, sf_dir, "supplier").filter(k % 2 == 0).select(F.concat(F.lit("SESSION-"), (k + F.when(k % 10 == 0, 100000).otherwise(0)).cast("string")).alias("session"))
+    requested = read(spark, sf_dir, "supplier").select(F.concat(F.lit("SESSION-"), (k + F.when(k % 10 == 0, 100000).otherwise(0)).cast("string")).alias("session"))
     return backup.cleanup_plan(requested, backup.classified(*_backup(spark, sf_dir)))
 
 
@@ -205,38 +205,43 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_multiset_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is an expected and a provided source; some are provided with other bytes."""
     k = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source_type"), F.sha2((k % 500).cast("string").cast("binary"), 256).alias("sha256"), k.alias("k"))
-    got = audit.multiset(rows.filter("k % 3 <> 0").drop("k"), rows.filter("k % 5 <> 0").drop("k"))
+    sha = lambda x: F.sha2(x.cast("string").cast("binary"), 256).alias("sha256")
+    kind = F.col("o_orderpriority").alias("source_type")
+    orders = read(spark, sf_dir, "orders")
+    got = audit.multiset(orders.select(kind, sha(k % 500)), orders.select(kind, sha(k % F.when(k % 5 == 0, 700).otherwise(500))))
     return got.withColumn("exit_code", audit.verification_exit(F.lit(True), F.col("missing"), F.col("unexpected")))
 
 
 def contiguous_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").filter("l_partkey % 50 <> 0").select("l_orderkey", (F.col("l_linenumber") - 1).alias("i"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - F.when(F.col("l_partkey") % 50 == 0, 0).otherwise(1)).alias("i"))
     return audit.contiguous(rows, ["l_orderkey"], "i")
 
 
 def intent_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as receipts, orders as the final reports handed in for them."""
-    c = F.col("c_custkey")
+    """Every order is a receipt and a final report; a third of the reports are handed in for the next receipt."""
+    o = F.col("o_orderkey")
     sha = lambda x: F.sha2(x.cast("string").cast("binary"), 256)
-    receipts = read(spark, sf_dir, "customer").select(
-        c.alias("receipt_id"), sha(c).alias("sha256"), F.concat(F.lit("attempt-"), c.cast("string")).alias("attempt_id"), F.lit("repair").alias("operation_type"), F.array((c % 7).cast("string")).alias("actions"),
-        F.create_map(F.lit("plan"), sha(c)).alias("bindings"), F.when(c % 4 == 0, "binding-mismatch").when(c % 4 == 1, "verified").alias("lifecycle"),
+    orders = read(spark, sf_dir, "orders")
+    receipts = orders.select(
+        o.alias("receipt_id"), sha(o).alias("sha256"), F.concat(F.lit("attempt-"), o.cast("string")).alias("attempt_id"), F.lit("repair").alias("operation_type"), F.array((o % 7).cast("string")).alias("actions"),
+        F.create_map(F.lit("plan"), sha(o)).alias("bindings"), F.when(o % 4 == 0, "binding-mismatch").when(o % 4 == 1, "verified").alias("lifecycle"),
     )
-    o, k = F.col("o_orderkey"), F.col("o_custkey")
-    reports = read(spark, sf_dir, "orders").filter("o_orderkey % 8 = 0").select(
-        k.alias("receipt_id"), F.when(o % 5 == 0, None).when(o % 7 == 0, "other").otherwise(sha(k)).alias("receipt_sha256"), F.concat(F.lit("attempt-"), (k + F.when(o % 11 == 0, 1).otherwise(0)).cast("string")).alias("attempt_id"),
-        F.when(o % 9 == 0, "cleanup").otherwise("repair").alias("operation_type"), F.array((k % F.when(o % 13 == 0, 3).otherwise(7)).cast("string")).alias("actions"), F.create_map(F.lit("plan"), F.when(o % 6 == 0, "none").otherwise(sha(k))).alias("bindings"),
+    reports = orders.select(
+        F.when(o % 3 == 1, o + 1).otherwise(o).alias("receipt_id"), F.when(o % 5 == 0, None).when(o % 7 == 0, "other").otherwise(sha(o)).alias("receipt_sha256"), F.concat(F.lit("attempt-"), (o + F.when(o % 11 == 0, 1).otherwise(0)).cast("string")).alias("attempt_id"),
+        F.when(o % 17 == 0, "cleanup").otherwise("repair").alias("operation_type"), F.array((o % F.when(o % 13 == 0, 3).otherwise(7)).cast("string")).alias("actions"), F.create_map(F.lit("plan"), F.when(o % 6 == 0, "none").otherwise(sha(o))).alias("bindings"),
     )
     return intent.paired(receipts, reports)
 
 
 def context_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order has an expected and a provided projection; some are provided under another digest."""
     k = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").select("o_orderpriority", k.alias("k"), F.sha2(k.cast("string").cast("binary"), 256).alias("sha256"))
-    a = rows.filter("k % 7 <> 0").select("o_orderpriority", "sha256", (F.col("k") % 10).alias("projection"))
-    b = rows.filter("k % 11 <> 0").select("o_orderpriority", "sha256", (F.col("k") % F.when(F.col("k") % 5 == 0, 9).otherwise(10)).alias("projection"))
+    sha = lambda x: F.sha2(x.cast("string").cast("binary"), 256).alias("sha256")
+    orders = read(spark, sf_dir, "orders")
+    a = orders.select("o_orderpriority", sha(k), (k % 10).alias("projection"))
+    b = orders.select("o_orderpriority", sha(F.when(k % 7 == 0, k + 1000000000).otherwise(k)), (k % F.when(k % 5 == 0, 9).otherwise(10)).alias("projection"))
     return audit.context_verified(a, b, "o_orderpriority")
 
 
@@ -311,9 +316,10 @@ co AS (SELECT 'backup-cleanup-audit' AS source_type, sha256(event_type) AS sha25
   CASE WHEN event_id % 10 = 0 THEN 'cleanup-failed' WHEN event_id % 7 = 0 THEN 'not-run' ELSE 'completed' END AS reason, 'unknown' AS package_change FROM events)
 """
 _PAIR = r"""
-f AS (SELECT o_custkey AS k, count(*) AS n, min(o_orderkey) AS o FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1),
-x AS (SELECT c_custkey AS c, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN CASE WHEN o % 5 = 0 THEN 'legacy-final-report' WHEN o % 7 = 0 THEN 'receipt-sha256-mismatch' WHEN o % 11 = 0 THEN 'attempt-id-mismatch' WHEN o % 9 = 0 THEN 'operation-type-mismatch'
-   WHEN o % 13 = 0 AND c_custkey % 3 <> c_custkey % 7 THEN 'action-scope-mismatch' WHEN o % 6 = 0 THEN 'binding-scope-mismatch' END END AS conflict, CASE WHEN c_custkey % 4 = 0 THEN 'lifecycle-binding-mismatch' END AS life FROM customer LEFT JOIN f ON k = c_custkey),
+f AS (SELECT CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey + 1 ELSE o_orderkey END AS k, count(*) AS n, min(o_orderkey) AS o FROM orders GROUP BY 1),
+x AS (SELECT o_orderkey AS c, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN CASE WHEN o % 5 = 0 THEN 'legacy-final-report' WHEN o % 7 = 0 OR o <> o_orderkey THEN 'receipt-sha256-mismatch' WHEN o % 11 = 0 THEN 'attempt-id-mismatch'
+   WHEN o % 17 = 0 THEN 'operation-type-mismatch' WHEN o % 13 = 0 AND o % 3 <> o % 7 THEN 'action-scope-mismatch' WHEN o % 6 = 0 THEN 'binding-scope-mismatch' END END AS conflict,
+   CASE WHEN o_orderkey % 4 = 0 THEN 'lifecycle-binding-mismatch' END AS life FROM orders LEFT JOIN f ON k = o_orderkey),
 y AS (SELECT *, CASE WHEN n = 0 THEN CASE WHEN life IS NOT NULL THEN 'stale' ELSE 'orphan' END WHEN n > 1 OR conflict IS NOT NULL THEN 'conflicting' ELSE 'paired' END AS classification FROM x)
 """
 ORACLES = {
@@ -332,14 +338,14 @@ ORACLES = {
     "inventory_classification": f"WITH {_BACKUP} SELECT * FROM inv",
     "inventory_summary": f"WITH {_BACKUP} SELECT count(*) AS sessions, count(*) FILTER (classification = 'managed') AS managed, 0::BIGINT AS legacy, count(*) FILTER (classification <> 'managed') AS orphaned, count(*) FILTER (planning_eligible) AS planning_eligible, sum(n_items)::BIGINT AS items, sum(bytes)::BIGINT AS bytes, CASE WHEN bool_or(classification <> 'managed' OR coalesce(state = 'rollback-failed', false)) THEN 1 ELSE 0 END AS exit_code FROM inv",
     "expected_directories": f"WITH {_BACKUP} SELECT session, 'package' AS path FROM i UNION SELECT session, 'package/' || (p % 3) FROM i",
-    "cleanup_plan": f"WITH {_BACKUP}, q AS (SELECT 'SESSION-' || (s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 100000 ELSE 0 END) AS session FROM supplier WHERE s_suppkey % 2 = 0) SELECT coalesce(inv.session, q.session) AS session, CASE WHEN planning_eligible THEN manifest_sha256 END AS manifest_sha256, CASE WHEN planning_eligible THEN n_items ELSE 0 END AS files, CASE WHEN planning_eligible THEN inv.bytes ELSE 0 END AS bytes, coalesce(planning_eligible, false) AS eligible FROM q LEFT JOIN inv ON {_KEY('q.session')} = {_KEY('inv.session')}",
+    "cleanup_plan": f"WITH {_BACKUP}, q AS (SELECT 'SESSION-' || (s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 100000 ELSE 0 END) AS session FROM supplier) SELECT coalesce(inv.session, q.session) AS session, CASE WHEN planning_eligible THEN manifest_sha256 END AS manifest_sha256, CASE WHEN planning_eligible THEN n_items ELSE 0 END AS files, CASE WHEN planning_eligible THEN inv.bytes ELSE 0 END AS bytes, coalesce(planning_eligible, false) AS eligible FROM q LEFT JOIN inv ON {_KEY('q.session')} = {_KEY('inv.session')}",
     "failfast_statuses": "WITH l AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2), f AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS bad, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS first_failure FROM l) SELECT l_orderkey, l_linenumber, CASE WHEN first_failure < l_linenumber THEN 'not-run' WHEN bad THEN 'failed' ELSE 'done' END AS outcome, first_failure FROM f",
     "audit_operations": f"WITH {_OPS} SELECT source_type, sha256, action_index, operation, target, status, outcome, package_change, outcome <> 'succeeded' AS operator_required, reason FROM ro",
     "audit_cleanup_operations": f"WITH {_OPS} SELECT sha256, outcome, reason, outcome <> 'succeeded' AS operator_required, count(*) AS n FROM co GROUP BY ALL",
     "audit_summary": f"WITH {_OPS}, u AS (SELECT source_type, outcome, package_change FROM ro UNION ALL SELECT source_type, outcome, package_change FROM co) SELECT source_type, count(*) AS operations, count(*) FILTER (outcome = 'succeeded') AS succeeded, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'partial') AS partial, count(*) FILTER (outcome = 'rolled_back') AS rolled_back, count(*) FILTER (outcome = 'not_run') AS not_run, count(*) FILTER (outcome <> 'succeeded') AS operator_required, CASE WHEN bool_or(package_change = 'changed') THEN true WHEN bool_and(package_change = 'unchanged') THEN false END AS package_changed FROM u GROUP BY 1",
-    "source_multiset_verify": "WITH r AS (SELECT o_orderpriority AS t, o_orderkey % 500 AS h, count(*) FILTER (o_orderkey % 3 <> 0) AS e, count(*) FILTER (o_orderkey % 5 <> 0) AS p FROM orders GROUP BY 1, 2), m AS (SELECT coalesce(sum(least(e, p)), 0)::BIGINT AS matched, coalesce(sum(greatest(e - p, 0)), 0)::BIGINT AS missing, coalesce(sum(greatest(p - e, 0)), 0)::BIGINT AS unexpected FROM r) SELECT *, CASE WHEN missing > 0 OR unexpected > 0 THEN 1 ELSE 0 END AS exit_code FROM m",
-    "contiguous_index_check": "WITH r AS (SELECT l_orderkey, l_linenumber - 1 AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n FROM lineitem WHERE l_partkey % 50 <> 0) SELECT l_orderkey, bool_and(i = n) AS contiguous, count(*) AS n FROM r GROUP BY 1",
+    "source_multiset_verify": "WITH e AS (SELECT o_orderpriority AS t, o_orderkey % 500 AS h, count(*) AS e FROM orders GROUP BY 1, 2), p AS (SELECT o_orderpriority AS t, o_orderkey % CASE WHEN o_orderkey % 5 = 0 THEN 700 ELSE 500 END AS h, count(*) AS p FROM orders GROUP BY 1, 2), r AS (SELECT coalesce(e, 0) AS e, coalesce(p, 0) AS p FROM e FULL OUTER JOIN p ON e.t = p.t AND e.h = p.h), m AS (SELECT sum(least(e, p))::BIGINT AS matched, sum(greatest(e - p, 0))::BIGINT AS missing, sum(greatest(p - e, 0))::BIGINT AS unexpected FROM r) SELECT *, CASE WHEN missing > 0 OR unexpected > 0 THEN 1 ELSE 0 END AS exit_code FROM m",
+    "contiguous_index_check": "WITH i AS (SELECT l_orderkey, l_linenumber - CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE 1 END AS i FROM lineitem), r AS (SELECT l_orderkey, i, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) - 1 AS n FROM i) SELECT l_orderkey, bool_and(i = n) AS contiguous, count(*) AS n FROM r GROUP BY 1",
     "intent_pairing": f"WITH {_PAIR} SELECT c AS receipt_id, classification, CASE WHEN n = 0 THEN coalesce(life, 'final-report-missing') WHEN n > 1 THEN 'multiple-final-reports' WHEN conflict IS NOT NULL THEN conflict ELSE coalesce(life, 'paired') END AS reason, n AS n_reports, classification <> 'paired' OR life IS NOT NULL AS operator_required, CASE WHEN classification = 'paired' THEN 0 ELSE 1 END AS exit_code FROM y",
-    "context_verify": "WITH r AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 10 END AS e, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % CASE WHEN o_orderkey % 5 = 0 THEN 9 ELSE 10 END END AS p FROM orders) SELECT o_orderpriority, count(*) FILTER (p IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected, count(*) FILTER (e <> p) AS different, bool_and(e IS NOT DISTINCT FROM p) AS verified FROM r WHERE e IS NOT NULL OR p IS NOT NULL GROUP BY 1",
+    "context_verify": "SELECT o_orderpriority, count(*) FILTER (o_orderkey % 7 = 0) AS missing, count(*) FILTER (o_orderkey % 7 = 0) AS unexpected, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 AND o_orderkey % 9 <> o_orderkey % 10) AS different, bool_and(o_orderkey % 7 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 9 = o_orderkey % 10)) AS verified FROM orders GROUP BY 1",
     "mode_comparison": "WITH r AS (SELECT event_id // 2 AS k, event_id % 2 AS m, event_id % 3 <> 0 AS ok, round(event_id % 100 / 10, 3) AS sec FROM events), b AS (SELECT * FROM r WHERE m = 0), t AS (SELECT * FROM r WHERE m = 1) SELECT b.k AS \"case\", b.ok AS baseline_passed, t.ok AS table_passed, b.sec AS baseline_seconds, t.sec AS table_seconds, round(t.sec - b.sec, 3) AS delta, b.ok AND NOT t.ok AS regressed, NOT b.ok AND t.ok AS improved FROM b JOIN t ON b.k = t.k",
 }
