@@ -30,6 +30,8 @@ from .components import roots
 LEAST_BITS, MOST_BITS = 16, 29
 #: Longest l that a document may choose, and the cost of a verification in reads of a posting.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
+#: Classes of more than this part of all rows are broadcast.
+HOT = 1_000
 #: n-grams and documents that a block holds at most (a single document may have more n-grams).
 BLOCK_NGRAMS, BLOCK_DOCS = 1_000_000, 2_048
 #: n-grams in this many documents of a block are counted by matrix products, rarer ones pair by pair.
@@ -198,8 +200,9 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
 
     nodes = checkpointed(rows.mapInArrow(tidy(publish), "doc long, n long, matches int, lo long, hi long, sent array<long>"))
     own = nodes.filter("doc is not null and n > 0").select("doc", "n", "lo", "hi", "sent")
-    classes = own.groupBy("lo", "hi", "n").agg(F.min("doc").alias("rep"))
+    classes = own.groupBy("lo", "hi", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
     reps = classes.select(F.col("rep").alias("doc")).distinct()
+    named = _named(own.select("doc", "n", "lo", "hi"), classes, nodes.count())
 
     postings = own.select("doc", "n", "sent").join(reps, "doc", "left_semi").select("doc", "n", F.explode("sent").alias("gram"))
     hubs = postings.groupBy("gram").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last").select("gram", "hub")
@@ -225,13 +228,26 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
         placed.join(sets, "doc").select("hub", "block", "doc", "matches", "grams").groupBy("hub", "block").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
     )
     several = own.groupBy("doc").agg(F.count("*").alias("c")).filter("c > 1").select("doc")
-    same = own.join(several, "doc", "left_semi").join(classes, ["lo", "hi", "n"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    same = named.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     found = roots(links.unionByName(same))
     if large.head(1):
         links = links.unionByName(checkpointed(_across(members, large, found, sets, percent)))
         found = roots(links.unionByName(same))
-    named = nodes.join(classes, ["lo", "hi", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep", "doc")).alias("component_id"))
+    alone = nodes.filter("doc is null or n = 0").select("doc", "n", F.col("doc").alias("component_id"))
+    rooted = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("root", "rep").alias("component_id"))
+    return rooted.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _named(own: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """own (doc, n, lo, hi) with the representative of each row's class.
+
+    Classes of more than a HOT-th of all rows are fewer than HOT, so these are broadcast: a text that a third of the
+    rows share does not send them to one task. The others are joined by key."""
+    key = ["lo", "hi", "n"]
+    large = classes.filter(F.col("size") > max(1, total // HOT)).select(*key, F.col("rep").alias("__rep"))
+    marked = own.join(F.broadcast(large), key, "left")
+    rest = marked.filter("__rep is null").drop("__rep").join(classes.select(*key, "rep"), key)
+    return marked.filter("__rep is not null").select("doc", "n", F.col("__rep").alias("rep")).unionByName(rest.select("doc", "n", "rep"))
 
 
 def _across(members: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

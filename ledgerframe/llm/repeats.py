@@ -20,8 +20,8 @@ from .common import mixed, tidy
 
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
-#: Bytes of text for which there is one bucket of the exact pass.
-BUCKET_TEXT = 48_000_000
+#: Bytes of text for which there is one bucket of the exact pass, and buckets at least.
+BUCKET_TEXT, LEAST_BUCKETS = 48_000_000, 12
 _ZSTD = zstandard.ZstdCompressor(level=1)
 _SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary"
 _FOUND = "row_key long, at binary"
@@ -106,7 +106,7 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
     """For each row key the first words (binary of unsigned 32-bit integers, one or more rows a key, perhaps
     with repeats) of its windows that `decide` finds among all with their fingerprint. By default: those that
     also start in a document with a smaller id."""
-    buckets = max(1, -(-text_bytes // BUCKET_TEXT))
+    buckets = max(LEAST_BUCKETS, -(-text_bytes // BUCKET_TEXT))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Found] = []
