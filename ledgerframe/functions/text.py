@@ -46,7 +46,10 @@ def normalised(text: Column) -> Column:
 def visible_length(text: Column) -> Column:
     """Characters of the case-folded text without markup and repeated white space; exact for every character."""
     bare = collapsed(F.regexp_replace(text, MARKUP, " "))
-    return F.length(F.regexp_replace(F.regexp_replace(bare, _DOUBLE, "aa"), _TRIPLE, "aaa"))
+    # Of Latin-1 only sharp s folds to more characters; the large classes see the few characters beyond it.
+    high = F.regexp_replace(bare, r"[\x00-\xff]+", "")
+    longer = F.length(F.regexp_replace(F.regexp_replace(high, _DOUBLE, "aa"), _TRIPLE, "aaa")) - F.length(high)
+    return F.length(bare) + F.length(bare) - F.length(F.replace(bare, F.lit("ß"), F.lit(""))) + F.when(high == "", 0).otherwise(longer)
 
 
 def has_absolute_path(text: Column) -> Column:
