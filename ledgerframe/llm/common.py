@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make sure that there is a checkpoint folder: the one the cluster names in spark.checkpoint.dir;
-    a temporary one only where that is unset, as in tests on one machine."""
+    """Make sure that there is a checkpoint folder: the one the cluster names in spark.checkpoint.dir; a temporary one
+    only where that is unset and the master is this machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,6 +40,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def named(columns: list[str], added: Iterable[str]) -> list[str]:
+    """The columns of a user's table that stay when `added` come to it; names differ by more than case."""
+    taken = {c.lower() for c in added}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def boxed(docs: DataFrame, columns: list[str]) -> Column:
+    """A user's columns as one struct with fields by number, so that their names meet no others."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns))) if columns else F.struct(F.lit(None).cast("int").alias("_"))
+
+
+def unboxed(columns: list[str], box: str = "own") -> list[Column]:
+    return [F.col(f"{box}._{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table, wherever it is stored."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -94,7 +112,7 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
 
-def _hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and two independent 64-bit hashes of the words of data: sums over its bytes of a random number of the
     byte times one of its place (multilinear, so any two words collide with the chance of random ones)."""
     white = np.r_[True, _WHITE[data], True]
@@ -127,7 +145,7 @@ def hashed(bodies: Iterable[bytes], lower: bool = False) -> Iterator[tuple[np.nd
     size = 0
 
     def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        starts, lo, hi = _hash_words(np.frombuffer(b" ".join(held), np.uint8), lower)
+        starts, lo, hi = hash_words(np.frombuffer(b" ".join(held), np.uint8), lower)
         bounds = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in held])).tolist()
         yield from ((lo[s:e], hi[s:e]) for s, e in zip(bounds, bounds[1:], strict=False))
 

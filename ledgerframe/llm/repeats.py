@@ -20,11 +20,14 @@ from .common import mixed, tidy
 
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
-#: Bytes of text for which there is one bucket of the exact pass, and buckets at least.
-BUCKET_TEXT, LEAST_BUCKETS = 48_000_000, 12
+#: Bytes of text for which there is one bucket of the exact pass.
+BUCKET_TEXT = 24_000_000
+#: Windows that one hash of their surroundings deals together are spread over one in so many of all buckets, so that
+#: a phrase that very many texts share, in ever other surroundings, does not fill one bucket.
+SPREAD = 64
 _ZSTD = zstandard.ZstdCompressor(level=1)
-_SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary"
-_FOUND = "row_key long, at binary"
+_SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary, weight binary, done_doc long, done_row long"
+FOUND = "doc long, row_key long, at binary"
 
 #: What a finder yields for a document: row key, document id, fingerprints (128 bits, of which 96 are compared),
 #: their first words, and a hash that is the same for equal windows and mostly for neighbouring ones: windows of
@@ -32,7 +35,8 @@ _FOUND = "row_key long, at binary"
 Found = tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+def starts_of(*sorted_columns: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
     new = np.zeros(len(sorted_columns[0]), bool)
     new[:1] = True
     for c in sorted_columns:
@@ -43,70 +47,72 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
 def later(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """True where a smaller document has the same fingerprint."""
     order = np.lexsort((doc, hi, lo))
-    new = _starts(lo[order], hi[order])
+    new = starts_of(lo[order], hi[order])
     first = doc[order][new][np.cumsum(new) - 1]
     out = np.empty(len(lo), bool)
     out[order] = doc[order] > first
     return out
 
 
-def settle_later(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Found within the task, and to be sent on: what may be first of all."""
-    found = later(lo, hi, doc)
-    return found, ~found
+def pack(values: np.ndarray) -> bytes:
+    """Integers in runs, as compressed steps."""
+    return _ZSTD.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
 
 
-def shared(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where another document has the same fingerprint: sorted, a neighbour in its run differs in its document."""
-    return _runs(lo, hi, doc)[0]
+def unpack(packed: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(packed), kind), dtype=kind)
 
 
-def settle_shared(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Found within the task; sent on are the others, and of each run found the first and the last document's."""
-    found, ends = _runs(lo, hi, doc)
-    return found, ~found | ends
+def by_row(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Places gathered by document and row key, as FOUND."""
+    order = np.lexsort((at, row, doc))
+    doc, row, at = doc[order], row[order], at[order].astype("<u4")
+    starts = np.flatnonzero(starts_of(doc, row))
+    ends = np.append(starts, len(row))[1:]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[starts], pa.int64()), pa.array(row[starts], pa.int64()), pa.array([at[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())],
+        names=["doc", "row_key", "at"],
+    )
 
 
-def _runs(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((doc, hi, lo))
-    new = _starts(lo[order], hi[order])
-    run = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    end = np.append(begin, len(lo))[1:] - 1
-    ordered = doc[order]
-    several = ordered[begin] != ordered[end]
-    found, ends = np.empty(len(lo), bool), np.zeros(len(lo), bool)
-    found[order] = several[run]
-    ends[order[begin]] = ends[order[end]] = True
-    return found, ends
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Integers in runs, as compressed steps."""
-    return _ZSTD.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+def buckets_for(text_bytes: int) -> int:
+    return max(1, -(-text_bytes // BUCKET_TEXT))
 
 
-def _unpacked(packed: bytes, kind: str) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(packed), kind), dtype=kind)
+class Runs:
+    """Equal fingerprints of a set of windows: which are found, which are sent on, and what a record stands for."""
 
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, weight: np.ndarray | None = None) -> None:
+        self.order = np.lexsort((doc, hi, lo))
+        new = starts_of(lo[self.order], hi[self.order])
+        self.run, self.begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.end = np.append(self.begin, len(lo))[1:] - 1
+        ordered = doc[self.order]
+        self.several = ordered[self.begin] != ordered[self.end]
+        self.total = np.add.reduceat((np.ones(len(lo), np.int64) if weight is None else weight)[self.order], self.begin) if len(lo) else np.empty(0, np.int64)
 
-def _by_row(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    starts = np.flatnonzero(_starts(row))
-    ends = np.append(starts, len(row))[1:]
-    return pa.RecordBatch.from_arrays([pa.array(row[starts], pa.int64()), pa.array([at[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["row_key", "at"])
+    def found(self) -> np.ndarray:
+        """True where another document has the same fingerprint: sorted, an end of its run is of another document."""
+        out = np.empty(len(self.order), bool)
+        out[self.order] = self.several[self.run]
+        return out
 
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The records of each run's first and last document, and how many windows each of all records stands for."""
+        out, weight = np.zeros(len(self.order), bool), np.zeros(len(self.order), np.int64)
+        out[self.order[self.begin]] = out[self.order[self.end]] = True
+        weight[self.order[self.begin]] = self.total
+        return out, weight
 
-Settle = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-Meet = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
+def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]], text_bytes: int, hot: int = 0) -> DataFrame:
+    """For each document and row key the first words (binary of unsigned 32-bit integers, one or more rows a key,
+    perhaps with repeats) of its windows that also start in a document with a smaller id.
 
-def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]], text_bytes: int, settle: Settle = settle_later, decide: Meet = later) -> DataFrame:
-    """For each row key the first words (binary of unsigned 32-bit integers, one or more rows a key, perhaps
-    with repeats) of its windows that `decide` finds among all with their fingerprint. By default: those that
-    also start in a document with a smaller id."""
-    buckets = max(LEAST_BUCKETS, -(-text_bytes // BUCKET_TEXT))
+    With hot, of those that start in another document, whichever has the smaller id; and a row without a key that
+    holds fingerprints (64 bits) that occur `hot` times or more, if there are any."""
+    buckets = buckets_for(text_bytes)
+    spread = -(-buckets // SPREAD)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Found] = []
@@ -116,23 +122,31 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
             n = [len(x[2]) for x in held]
             row, doc = np.repeat(np.array([x[0] for x in held], np.int64), n), np.repeat(np.array([x[1] for x in held], np.int64), n)
             lo, hi, at, near = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4, 5))
+            held.clear()
             hi = (hi >> np.uint64(32)).astype("<u4")
-            late, early = settle(lo, hi, doc)
-            if late.any():
-                done = _by_row(row[late], at[late])
+            if hot:
+                runs = Runs(lo, hi, doc)
+                settled = runs.found()
+                ends, weight = runs.ends()
+                on = ~settled | ends
+            else:
+                settled = later(lo, hi, doc)
+                on, weight = ~settled, None
+            if settled.any():
+                done = by_row(doc[settled], row[settled], at[settled])
                 k = done.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), *([pa.nulls(k, pa.binary())] * 3), pa.array([x.to_bytes(8, "little", signed=True) for x in done["row_key"].to_pylist()], pa.binary()), done["at"]], names=["bucket", "lo", "hi", "doc", "row", "at"])
-            row, doc, lo, hi, at, near = (x[early] for x in (row, doc, lo, hi, at, near))
-            bucket = (mixed(near) % np.uint64(buckets)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), *([pa.nulls(k, pa.binary())] * 4), done["at"], pa.nulls(k, pa.binary()), done["doc"], done["row_key"]], names=["bucket", "lo", "hi", "doc", "row", "at", "weight", "done_doc", "done_row"])
+            row, doc, lo, hi, at, near = (x[on] for x in (row, doc, lo, hi, at, near))
+            weight = weight[on] if hot else None
+            bucket = ((mixed(near) + mixed(lo) % np.uint64(spread)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            starts = np.flatnonzero(_starts(bucket[order]))
+            starts = np.flatnonzero(starts_of(bucket[order]))
             parts = [order[s:e] for s, e in zip(starts, np.append(starts, len(order))[1:], strict=True)]
             if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *(pa.array([pack(x[p]) for p in parts], pa.binary()) for x, pack in ((lo, np.ndarray.tobytes), (hi, np.ndarray.tobytes), (doc, _packed), (row, _packed), (at, _packed)))],
-                    names=["bucket", "lo", "hi", "doc", "row", "at"],
-                )
-            held.clear()
+                k = len(parts)
+                packed = [pa.array([write(x[p]) for p in parts], pa.binary()) for x, write in ((lo, np.ndarray.tobytes), (hi, np.ndarray.tobytes), (doc, pack), (row, pack), (at, pack))]
+                weights = pa.array([pack(weight[p]) for p in parts], pa.binary()) if hot else pa.nulls(k, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *packed, weights, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["bucket", "lo", "hi", "doc", "row", "at", "weight", "done_doc", "done_row"])
 
         for batch in batches:
             for found in find(batch):
@@ -146,31 +160,32 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
             yield from send_on()
 
     def meet(table: pa.Table) -> pa.Table:
-        def joined(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        lo, hi = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("lo", "<u8"), ("hi", "<u4")))
+        doc, row, at = (np.concatenate([unpack(x, kind) for x in table[c].to_pylist()]) for c, kind in (("doc", "<i8"), ("row", "<i8"), ("at", "<u4")))
+        if not hot:
+            late = later(lo, hi, doc)
+            return pa.Table.from_batches([by_row(doc[late], row[late], at[late])])
+        runs = Runs(lo, hi, doc, np.concatenate([unpack(x, "<i8") for x in table["weight"].to_pylist()]))
+        found = runs.found()
+        out = pa.Table.from_batches([by_row(doc[found], row[found], at[found])])
+        common = lo[runs.order[runs.begin[runs.total >= hot]]]
+        return pa.concat_tables([out, pa.table({"doc": pa.nulls(1, pa.int64()), "row_key": pa.nulls(1, pa.int64()), "at": pa.array([common.tobytes()], pa.binary())})]) if len(common) else out
 
-        def steps(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([_unpacked(x, kind) for x in table[name].to_pylist()])
+    return exchanged(source.mapInArrow(tidy(send), _SENT), buckets, meet)
 
-        row, at = steps("row", "<i8"), steps("at", "<u4")
-        if table["bucket"][0].as_py() >= 0:
-            late = decide(joined("lo", "<u8"), joined("hi", "<u4"), steps("doc", "<i8"))
-            row, at = row[late], at[late]
-            return pa.Table.from_batches([_by_row(row, at)])
-        raise AssertionError("settled windows are not dealt")
 
-    sent = source.mapInArrow(tidy(send), _SENT)
-    # A settled row needs no meeting: its bucket is spread by the row itself and passes as it is.
-    dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("row"), F.lit(buckets))).otherwise(F.col("bucket")))
+def exchanged(sent: DataFrame, buckets: int, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """meet of each bucket. Rows of bucket -1 are settled: spread by document and row, they pass as they are."""
+    dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("done_doc", "done_row"), F.lit(buckets))).otherwise(F.col("bucket")))
 
     def either(table: pa.Table) -> pa.Table:
         if table["spread"][0].as_py() >= 0:
-            return meet(table.drop_columns(["spread"]))
-        return pa.table({"row_key": pa.array([int.from_bytes(x, "little", signed=True) for x in table["row"].to_pylist()], pa.int64()), "at": table["at"]})
+            return meet(table)
+        return pa.table({"doc": table["done_doc"], "row_key": table["done_row"], "at": table["at"]})
 
-    return dealt.groupBy("spread").applyInArrow(either, _FOUND)
+    return dealt.groupBy("spread").applyInArrow(either, FOUND)
 
 
 def gathered(found: DataFrame) -> DataFrame:
     """One row a key; what is gathered is bounded by the words of one text."""
-    return found.groupBy("row_key").agg(F.collect_list("at").alias("late_at"))
+    return found.groupBy("doc", "row_key").agg(F.collect_list("at").alias("late_at"))

@@ -132,7 +132,7 @@ def merged(source: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[tuple[np
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(depth)]
     levels = np.ones((1 << bits) // COARSE, np.uint8)
     # Bounded by the parameters: at most depth * 2**bits / 8 bytes in all, fetched partition by partition.
-    for one in done.toLocalIterator():
+    for one in done.toLocalIterator(prefetchPartitions=True):
         r, page = divmod(one["page"], pages_a_row)
         rows[r][page * width // 8 : (page + 1) * width // 8] = np.frombuffer(one["bit"], np.uint8)
         if r == 0:

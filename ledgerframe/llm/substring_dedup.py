@@ -8,15 +8,16 @@ each window occurs. A second pass over the texts groups only the windows estimat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import sketch
-from .common import covered, hashed, rolling_least, text_size, tidy, windows
+from .common import boxed, covered, hashed, named, rolling_least, text_size, tidy, unboxed, windows
 from .repeats import Found, gathered, meeting
 
 #: Bounds of the bits of a sketch row. Beyond the upper one (two rows of 128 MB, whatever the input) more
@@ -27,14 +28,18 @@ LEAST_BITS, MOST_BITS, DEPTH = 16, 30, 2
 NEAR = 4
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """Tells rows of one id with other texts apart; rows are joined by it and their id."""
+    return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The columns that the passes read: a key of the row's content, the id and the text's bytes."""
-    words = F.col(f"`{text}`").cast("binary")
-    return docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"), F.col(f"`{doc_id}`").cast("long").alias("doc"), words.alias("body"))
+    return docs.select(_row_key(doc_id, text).alias("row_key"), F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("body"))
 
 
 def repeated_windows(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row_key, late_at: the first words of the windows that also start in a document with a smaller id.
+    """doc, row_key, late_at: the first words of the windows that also start in a document with a smaller id.
 
     Null ids and null texts take no part. Rows with the same id do not count against each other."""
     rows = keyed(docs, doc_id, text).filter("doc is not null and body is not null")
@@ -63,37 +68,43 @@ def repeated_windows(docs: DataFrame, window: int = 13, doc_id: str = "doc_id",
     return gathered(meeting(rows, find, size))
 
 
-def with_removals(docs: DataFrame, late: DataFrame, window: int, doc_id: str, text: str, added: str, finish) -> DataFrame:
-    """Join the windows to their texts and call finish(words or None, removed mask) -> values of the added columns."""
-    kept = [c for c in docs.columns if c not in {x.split()[0] for x in added.split(", ")}]
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row_key"))
-    both = own.join(late.hint("shuffle_hash"), "row_key", "left").drop("row_key")
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in kept)).schema)
-    names = [x.split()[0] for x in added.split(", ")]
-    place = kept.index(text)  # the text travels once, within `own`
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    types = [kinds[x.split()[1]] for x in added.split(", ")]
+def with_removals(docs: DataFrame, late: DataFrame, window: int, doc_id: str, text: str, added: str, finish: Callable[[bytes | None, list[bytes], np.ndarray], tuple], replaced: str | None = None) -> DataFrame:
+    """Join the windows to their texts and call finish(body, words, removed mask) -> values of the added columns.
+
+    The added columns come after those of docs, in place of any of their names; with `replaced` the one column added
+    takes the place and name of that one instead."""
+    names, kinds = zip(*(x.split() for x in added.split(", ")), strict=True)
+    kept = docs.columns if replaced else named(docs.columns, names)
+    own = docs.select(boxed(docs, kept).alias("own"), F.col(f"`{doc_id}`").cast("long").alias("doc"), _row_key(doc_id, text).alias("row_key"), *([] if text in kept else [F.col(f"`{text}`").alias("body")]))
+    both = own.join(late.hint("shuffle_hash"), ["doc", "row_key"], "left").drop("doc", "row_key")
+    place = kept.index(text) if text in kept else None  # the text travels once, within `own`
+    types = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+    added_as = [f"new_{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            bodies = batch.column("own").field(place).cast(pa.binary())
+            bodies = (batch.column("body") if place is None else batch.column("own").field(place)).cast(pa.binary())
             for body, late_at in zip(bodies, batch.column("late_at"), strict=True):
                 words = (body.as_py() or b"").split()
                 starts = np.frombuffer(b"".join(late_at.as_py() or ()), "<u4").astype(np.int64)
                 rows.append(finish(body.as_py(), words, covered(starts, window, len(words))))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["own", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["own", *added_as])
 
-    out = both.mapInArrow(tidy(run), f"own struct<{fields}>, {added}")
-    return out.select("own.*", *names)
+    form = StructType([own.schema["own"], *(StructField(n, {"long": LongType(), "string": StringType()}[k]) for n, k in zip(added_as, kinds, strict=True))])
+    out = both.mapInArrow(tidy(run), form)
+    if replaced:
+        return out.select(*(F.col("new_0").alias(c) if c == replaced else was for c, was in zip(kept, unboxed(kept), strict=True)))
+    return out.select(*unboxed(kept), *(F.col(n).alias(name) for n, name in zip(added_as, names, strict=True)))
 
 
 def digests(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs with n_words, n_removed and kept_sha256 of what is left, joined by one space.
 
     Words are runs of bytes other than ASCII white space. A null or empty text has no words; a text of fewer
-    words than a window, or a null id, loses none. Repeated rows are judged alike. Empty input: no rows."""
+    words than a window, or a null id, loses none. Repeated rows are judged alike. Columns of docs named as one of the three,
+    in any case, are replaced. Empty input: no rows."""
 
     def finish(body: bytes | None, words: list[bytes], gone: np.ndarray) -> tuple:
         left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]

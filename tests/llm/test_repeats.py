@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from ledgerframe.llm import sketch, substring_dedup, suffix_dedup
+from ledgerframe.llm import repeats, sketch, substring_dedup, suffix_dedup
 from ledgerframe.llm.common import hashed, rolling_least, windows
 from tests.llm import texts
 
@@ -55,6 +55,51 @@ def test_suffix_spans_equal_brute_force(spark, length):
     assert got == want and want
 
 
+@pytest.mark.parametrize(("hot", "bucket"), [(2, 24_000_000), (20_000, 3_000), (4, 700)])
+def test_hot_cores_and_several_buckets_give_the_same(spark, monkeypatch, hot, bucket):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(repeats, "BUCKET_TEXT", bucket)
+    monkeypatch.setattr(repeats, "SPREAD", 4)
+    data = texts.rows(seed=19)
+    got = {(r.doc_id, p) for r in suffix_dedup.spans(texts.frame(spark, data)).collect() for p in range(r.first_word, r.first_word + r.n_words)}
+    assert got == {(i, p) for i, _, g in brute([(r[0], r[1]) for r in data], 50) for p, gone in enumerate(g) if gone}
+    removed = sorted((r.doc_id or -1, r.n_removed) for r in substring_dedup.digests(texts.frame(spark, data)).collect())
+    assert removed == sorted((i or -1, sum(g)) for i, _, g in brute([(r[0], r[1]) for r in data], 13))
+
+
+def test_runs_found_by_the_suffix_array():
+    pick = random.Random(8)
+    for _ in range(60):
+        length, docs = 10, []
+        for d in range(pick.randrange(2, 7)):
+            docs.append([pick.randrange(3) for _ in range(pick.randrange(10, 40))])
+        suffixes = []  # (doc, words, words before the suffix), cut as a retained suffix is
+        for d, w in enumerate(docs):
+            p = pick.randrange(len(w) - 4)
+            first, last = max(0, p - 5), min(p, len(w) - length)
+            if first <= last:
+                suffixes.append((d, w[first : last + length], p - first))
+        if not suffixes:
+            continue
+        words = np.array([x + 1 for _, w, _ in suffixes for x in w], np.uint64)
+        n, left, doc = (np.array(x, np.int64) for x in ([len(w) for _, w, _ in suffixes], [b for *_, b in suffixes], [d for d, *_ in suffixes]))
+        got = set(zip(*(x.tolist() for x in suffix_dedup.repeats_of(words, n, left, doc, length)), strict=True))
+        runs = [(i, b, tuple(w[b - k : b - k + length]), k) for i, (_, w, b) in enumerate(suffixes) for k in range(6) if k <= b and len(w) - b >= length - k]
+        want = {(i, k) for i, _, run, k in runs if any(r == run and kk == k and suffixes[j][0] < suffixes[i][0] for j, _, r, kk in runs)}
+        assert got == want
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    names = ["__text", "row_key", "doc", "own", "late_at", "new_0", "body", "N_WORDS"]
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, passage, *"abcdefgh"), (2, f"x {passage}", *"ijklmnop")], f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")
+    cut = {r.doc_id: tuple(r) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert cut == {1: (1, passage, *"abcdefgh"), 2: (2, "x", *"ijklmnop")}
+    out = substring_dedup.digests(docs)
+    assert out.columns == ["doc_id", "text", *names[:-1], "n_words", "n_removed", "kept_sha256"]
+    assert {r.doc_id: tuple(r)[:-3] for r in out.collect()} == {1: (1, passage, *"abcdefg"), 2: (2, f"x {passage}", *"ijklmno")}
+
+
 def test_suffix_cut_keeps_the_rest_as_it_is(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     data = [(1, f"a  b {passage}\tc\n"), (2, f"  x\ny {passage}\n\nz  w "), (3, passage), (4, None), (5, "short"), (6, "")]
