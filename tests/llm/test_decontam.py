@@ -1,4 +1,8 @@
 import random
+import time
+
+import numpy as np
+import pytest
 
 from ledgerframe.llm import decontam
 from tests.llm import texts
@@ -57,8 +61,9 @@ def test_empty_sides(spark):
 
 
 def brute_tiles(p, t, least):
-    """Greedy by definition: of all common runs of unmarked words, a longest one is marked, again and again."""
-    used_p, used_t, total = [False] * len(p), [False] * len(t), 0
+    """Greedy by definition: of all common runs of unmarked words a longest one is marked, again and again; of several
+    the first in p, then in t."""
+    used_p, used_t, tiles = [False] * len(p), [False] * len(t), []
     while True:
         best = (0, 0, 0)
         for i in range(len(p)):
@@ -70,20 +75,52 @@ def brute_tiles(p, t, least):
                     best = (n, i, j)
         n, i, j = best
         if n < least:
-            return total
+            return tiles
         used_p[i : i + n] = used_t[j : j + n] = [True] * n
-        total += n
+        tiles.append((i, j, n))
 
 
-def test_tiling_is_greedy_by_length():
+@pytest.mark.parametrize("most", [decontam.MOST_RUNS, 3])
+def test_tiles_are_those_of_the_definition(monkeypatch, most):
+    monkeypatch.setattr(decontam, "MOST_RUNS", most)
     pick = random.Random(4)
-    for _ in range(200):
-        p, t = ([pick.randrange(4) for _ in range(pick.randrange(5, 40))] for _ in range(2))
-        near = [(i, j) for i in range(len(p) - 2) for j in range(len(t) - 2) if p[i : i + 3] == t[j : j + 3]]
-        tiles = decontam.tile(p, t, near, 3)
-        assert all(p[a : a + n] == t[b : b + n] and n >= 3 for a, b, n in tiles)
-        for k in (0, 1):
-            cells = [x for tile in tiles for x in range(tile[k], tile[k] + tile[2])]
-            assert len(cells) == len(set(cells))
-        if len(set(p)) > 3:  # which of several longest runs comes first can change the sum by a few words
-            assert abs(sum(n for *_, n in tiles) - brute_tiles(p, t, 3)) <= 8
+    for _ in range(150):
+        words, least = pick.choice([1, 2, 3, 5, 9]), pick.choice([1, 2, 3, 4])
+        p, t = ([pick.randrange(words) + 5 for _ in range(pick.randrange(0, 40))] for _ in range(2))
+        assert decontam.tile(np.array(p, np.uint64), np.array(t, np.uint64), least) == brute_tiles(p, t, least)
+
+
+def test_equal_words_cost_no_more_than_their_runs():
+    began = time.perf_counter()
+    assert decontam.tile(np.full(1000, 7, np.uint64), np.full(20_000, 7, np.uint64), 4) == [(0, 0, 1000)]
+    assert len(decontam.tile(np.array([1, 2] * 500, np.uint64), np.array([1, 2, 1] * 6000, np.uint64), 4)) == 0
+    assert time.perf_counter() - began < 2
+
+
+def test_matches_equal_brute_force(spark):
+    pick = random.Random(12)
+    items = [(i, " ".join(pick.choice("abcdefg") for _ in range(pick.randrange(0, 25)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        words = [pick.choice("abcdefgxyz") for _ in range(pick.randrange(0, 30))]
+        for _ in range(pick.randrange(3)):
+            own = pick.choice(items)[1].split()
+            for _ in range(2):  # two passages of it, in any order
+                a, b = pick.randrange(len(own) + 1), pick.randrange(len(words) + 1)
+                words[b:b] = own[a : a + pick.randrange(4, 20)]
+        docs.append((i, ", ".join(words).upper(), "en", "s", 0, "x", 1, "y", "z"))
+    want = []
+    for d, text, *_ in docs:
+        t = text.lower().replace(",", " ").split()
+        for k, item_text in items:
+            p = item_text.split()
+            if 0 < len(p) < 4:
+                if any(t[j : j + len(p)] == p for j in range(len(t))):
+                    want.append((d, k, 1.0, 1, len(p)))
+            elif p:
+                tiles = brute_tiles(p, t, 4)
+                if tiles and sum(n for *_, n in tiles) / len(p) >= 0.5:
+                    want.append((d, k, sum(n for *_, n in tiles) / len(p), len(tiles), max(n for *_, n in tiles)))
+    got = [tuple(r) for r in decontam.matches(texts.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(want) > 15 and any(r[3] > 1 for r in want)
