@@ -126,3 +126,48 @@ def test_neighbours_of_few_or_no_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(spark.createDataFrame(few, VECTORS)).collect()]
     assert sorted(got) == [(0, 1, 3, 1.0), (0, 2, 2, 0.0)]
     assert ann.search(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def exact(x, ids, every=50, k=5):
+    """The k nearest of each query, from distinct vectors."""
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        score = y @ y[i]
+        score[i] = -2
+        out[int(ids[i])] = set(ids[np.argsort(-score, kind="stable")[:k]].tolist())
+    return out
+
+
+def recall(found, want):
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(got[q] & w) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_clustered_vectors_are_found_in_few_leaves_and_leaves_deepen(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 24))).astype(np.float32)
+    frame, want = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), exact(x.astype(float), np.arange(6000))
+    one: dict = {}
+    assert recall(ann.search(frame, report=one).collect(), want) >= 0.9
+    assert one["scored"] < 0.15
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    monkeypatch.setattr(ann, "LEAF_VECTORS", 100)
+    two: dict = {}
+    assert recall(ann.search(frame, report=two).collect(), want) >= 0.9
+    assert two["leaves"] > 60 and two["scored"] < 0.15
+
+
+def test_recall_and_visits_of_all_queries(spark, capsys):
+    """The vectors of the test data are noise without structure, the worst case: most of what a leaf keeps out is luck."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = frame.select("vec_id", "embedding").collect()
+    report: dict = {}
+    found = ann.search(frame, report=report).collect()
+    reached = recall(found, exact(np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])))
+    with capsys.disabled():
+        print(f"\nnearest neighbours at sf0.1: recall {reached:.3f}, {report['visits']} of {report['leaves']} leaves visited, {report['scored']:.2f} of the vectors scored")
+    assert reached >= 0.9
+    assert report["scored"] < 0.75
