@@ -61,6 +61,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, settle: Callable[[str], Column], most: int, learn: str = "true") -> DataFrame:
+    """id, y and body (bytes, null: empty) of labelled documents, at most `most` of them: those of least hash of their
+    ids. Written once, as a fit reads it more than once: its size is bounded by `most`, not by the data.
+
+    settle decides between labels of one document; labels other than 0 and 1 do not count; learn (SQL on id) tells
+    which ids may be used; of rows with one id the text of least hash is taken."""
+    known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter("id is not null and y in (0, 1)")
+    known = known.filter(learn).groupBy("id").agg(settle("y").cast("int").alias("y")).sort(F.xxhash64("id"), "id").limit(most)
+    body = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), body.alias("body")).join(F.broadcast(known), "id")
+    return checkpointed(rows.groupBy("id", "y").agg(F.min_by("body", F.xxhash64("body")).alias("body")))
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

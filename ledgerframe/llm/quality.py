@@ -1,23 +1,24 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A document classifier on measures of the text gives its evidence. Evidence is then summed by host and by
-path within the host; a site's posterior mean is drawn towards its prior, hosts towards the global mean and
-paths towards their host, the more the fewer documents they have. The strength of each prior is estimated
-from how much the means of sites differ beyond chance. A document's quality joins its evidence with its
-site's.
+path prefixes within the host; a site's posterior mean is drawn towards its prior, hosts towards the global mean
+and paths towards the level above, the more the fewer documents they have. The strength of each prior is estimated
+from how much the means of sites differ beyond chance. A document's quality joins its own evidence with what the
+other documents of its site tell: its own is left out of the sums it is judged by.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import checkpointed, tidy
+from .common import boxed, checkpointed, labelled, named, tidy, unboxed
 from .linear import fit_dense, sigmoid
 
 #: Labelled rows that the document classifier uses at most: those of least hash of their ids.
@@ -75,16 +76,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Of a document labelled twice, the smaller label counts. Without labels of both classes the evidence is their smoothed share."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.min(F.col(label)).cast("int").alias("y")).filter("__id is not null").sort(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body")).join(F.broadcast(known), "__id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [measures(b.as_py()).tolist() for b in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
-
-    taken = sorted((r.id, r.y, tuple(r.x)) for r in rows.mapInArrow(tidy(run), "id long, y int, x array<double>").toLocalIterator())  # FIT_ROWS short rows, and repeats of their ids
+    """Of a document labelled twice the smaller label counts, and labels other than 0 and 1 do not; of rows with one
+    id the text of least hash. Without labels of both classes the evidence is their smoothed share."""
+    taken = []
+    for r in labelled(docs, labels, doc_id, text, label, F.min, FIT_ROWS).mapInArrow(tidy(_measured), "id long, y int, x array<double>").toLocalIterator():  # FIT_ROWS short rows
+        taken.append((r.id, r.y, tuple(r.x)))
+    taken.sort()
     width = len(measures(b""))
     x, y = np.array([r[2] for r in taken]).reshape(-1, width), np.array([r[1] for r in taken], float)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -95,15 +92,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(base.mean, base.spread, weight, intercept)
 
 
-def _with_evidence(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [measures(b.as_py()).tolist() for b in batch.column("body")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
+
+
+def _with_evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (own, keys, body) with the column e in place of body."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in rows.schema if f.name != "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shared.value.evidence([b.as_py() or b"" for b in batch.column(place).cast(pa.binary())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "__evidence"])
+            got = shared.value.evidence([b.as_py() or b"" for b in batch.column("body")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(got, pa.float64())], names=[*(f.name for f in kept), "e"])
 
-    return docs.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__evidence double"]))
+    return rows.mapInArrow(tidy(run), StructType([*kept, StructField("e", DoubleType())]))
 
 
 def _logit(p: Column) -> Column:
@@ -120,37 +125,68 @@ def _strength(n: float, groups: float, squares: float, within: float, between: f
     return float(np.clip(mean * (1 - mean) / spread - 1, LEAST_STRENGTH, MOST_STRENGTH)) if spread > 0 else MOST_STRENGTH
 
 
-def sites(scored: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
-    """Posterior means by host and path from a column __evidence, and the global mean. Null hosts and paths are sites of their own."""
-    e = F.col("__evidence")
-    paths = scored.groupBy(host.alias("__host"), path.alias("__path")).agg(F.count("*").alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("ss"))
-    paths = checkpointed(paths)  # a row a site, read four times
-    hosts = paths.groupBy(F.col("__host").alias("__own")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("ss").alias("hss"))
-    h = hosts.agg(F.sum("hn").alias("n"), F.count("*").alias("g"), F.sum(F.col("hn").cast("double") ** 2).alias("sq"), F.sum("hs").alias("s"), F.sum(F.col("hss") - F.col("hs") ** 2 / F.col("hn")).alias("within"), F.sum(F.col("hs") ** 2 / F.col("hn")).alias("means")).first()
-    total = float(h["n"] or 0)
-    mean = min(1 - EDGE, max(EDGE, float(h["s"]) / total)) if total else 0.5
-    host_strength = _strength(total, h["g"], float(h["sq"] or 0), float(h["within"] or 0), float(h["means"] or 0) - total * mean**2, mean)
-    p = paths.agg(F.count("*").alias("g"), F.sum(F.col("n").cast("double") ** 2).alias("sq"), F.sum(F.col("ss") - F.col("s") ** 2 / F.col("n")).alias("within"), F.sum(F.col("s") ** 2 / F.col("n")).alias("means")).first()
-    path_strength = _strength(total, p["g"] - h["g"] + 1, float(p["sq"] or 0), float(p["within"] or 0), float(p["means"] or 0) - float(h["means"] or 0), mean)
-    hosts = hosts.withColumn("host_posterior", (F.col("hs") + host_strength * mean) / (F.col("hn") + host_strength))
-    out = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__own"))).select("__host", "__path", "host_posterior", ((F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).alias("path_posterior"))
-    return out, mean
-
-
-def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs with evidence, host_posterior, path_posterior, quality and keep (quality of REJECT_BELOW or more).
-
-    A null text is judged as an empty one; null hosts and paths are sites of their own; repeated rows are judged alike
-    and each counts. Columns of these names in docs are replaced. Empty input: no rows."""
+def url_levels(url: Column, depth: int = 3) -> list[Column]:
+    """Host and the first path segments of a URL, as levels for judged(): null where a URL has fewer."""
+    bare = F.regexp_replace(F.lower(F.trim(url)), r"(?s)^[a-z][a-z0-9+.-]*://|[?#].*$", "")
+    parts = F.filter(F.split(bare, "/"), lambda p: p != "")
+    return [F.get(parts, F.lit(i)) for i in range(depth)]
+
+
+def sites(scored: DataFrame, levels: int) -> tuple[DataFrame, list[float], float]:
+    """From columns k0, k1, ... and the evidence e: a row for each finest site with documents and sums of evidence at
+    every level (n0, s0, n1, s1, ...); the strength of the prior at every level; and the global mean."""
+    keys, e = [f"k{j}" for j in range(levels)], F.col("e")
+    finest = checkpointed(scored.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("ss")))  # a row a site
+    out = finest.select(*keys, F.col("n").alias(f"n{levels - 1}"), F.col("s").alias(f"s{levels - 1}"))
+    sums = []
+    for j in range(levels):
+        at = finest.groupBy(*keys[: j + 1]).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        if j < levels - 1:
+            out = out.join(at.select(*keys[: j + 1], F.col("n").alias(f"n{j}"), F.col("s").alias(f"s{j}")), keys[: j + 1])
+        sums.append(at.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n").cast("double") ** 2).alias("sq"), F.sum(F.col("ss") - F.col("s") ** 2 / F.col("n")).alias("within"), F.sum(F.col("s") ** 2 / F.col("n")).alias("means")).first())
+    total = float(sums[0]["n"] or 0)
+    mean = min(1 - EDGE, max(EDGE, float(sums[0]["s"]) / total)) if total else 0.5
+    strengths, groups, means = [], 1, total * mean**2
+    for x in sums:
+        strengths.append(_strength(total, x["g"] - groups + 1, float(x["sq"] or 0), float(x["within"] or 0), float(x["means"] or 0) - means, mean))
+        groups, means = x["g"], float(x["means"] or 0)
+    return out, strengths, mean
+
+
+def posteriors(strengths: list[float], mean: float) -> list[Column]:
+    """Posterior mean at every level from the columns of sites() and e, the row's own evidence, which is left out."""
+    out, prior = [], F.lit(mean)
+    for j, strength in enumerate(strengths):
+        prior = (F.col(f"s{j}") - F.col("e") + strength * prior) / (F.col(f"n{j}") - 1 + strength)
+        out.append(prior)
+    return out
+
+
+def judged(docs: DataFrame, labels: DataFrame, levels: Sequence[Column | str] = ("source", "lang"), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs with evidence, host_posterior, path_posterior (of the finest level), quality and keep
+    (quality of REJECT_BELOW or more).
+
+    levels: columns from host to finest path prefix; url_levels() makes them from a URL. The default stands in for a
+    table without URLs. A null text is judged as an empty one, bytes are taken as they are; nulls in levels are sites
+    of their own; repeated rows are judged alike and each counts. Columns of docs named as one of the five, in any
+    case, are replaced; all others stay, whatever their names. Empty input: no rows."""
     added = ["evidence", "host_posterior", "path_posterior", "quality", "keep"]
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    kept, count = named(docs.columns, added), len(levels)
     model = fit(docs, labels, doc_id, text)
-    narrow = _with_evidence(docs.select(F.col(f"`{host}`").alias("__h"), F.col(f"`{path}`").alias("__p"), F.col(f"`{text}`").alias("__t")), model, "__t").drop("__t")
-    found, mean = sites(narrow, F.col("__h"), F.col("__p"))
-    if found.count() <= BROADCAST_SITES:
-        found = F.broadcast(found)
-    every = _with_evidence(docs, model, text)
-    joined = every.join(found, F.col(f"`{host}`").eqNullSafe(F.col("__host")) & F.col(f"`{path}`").eqNullSafe(F.col("__path")), "left")
-    base = float(np.log(mean / (1 - mean)))
-    quality = 1 / (1 + F.exp(-(_logit(F.col("__evidence")) + _logit(F.col("path_posterior")) - base)))
-    return joined.withColumn("quality", quality).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__evidence").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= REJECT_BELOW).alias("keep"))
+    # No key is null: joins by equality then find sites of nulls too.
+    keys = [F.coalesce(F.concat(F.lit("="), (F.col(f"`{x}`") if isinstance(x, str) else x).cast("string")), F.lit("")).alias(f"k{j}") for j, x in enumerate(levels)]
+    body = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("body")
+    found, strengths, mean = sites(_with_evidence(docs.select(*keys, body), model), count)
+    rows = _with_evidence(docs.select(boxed(docs, kept).alias("own"), *keys, body), model)
+    names, finest = [f"k{j}" for j in range(count)], f"n{count - 1}"
+    n_sites = found.count()
+    if n_sites <= BROADCAST_SITES:
+        joined = rows.join(F.broadcast(found), names)
+    else:  # sites with many documents are few and broadcast; of the others none is large enough to fill a task
+        edge = (found.agg(F.sum(finest)).first()[0] or 0) // BROADCAST_SITES
+        large = F.broadcast(found.filter(F.col(finest) > edge))
+        joined = rows.join(large, names).unionByName(rows.join(large, names, "left_anti").join(found.filter(F.col(finest) <= edge), names))
+    base, after = float(np.log(mean / (1 - mean))), posteriors(strengths, mean)
+    out = joined.select("own", "e", after[0].alias("host"), after[-1].alias("path"))
+    quality = 1 / (1 + F.exp(-(_logit(F.col("e")) + _logit(F.col("path")) - base)))
+    return out.withColumn("q", quality).select(*unboxed(kept), F.col("e").alias("evidence"), F.col("host").alias("host_posterior"), F.col("path").alias("path_posterior"), F.col("q").alias("quality"), (F.col("q") >= REJECT_BELOW).alias("keep"))

@@ -21,10 +21,12 @@ from .common import mixed, tidy
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
 #: Bytes of text for which there is one bucket of the exact pass.
-BUCKET_TEXT = 24_000_000
+BUCKET_TEXT = 12_000_000
 #: Windows that one hash of their surroundings deals together are spread over one in so many of all buckets, so that
 #: a phrase that very many texts share, in ever other surroundings, does not fill one bucket.
 SPREAD = 64
+#: Groups at least in which settled rows pass.
+LEAST_GROUPS = 256
 _ZSTD = zstandard.ZstdCompressor(level=1)
 _SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary, weight binary, done_doc long, done_row long"
 FOUND = "doc long, row_key long, at binary"
@@ -176,7 +178,7 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
 
 def exchanged(sent: DataFrame, buckets: int, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """meet of each bucket. Rows of bucket -1 are settled: spread by document and row, they pass as they are."""
-    dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("done_doc", "done_row"), F.lit(buckets))).otherwise(F.col("bucket")))
+    dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("done_doc", "done_row"), F.lit(max(buckets, LEAST_GROUPS)))).otherwise(F.col("bucket")))
 
     def either(table: pa.Table) -> pa.Table:
         if table["spread"][0].as_py() >= 0:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash_words, hashed, mixed, text_size, tidy, windows
+from .common import checkpointed, hashed, mixed, text_size, tidy, windows
 from .repeats import Found, buckets_for, by_row, exchanged, gathered, later, meeting, pack, starts_of, unpack
 from .substring_dedup import keyed, with_removals
 
@@ -35,7 +35,7 @@ _ZSTD = zstandard.ZstdCompressor(level=1)
 #: most, are grouped each by itself. The number grows with the input so that fewer than MOST_HOT cores are hot.
 HOT, MOST_HOT = 20_000, 8_000_000
 #: Bytes of suffixes that a task holds before it sends them, and that are sorted at once.
-FLUSH_BYTES, SLICE_BYTES = 32_000_000, 12_000_000
+FLUSH_BYTES, SLICE_BYTES = 24_000_000, 6_000_000
 _SENT = "bucket int, hot int, text binary, core binary, doc binary, shape binary, entry binary, row binary, at binary, lo binary, hi binary, done_doc long, done_row long"
 _COLUMNS = [x.split()[0] for x in _SENT.split(", ")]
 _KINDS = [{"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]] for x in _SENT.split(", ")]
@@ -220,7 +220,7 @@ def _meet(table: pa.Table, length: int) -> pa.Table:
             if len(own) < 2:
                 continue
             n, left = shape[own, 1], shape[own, 0]
-            words = hash_words(np.frombuffer(b" ".join([texts[i] for i in own]), np.uint8), False)[1]
+            words = np.concatenate([lo for lo, _ in hashed(texts[i] for i in own)])
             found, extent = repeats_of(words, n, left, doc[own], length)
             times = (begin[1:] - begin[:-1])[own][found]
             each = np.repeat(begin[:-1][own][found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import labelled, tidy
 from .linear import fit_sparse, sigmoid
 
 #: Labelled rows that the fit uses at most: those of least hash of their ids.
@@ -25,9 +25,9 @@ _SLICES = 64
 _BASE, _ODD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
-def buckets(text: str) -> np.ndarray:
-    """Buckets of all character n-grams of the lower-cased text, with repeats."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+def buckets(body: bytes) -> np.ndarray:
+    """Buckets of all character n-grams of the lower-cased text, with repeats. Bytes that are no UTF-8 count as U+FFFD."""
+    codes = np.frombuffer(f" {body.decode('utf-8', 'replace').lower()} ".encode("utf-32-le", "replace"), np.uint32)
     out, rolled = [], codes
     for n in range(2, SIZES[-1] + 1):
         rolled = rolled[:-1] * _BASE + codes[n - 1 :] if len(rolled) else rolled
@@ -46,25 +46,20 @@ class Model:
     weight: np.ndarray
     intercept: float
 
-    def present(self, text: str) -> np.ndarray:
-        found = self.feature[buckets(text)]
+    def present(self, body: bytes) -> np.ndarray:
+        found = self.feature[buckets(body)]
         return np.unique(found[found > 0])
 
-    def score(self, text: str | None) -> float:
-        return float(sigmoid(self.weight[self.present(text or "")].sum() + self.intercept))
-
-
-def _fit_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """Labelled texts for fitting: at most FIT_ROWS ids, broadcast as that bounds them."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y"))
-    known = known.filter("__id is not null and crc32(cast(__id as string)) % 5 <> 0").sort(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body")).join(F.broadcast(known), "__id").select("body", "__y")
+    def score(self, body: bytes | None) -> float:
+        return float(sigmoid(self.weight[self.present(body or b"")].sum() + self.intercept))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fitted on labelled rows whose crc32(doc_id as text) mod 5 is not 0. Of a document labelled twice, the larger
-    label counts. Without labels of both classes every score is the smoothed share of toxic rows."""
-    rows, size = _fit_rows(docs, labels, doc_id, text, label), 1 << BITS
+    """Fitted on labelled rows whose crc32(doc_id as text) mod 5 is not 0. Of a document labelled twice the larger
+    label counts, and labels other than 0 and 1 do not; of rows with one id the text of least hash. Without labels of
+    both classes every score is the smoothed share of toxic rows."""
+    size = 1 << BITS
+    rows = labelled(docs, labels, doc_id, text, label, F.max, FIT_ROWS, "crc32(cast(id as string)) % 5 <> 0").select("body", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, size), "<u4"), [0, 0]
@@ -105,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([chosen.value.present(x.as_py()).astype("<u2").tobytes() for x in batch.column(0)], pa.binary()), batch.column(1)], names=["found", "y"])
 
-    taken = [(np.frombuffer(x.found, "<u2").astype(np.int64), x.y) for x in rows.mapInArrow(tidy(pick), "found binary, y int").sort("y", "found").toLocalIterator()]
+    found = sorted((x.y, bytes(x.found)) for x in rows.mapInArrow(tidy(pick), "found binary, y int").toLocalIterator())  # FIT_ROWS rows of FEATURES numbers at most
+    taken = [(np.frombuffer(x, "<u2").astype(np.int64), y) for y, x in found]
     places = np.repeat(np.arange(len(taken)), [len(x) for x, _ in taken])
     w, b = fit_sparse(places, np.concatenate([x for x, _ in taken]), scale, np.array([y for _, y in taken], float), PENALTY)
     return Model(feature, w * scale, b)
@@ -114,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted of every row, from its whole text alone.
 
-    A null text scores as an empty one; a null doc_id is not held out. Repeated rows score alike. Empty input: no rows."""
+    A null text scores as an empty one; a null doc_id is not held out. Repeated rows score alike. Bytes that are no
+    UTF-8 count as U+FFFD. Other columns are ignored, whatever their names. Empty input: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,5 +119,5 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             scores = np.array([shared.value.score(x.as_py()) for x in batch.column("body")], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col(f"`{text}`").alias("body"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body"))
     return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
