@@ -18,8 +18,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import tidy
+from .common import boxed, named, tidy, unboxed
 
 #: Pre-tokens kept with their ids in each worker; the cache then starts anew.
 CACHE_ENTRIES = 300_000
@@ -114,18 +115,19 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -
     """Adds the columns `bpe_ids` (binary, little-endian unsigned 32-bit ids) to all columns of docs.
 
     vocabulary: path of the rank file, read once on the driver (its size does not depend on the data).
-    A null text encodes as an empty one. Rows are independent: ties and repeated rows need no rule.
-    Existing columns of that name are replaced."""
+    A null text encodes as an empty one; bytes that are no UTF-8 are encoded as U+FFFD. Rows are independent: ties and
+    repeated rows need no rule. Columns of docs named as the added one, in any case, are replaced; all others stay,
+    whatever their names. Empty input: no rows."""
     return _mapped(docs, vocabulary, pattern, text, "ids")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256: the text encoded, and its ids decoded again."""
+    """Adds n_tokens, ids_sha256 and decoded_sha256: the text encoded, and its ids decoded again. Otherwise as encode()."""
     return _mapped(docs, vocabulary, pattern, text, "digest")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "bpe_ids") -> DataFrame:
-    """Adds `bpe_text`, the decoded text of the ids (null: empty)."""
+    """Adds `bpe_text`, the decoded text of the ids (null: empty). Otherwise as encode()."""
     return _mapped(encoded, vocabulary, pattern, ids, "text")
 
 
@@ -140,28 +142,28 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, column: str, what: s
     spark, added = docs.sparkSession, _ADDED[what]
     ranks = read_ranks(vocabulary)
     shared = spark.sparkContext.broadcast((ranks, serialise(ranks)))
-    kept = [c for c in docs.columns if c not in dict(added)]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept))
-    place = kept.index(column)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + [f"`{n}` {t}" for n, t in added])
+    kept = named(docs.columns, dict(added))
+    source = docs.select(boxed(docs, kept).alias("own"), F.col(f"`{column}`").cast("binary").alias("value"))
+    fresh = [f"new_{i}" for i in range(len(added))]
+    form = StructType([source.schema["own"], *(StructField(n, {"binary": BinaryType(), "string": StringType(), "long": LongType()}[t]) for n, (_, t) in zip(fresh, added, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, model = shared.value
         codec = Codec(ranks, pattern, model)
         for batch in batches:
-            values = batch.column(place)
+            values = batch.column("value")
             if what == "text":
                 new = [pa.array([codec.decode(x.as_py() or b"").decode("utf-8", "replace") for x in values], pa.string())]
             elif what == "ids":
-                new = [pa.array([codec.encode(x.as_py() or "") for x in values], pa.binary())]
+                new = [pa.array([codec.encode((x.as_py() or b"").decode("utf-8", "replace")) for x in values], pa.binary())]
             else:
                 n, first, second = [], [], []
                 for x in values:
-                    ids = codec.encode(x.as_py() or "")
+                    ids = codec.encode((x.as_py() or b"").decode("utf-8", "replace"))
                     n.append(len(ids) // 4)
                     first.append(hashlib.sha256(ids).hexdigest())
                     second.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 new = [pa.array(n, pa.int64()), pa.array(first), pa.array(second)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, *dict(added)])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *new], names=["own", *fresh])
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run), form).select(*unboxed(kept), *(F.col(n).alias(name) for n, (name, _) in zip(fresh, added, strict=True)))

@@ -4,14 +4,16 @@ Logs often hold a conversation again and again as it grows. Rolling hashes of th
 conversations that are a prefix of a longer one; anti-joins keep the maximal ones, which are then rendered.
 
 A prefix hash is a sum over its turns of a hash of place, role and text, so it is built from chunks of turns:
-a conversation of any length is spread over many groups of bounded size.
+a conversation of any length is spread over many groups, each of the turns of 256 turn numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Turn numbers in one chunk, and so in one rendered part.
 CHUNK_TURNS = 256
 #: Bits of each of the two sums' terms, so that millions of turns cannot overflow a long.
@@ -19,35 +21,47 @@ TERM_BITS = 40
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _term(salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), F.col("place"), F.col("role"), F.col("text")).bitwiseAND(F.lit((1 << TERM_BITS) - 1))
-
-
-def turns_in_place(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, chunk, place (from 1), role, text, and the rolling prefix hashes a and b at every turn."""
+def _turns(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """conv, chunk, turn, role, text of the turns that take part."""
     rows = conversations.select(
         F.col(f"`{conv_id}`").cast("long").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
-    ).filter("conv is not null").distinct()
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(1 << 60))))
-    inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    before = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("conv", "chunk").agg(F.count("*").alias("c"))
-    starts = counts.select("conv", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    placed = rows.withColumn("i", F.row_number().over(inside)).join(starts, ["conv", "chunk"]).withColumn("place", F.col("start") + F.col("i"))
-    placed = placed.select("conv", "chunk", "place", "role", "text").withColumn("ta", _term(1)).withColumn("tb", _term(2))
-    sums = placed.groupBy("conv", "chunk").agg(F.sum("ta").alias("ca"), F.sum("tb").alias("cb"))
+    ).filter("conv is not null")
+    return rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(1 << 60))))
+
+
+def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row a chunk with its turns (turn, role, text): equal ones once, by number (null first), role and text."""
+    return rows.groupBy("conv", "chunk", *keys).agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+
+
+def prefixes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the turns: conv, place (from 1), n (turns of the conversation) and the rolling prefix hashes a and b at every
+    turn; and conv, chunk and part, the chunk's number within the conversation.
+
+    Texts are shuffled once, to put the turns of a chunk in order; from then on a turn is two hashes. What is joined
+    by conversation is a row a chunk."""
+    own = lambda salt: F.transform("turns", lambda t: F.xxhash64(F.lit(salt), t["role"], t["text"]))
+    hashes = checkpointed(_in_order(rows).select("conv", "chunk", own(1).alias("ha"), own(2).alias("hb")))
+    every = Window.partitionBy("conv")
+    before = every.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashes.select("conv", "chunk", F.size("ha").alias("c"))
+    starts = sizes.select("conv", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"), F.sum("c").over(every).alias("n"), (F.row_number().over(every.orderBy("chunk")) - 1).alias("part"))
+    starts = checkpointed(starts)
+    term = lambda c, salt: F.transform(c, lambda h, i: F.xxhash64(F.lit(salt), F.col("start") + i, h).bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
+    terms = hashes.join(starts, ["conv", "chunk"]).select("conv", "chunk", "start", "n", term("ha", 1).alias("ta"), term("hb", 2).alias("tb"))
+    added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    sums = terms.select("conv", "chunk", added("ta").alias("ca"), added("tb").alias("cb"))
     offsets = sums.select("conv", "chunk", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("ca", "oa"), ("cb", "ob"))))
-    rolling = Window.partitionBy("conv", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(offsets, ["conv", "chunk"])
-    return out.select("conv", "chunk", "place", "role", "text", (F.col("oa") + F.sum("ta").over(rolling)).alias("a"), (F.col("ob") + F.sum("tb").over(rolling)).alias("b"))
+    turns = terms.join(offsets, ["conv", "chunk"]).select("conv", "chunk", "start", "n", "oa", "ob", F.posexplode(F.arrays_zip("ta", "tb")).alias("i", "t"))
+    rolling = Window.partitionBy("conv", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    out = turns.select("conv", (F.col("start") + F.col("i") + 1).alias("place"), "n", (F.col("oa") + F.sum("t.ta").over(rolling)).alias("a"), (F.col("ob") + F.sum("t.tb").over(rolling)).alias("b"))
+    return checkpointed(out), starts.select("conv", "chunk", "part")
 
 
-def maximal(prefixes: DataFrame) -> DataFrame:
+def maximal(found: DataFrame) -> DataFrame:
     """conv, n_turns and n_logged (equal conversations) of those that are no proper prefix of another."""
-    lengths = prefixes.groupBy("conv").agg(F.max("place").alias("n"))
-    narrow = prefixes.select("conv", "place", "a", "b").join(lengths, "conv")
-    whole = narrow.filter("place = n").groupBy("place", "a", "b").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
-    inner = narrow.filter("place < n").select("place", "a", "b").distinct()
+    whole = found.filter("place = n").groupBy("place", "a", "b").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
+    inner = found.filter("place < n").select("place", "a", "b").distinct()
     return whole.join(inner, ["place", "a", "b"], "left_anti").select("conv", F.col("place").alias("n_turns"), "n_logged")
 
 
@@ -57,10 +71,11 @@ def formatted(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "t
     Of equal conversations the smallest id stands for all (n_logged tells how many). A part holds the turns of one
     range of CHUNK_TURNS turn numbers; the parts of a conversation, numbered from 0, joined in order are its
     rendering. Turns come by number (null first), equal numbers by role and text; rows equal in all four columns
-    count once; null roles and texts are empty; rows without a conversation id take no part. Empty input: no rows."""
-    prefixes = turns_in_place(conversations, conv_id, turn, role, text)
-    found = maximal(prefixes)
-    piece = F.concat(F.lit(OPEN), F.col("role"), F.lit("\n"), F.col("text"), F.lit(f"{CLOSE}\n"))
-    parts = prefixes.join(found, "conv").groupBy("conv", "chunk", "n_turns", "n_logged").agg(F.sort_array(F.collect_list(F.struct("place", piece.alias("piece")))).alias("pieces"))
-    number = F.row_number().over(Window.partitionBy("conv").orderBy("chunk")) - 1
-    return parts.select(F.col("conv").alias("conv_id"), number.alias("part"), "n_turns", "n_logged", F.array_join(F.col("pieces.piece"), "").alias("text"))
+    count once; null roles and texts are empty; rows without a conversation id take no part; other columns are ignored,
+    whatever their names. All rows of one turn number are one chunk. Empty input: no rows."""
+    rows = _turns(conversations, conv_id, turn, role, text)
+    found, chunks = prefixes(rows)
+    parts = maximal(found).join(chunks, "conv").select("conv", "chunk", "part", "n_turns", "n_logged")  # a row a chunk
+    kept = _in_order(rows.join(parts, ["conv", "chunk"]), "part", "n_turns", "n_logged")
+    piece = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(f"{CLOSE}\n"))
+    return kept.select(F.col("conv").alias("conv_id"), "part", "n_turns", "n_logged", F.array_join(F.transform("turns", piece), "").alias("text"))

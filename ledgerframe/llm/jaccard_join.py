@@ -8,9 +8,9 @@ by more others but asks for more shared n-grams before a pair is verified. n-gra
 sent.
 
 Documents of one set are one class with one representative. Representatives that share a prefix n-gram
-meet under the smallest of them (their hub), in blocks of bounded size, where the candidates are counted
-by shared prefix n-grams and verified on their whole sets; a block returns a spanning forest of its links
-rather than all pairs. Hubs with several blocks then compare, block by block, what is not yet connected to
+meet under the smallest of them (their hub), in blocks of bounded size that each hold the hub too, where the
+candidates are counted by shared prefix n-grams and verified on their whole sets; a block returns a spanning
+forest of its links rather than all pairs. Hubs with several blocks then compare, block by block, what is not yet connected to
 the hub with all else, so that no link between components is missed.
 """
 
@@ -24,16 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import checkpointed, hashed, mixed, release, text_size, tidy, windows
+from .common import boxed, checkpointed, hashed, mixed, release, text_size, tidy, unboxed, windows
 from .components import roots
 
 LEAST_BITS, MOST_BITS = 16, 29
 #: Longest l that a document may choose, and the cost of a verification in reads of a posting.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
+#: Hubs of several blocks up to this number are broadcast (a few MB).
+MOST_LARGE = 200_000
 #: Classes of more than this part of all rows are broadcast.
 HOT = 1_000
-#: n-grams and documents that a block holds at most (a single document may have more n-grams).
-BLOCK_NGRAMS, BLOCK_DOCS = 1_000_000, 2_048
+#: n-grams and documents that a block holds at most (a single document may have more n-grams), and documents of a
+#: block where what a hub does not connect is compared.
+BLOCK_NGRAMS, BLOCK_DOCS, ACROSS_DOCS = 1_000_000, 512, 2_048
 #: n-grams in this many documents of a block are counted by matrix products, rarer ones pair by pair.
 DENSE, CHUNK, CELLS = 24, 2_048, 1_000_000
 #: Cells of a block whose n-grams are all counted by one product.
@@ -162,7 +165,8 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     Two documents link when 100 * shared n-grams >= percent * all their n-grams. Words are runs of bytes other
     than ASCII white space; a text of fewer than k words is one n-gram; a null or empty text has none, links
     with nothing and is its own component. Rows of one doc_id count as one document with several texts.
-    A null doc_id takes no part: its component is null. Empty input: no rows."""
+    A null doc_id takes no part: its component is null. Other columns are ignored, whatever their names. Empty input:
+    no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("body"))
     _, size = text_size(rows, "body")
@@ -210,7 +214,9 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     members = checkpointed(members)
     totals = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / BLOCK_DOCS)).cast("long").alias("blocks"))
     large = checkpointed(totals.filter("blocks > 1"))
-    placed = members.join(large, "hub", "left").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    placed = members.join(F.broadcast(large) if large.count() <= MOST_LARGE else large, "hub", "left").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    hub_everywhere = large.select("hub", F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    placed = placed.unionByName(hub_everywhere).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = shared.value
@@ -244,19 +250,21 @@ def _named(own: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     Classes of more than a HOT-th of all rows are fewer than HOT, so these are broadcast: a text that a third of the
     rows share does not send them to one task. The others are joined by key."""
     key = ["lo", "hi", "n"]
-    large = classes.filter(F.col("size") > max(1, total // HOT)).select(*key, F.col("rep").alias("__rep"))
+    large = classes.filter(F.col("size") > max(1, total // HOT)).select(*key, F.col("rep").alias("hot"))
     marked = own.join(F.broadcast(large), key, "left")
-    rest = marked.filter("__rep is null").drop("__rep").join(classes.select(*key, "rep"), key)
-    return marked.filter("__rep is not null").select("doc", "n", F.col("__rep").alias("rep")).unionByName(rest.select("doc", "n", "rep"))
+    rest = marked.filter("hot is null").drop("hot").join(classes.select(*key, "rep"), key)
+    return marked.filter("hot is not null").select("doc", "n", F.col("hot").alias("rep")).unionByName(rest.select("doc", "n", "rep"))
 
 
 def _across(members: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """For hubs of several blocks: blocks of the documents not yet connected to their hub, against all blocks."""
-    own = members.join(large, "hub").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    size = lambda: F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / ACROSS_DOCS)).cast("long")
+    members = members.join(large.select("hub"), "hub")
+    own = members.join(members.groupBy("hub").agg(size().alias("blocks")), "hub").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     hub_roots = found.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     own = own.join(hub_roots, "hub", "left").withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub"))
     apart = own.filter("apart")
-    parts = apart.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / BLOCK_DOCS)).cast("long").alias("parts"))
+    parts = apart.groupBy("hub").agg(size().alias("parts"))
     place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     every = own.join(parts, "hub").select("hub", "doc", place("blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     these = apart.join(parts, "hub").select("hub", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), place("parts").alias("part"))
@@ -266,6 +274,8 @@ def _across(members: DataFrame, large: DataFrame, found: DataFrame, sets: DataFr
 
 def kept(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the near copies: of each component the rows of the smallest doc_id stay, and of rows with one
-    doc_id all stay. Rows with a null doc_id stay."""
-    found = components(docs, k, percent, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    doc_id all stay. Rows with a null doc_id stay. All columns stay as they are, whatever their names. Empty input:
+    no rows."""
+    gone = components(docs, k, percent, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    own = docs.select(boxed(docs, docs.columns).alias("own"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    return own.join(gone, "id", "left_anti").select(*unboxed(docs.columns))

@@ -23,7 +23,7 @@ _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 def canonical(url: Column) -> Column:
     """Host and path by which captures of one resource meet: no scheme, fragment, default port or tracking parameters;
-    host in lower case, parameters sorted, an empty path as /. What is no URL stays, trimmed."""
+    host in lower case, parameters sorted, an empty path as /. What is no URL only loses its fragment and the spaces around it."""
     bare = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(bare, _URL + r"([^/?]*)", 1))
@@ -32,7 +32,7 @@ def canonical(url: Column) -> Column:
     path = F.regexp_replace(rest, r"(?s)\?.*$", "")
     query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(rest, r"(?s)\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.startswith("utm_"))), "&")
     joined = F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(bare.rlike(_URL), joined).otherwise(F.trim(url))
+    return F.when(bare.rlike(_URL), joined).otherwise(bare)
 
 
 def _strong(tag: Column) -> Column:

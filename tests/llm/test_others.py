@@ -41,7 +41,7 @@ def test_chat_equals_brute_force(spark):
 def test_canonical_urls(spark):
     same = {
         "HTTP://Www.Ex.com:80/a?b=2&a=1&utm_x=3#f": "www.ex.com/a?a=1&b=2", "https://www.ex.com:443/a?a=1&b=2": "www.ex.com/a?a=1&b=2", "http://ex.com": "ex.com/", "http://ex.com?": "ex.com/",
-        "https://ex.com:80/": "ex.com:80/", " no url ": "no url", "": "",
+        "https://ex.com:80/": "ex.com:80/", " no url ": "no url", "": "", "a#b": "a",
     }
     got = spark.createDataFrame([(u,) for u in same], "u string").select("u", warc.canonical(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in got} == same
