@@ -153,12 +153,25 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     linked = 100 * common >= percent * (n[left] + n[right] - common)
     label = _forest(left[linked], right[linked], m)
     del common, left, right, linked, sets
-    if n.sum() > BLOCK_NGRAMS // 10:
-        release()
     child = np.flatnonzero((label != np.arange(m)) & (docs[label] != docs))
     return pa.table({"a": pa.array(docs[child], pa.int64()), "b": pa.array(docs[label[child]], pa.int64())})
 
 
+_handled = 0
+
+
+def _block(table: pa.Table, percent: int) -> pa.Table:
+    """_compare; a worker gives memory back whenever its blocks add up to some hundred thousand n-grams."""
+    global _handled
+    out = _compare(table, percent)
+    _handled += table["grams"].nbytes // 8
+    if _handled > BLOCK_NGRAMS // 4:
+        del table
+        release()
+        _handled = 0
+    return out
+
+
 def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -231,7 +244,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "do
     needed = members.select("doc").distinct()
     sets = rows.filter("body is not null").join(needed.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(tidy(whole), "doc long, matches int, grams binary").filter("matches > 0")
     links = checkpointed(
-        placed.join(sets, "doc").select("hub", "block", "doc", "matches", "grams").groupBy("hub", "block").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
+        placed.join(sets, "doc").select("hub", "block", "doc", "matches", "grams").groupBy("hub", "block").applyInArrow(lambda t: _block(t, percent), "a long, b long")
     )
     several = own.groupBy("doc").agg(F.count("*").alias("c")).filter("c > 1").select("doc")
     same = named.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
@@ -269,7 +282,7 @@ def _across(members: DataFrame, large: DataFrame, found: DataFrame, sets: DataFr
     every = own.join(parts, "hub").select("hub", "doc", place("blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     these = apart.join(parts, "hub").select("hub", "doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), place("parts").alias("part"))
     both = every.select("hub", "part", "block", "doc").unionByName(these.select("hub", "part", "block", "doc")).distinct()
-    return both.join(sets, "doc").select("hub", "part", "block", "doc", "matches", "grams").groupBy("hub", "part", "block").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
+    return both.join(sets, "doc").select("hub", "part", "block", "doc", "matches", "grams").groupBy("hub", "part", "block").applyInArrow(lambda t: _block(t, percent), "a long, b long")
 
 
 def kept(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, tidy
+from .common import mixed, release, tidy
 
 #: Windows that a task gathers before it settles and sends them.
 FLUSH_WINDOWS = 1_000_000
@@ -182,7 +182,10 @@ def exchanged(sent: DataFrame, buckets: int, meet: Callable[[pa.Table], pa.Table
 
     def either(table: pa.Table) -> pa.Table:
         if table["spread"][0].as_py() >= 0:
-            return meet(table)
+            try:
+                return meet(table)
+            finally:
+                release()
         return pa.table({"doc": table["done_doc"], "row_key": table["done_row"], "at": table["at"]})
 
     return dealt.groupBy("spread").applyInArrow(either, FOUND)
