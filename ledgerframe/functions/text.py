@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as white space, as line ends and as markup.
@@ -15,7 +15,7 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 MARKUP = r"[#|*_`~>\-\[\]()]"
 WORD = r"\p{L}\p{N}_"
 WINDOWS_PATH = rf"(?<![{WORD}])[A-Za-z]:[\\/]"
-POSIX_PATH = rf"(?<![{WORD}/:])/(?:(?:(?!/){NOT_SPACE})+/)+"
+POSIX_PATH = rf"(?<![{WORD}/:])/(?:[^/{SPACE[1:]}+/)+"
 CONTROL = r"[\p{Cc}\p{Cf}\p{Cs}&&[^\n\r\t]]"
 TRACEBACK = "traceback (most recent call last)"
 
@@ -29,29 +29,52 @@ def _class_of(length: int) -> str:
 _DOUBLE, _TRIPLE = _class_of(2), _class_of(3)
 
 
+def _runs_of(more: str = "") -> str:
+    """Runs of white space, or of characters of the class `more`, other than single blanks: those stay as they are."""
+    every = f"[{more}{SPACE[1:]}"
+    return f"[{every}&&[^ ]]{every}*| {every}+"
+
+
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(text, f"{SPACE}+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, _runs_of(), " "), F.lit(" "))
 
 
 def folded(text: Column) -> Column:
     """Case folding for texts whose only characters with a longer folding are sharp s: keys.folded is exact for all."""
-    return F.regexp_replace(F.lower(text), "[ßẞ]", "ss")
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # the capital one is lower-cased to the small one
 
 
 def normalised(text: Column) -> Column:
     return folded(collapsed(text))
 
 
-def visible_length(text: Column) -> Column:
-    """Characters of the case-folded text without markup and repeated white space; exact for every character."""
-    bare = collapsed(F.regexp_replace(text, MARKUP, " "))
+def _bare(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, _runs_of(MARKUP[1:-1]), " "), F.lit(" "))
+
+
+def _high(bare: Column) -> Column:
+    return F.regexp_replace(bare, r"[\x00-\xff]+", "")
+
+
+def _visible(bare: Column, high: Column) -> Column:
     # Of Latin-1 only sharp s folds to more characters; the large classes see the few characters beyond it.
-    high = F.regexp_replace(bare, r"[\x00-\xff]+", "")
     longer = F.length(F.regexp_replace(F.regexp_replace(high, _DOUBLE, "aa"), _TRIPLE, "aaa")) - F.length(high)
     return F.length(bare) + F.length(bare) - F.length(F.replace(bare, F.lit("ß"), F.lit(""))) + F.when(high == "", 0).otherwise(longer)
 
 
+def visible_length(text: Column) -> Column:
+    """Characters of the case-folded text without markup and repeated white space; exact for every character."""
+    return _visible(_bare(text), _high(_bare(text)))
+
+
+def measured(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the column `visible`, the visible length of a text; each step is a projection, so it runs once."""
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    steps = rows.select(*own, _bare(F.col(f"`{text}`")).alias("_bare")).select(*own, "_bare", _high(F.col("_bare")).alias("_high"))
+    return steps.select(*own, _visible(F.col("_bare"), F.col("_high")).alias("visible"))
+
+
 def has_absolute_path(text: Column) -> Column:
     windows = (text.contains(":\\") | text.contains(":/")) & text.rlike(WINDOWS_PATH)  # the plain tests spare most texts the patterns
     return windows | (text.contains("/") & text.rlike(POSIX_PATH))
@@ -72,6 +95,7 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: What makes a line a heading, and an item of a list.
 _HEADING = rf"^{SPACE}*(#{{1,6}}){SPACE}+(.+?){SPACE}*#*{SPACE}*$"
 _BULLET = rf"^{SPACE}*[-*+]{SPACE}+(.+?){SPACE}*$"
 
@@ -79,11 +103,13 @@ _BULLET = rf"^{SPACE}*[-*+]{SPACE}+(.+?){SPACE}*$"
 def headings(text: Column) -> Column:
     """array<struct<level:int, text:string>> in order."""
     one = lambda line: F.struct(F.length(F.regexp_extract(line, _HEADING, 1)).alias("level"), normalised(F.regexp_extract(line, _HEADING, 2)).alias("text"))
-    return F.transform(F.filter(lines(text), lambda line: line.rlike(_HEADING)), one)
+    found = F.transform(F.filter(lines(text), lambda line: line.rlike(_HEADING)), one)
+    return F.when(text.contains("#"), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<struct<level:int,text:string>>")))  # the plain test spares most texts the lines
 
 
 def bullets(text: Column) -> Column:
-    return F.transform(F.filter(lines(text), lambda line: line.rlike(_BULLET)), lambda line: normalised(F.regexp_extract(line, _BULLET, 1)))
+    found = F.transform(F.filter(lines(text), lambda line: line.rlike(_BULLET)), lambda line: normalised(F.regexp_extract(line, _BULLET, 1)))
+    return F.when(text.contains("-") | text.contains("*") | text.contains("+"), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def _cells(line: Column) -> Column:
@@ -121,19 +147,19 @@ def first_table(text: Column) -> Column:
 
         return _let(F.get(F.filter(_upto(F.lit(0), last - 1), starts), F.lit(0)), found)
 
-    return _let(lines(text), within)
+    none = F.when(text.isNotNull(), F.array().cast("array<array<string>>"))
+    return F.when(text.contains("|") & text.contains("---"), _let(lines(text), within)).otherwise(none)
 
 
-def missing(text: Column, expected: Column) -> Column:
-    """The expected phrases (array) that the normalised text does not hold."""
-    return _let(normalised(text), lambda own: F.filter(expected, lambda p: ~F.contains(own, normalised(p))))
+def missing(own: Column, expected: Column) -> Column:
+    """The expected phrases (array) that a normalised text does not hold."""
+    return F.filter(expected, lambda p: ~F.contains(own, normalised(p)))
 
 
-def in_order(text: Column, phrases: Column) -> Column:
-    """True if all phrases occur and their first places do not go back."""
-    place = lambda own: lambda p: F.when(normalised(p) == "", F.lit(1)).otherwise(F.instr(own, normalised(p)))
-    places = _let(normalised(text), lambda own: F.transform(phrases, place(own)))
-    return _let(places, lambda at: F.forall(at, lambda i: i > 0) & (F.array_sort(at) == at))
+def in_order(own: Column, phrases: Column) -> Column:
+    """True if a normalised text holds all phrases and their first places do not go back."""
+    place = lambda p: F.when(normalised(p) == "", F.lit(1)).otherwise(F.instr(own, normalised(p)))
+    return _let(F.transform(phrases, place), lambda at: F.forall(at, lambda i: i > 0) & (F.array_sort(at) == at))
 
 
 def sanitised(message: Column, own_path: Column, limit: int = 160) -> Column:
@@ -141,5 +167,5 @@ def sanitised(message: Column, own_path: Column, limit: int = 160) -> Column:
     name = F.element_at(F.split(own_path, "/"), -1)
     short = F.replace(collapsed(message), own_path, name)
     short = F.regexp_replace(short, rf"(?<![{WORD}])(?:[A-Za-z]:[\\/]{NOT_SPACE}*)", "<local-path>")
-    short = F.regexp_replace(short, rf"(?<![{WORD}/:<])/(?:(?:(?!/){NOT_SPACE})+/)+(?:(?!/){NOT_SPACE})*", "<local-path>")
+    short = F.regexp_replace(short, rf"(?<![{WORD}/:<])/(?:[^/{SPACE[1:]}+/)+[^/{SPACE[1:]}*", "<local-path>")
     return F.when(F.length(short) > limit, F.concat(F.substring(short, 1, limit - 3), F.lit("..."))).otherwise(short)

@@ -14,6 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out over the cores where the scan has fewer parts than these: a small file is one part, and heavy
+    rules would run in one task. A table with more parts is not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def decorated(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and a text with headings, lists, tables, fences, paths, tracebacks and control characters."""
     i = F.col("doc_id")

@@ -4,7 +4,7 @@ import re
 import unicodedata
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -12,72 +12,74 @@ from ledgerframe.functions import keys, paths
 from ledgerframe.functions import text as T
 from ledgerframe.operators import normalize, quality
 
-SAMPLES = [
-    "", " ", "#|*_`~>-[]()", "short", "x" * 40, "x" * 39, "# x" * 20, "Straße ẞ ﬁ ŉ ΐ İ ς", "a\u00a0b\u2003c\x1cd\x85e", "C:\\x", "xC:\\x", "éC:/", "(C:/a", "see /srv/a/b.txt", "http://a/b/c", "a/b/c", "é/a/b", "/a/", "/a", "//a/b",
-    "TraceBack (most recent call last): x", "traceback (moſt recent call last)", "Traceback (moﬆ)", "\u202e", "\x00", "tab\there\r\n", "zero\u200bwidth", "\ufeffbom", "🙂", "# One #\n## two  words\n####### no\n #3\n# \n", "- a\n* B  b\n+ c\n-d\n1. e",
-    "| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 |\n| 4 | 5 |", "x\n| a | b |\n| --- | - |\n", "a|b\n---|---\n1|2\nno bar\n3|4", "| A |\n| --- |\n| 1 |", "h | h2\n--- | ---", "a\x0bb\x0c# H\u2028- item",
-]
-
-
-def norm(v):
-    return " ".join(v.split()).casefold()
-
-
-def visible(v):
-    return len(norm(re.sub(r"[#|*_`~>\-\[\]()]", " ", v)))
-
-
-def absolute(v):
-    return bool(re.search(r"(?<![\w])(?:[A-Za-z]:[\\/])", v) or re.search(r"(?<![\w/:])/(?:[^/\s]+/)+[^/\s]*", v))
-
-
-def control(v):
-    return any(unicodedata.category(c) in ("Cc", "Cf", "Cs") and c not in "\n\r\t" for c in v)
-
-
-def warn(v):
-    n = visible(v)
-    out = ["empty-output"] if n == 0 else ["short-output"] if n < 40 else []
-    return out + ["absolute-path"] * absolute(v) + ["traceback"] * ("traceback (most recent call last)" in v.casefold()) + ["control-character"] * control(v)
-
-
-def table(v):
-    lines = v.splitlines()
-    cells = lambda line: [norm(c) for c in line.strip().strip("|").split("|")]
-    for i in range(len(lines) - 1):
-        head, dash = cells(lines[i]), cells(lines[i + 1])
-        if len(head) >= 2 and len(head) == len(dash) and all(re.fullmatch(":?-{3,}:?", c) for c in dash):
-            out = [head]
-            for line in lines[i + 2 :]:
-                if "|" not in line or len(cells(line)) != len(head):
-                    break
-                out.append(cells(line))
-            return out
-    return []
-
-
-def heads(v):
-    return [(len(m[1]), norm(m[2])) for line in v.splitlines() if (m := re.match(r"^\s*(#{1,6})\s+(.+?)\s*#*\s*$", line))]
-
-
-def items(v):
-    return [norm(m[1]) for line in v.splitlines() if (m := re.match(r"^\s*[-*+]\s+(.+?)\s*$", line))]
+EMPTY, SHORT, PATH, TRACE, CONTROL = quality.WARNINGS
+
+#: Text: visible length, warnings, headings, list items, rows of the first table; written by hand.
+CASES = {
+    "": (0, [EMPTY]),
+    " ": (0, [EMPTY]),
+    "#|*_`~>-[]()": (0, [EMPTY]),
+    "short": (5, [SHORT]),
+    "x" * 40: (40, []),
+    "x" * 39: (39, [SHORT]),
+    "# x" * 20: (39, [SHORT], [(1, "x# x" + "# x" * 18)]),
+    "Straße ẞ ﬁ ŉ ΐ İ ς": (25, [SHORT]),
+    "a\u00a0b\u2003c\x1cd\x85e": (9, [SHORT, CONTROL]),
+    "C:\\x": (4, [SHORT, PATH]),
+    "xC:\\x": (5, [SHORT]),
+    "éC:/": (4, [SHORT]),
+    "(C:/a": (4, [SHORT, PATH]),
+    "see /srv/a/b.txt": (16, [SHORT, PATH]),
+    "http://a/b/c": (12, [SHORT]),
+    "a/b/c": (5, [SHORT]),
+    "é/a/b": (5, [SHORT]),
+    "/a/": (3, [SHORT, PATH]),
+    "/a": (2, [SHORT]),
+    "//a/b": (5, [SHORT]),
+    "TraceBack (most recent call last): x": (35, [SHORT, TRACE]),
+    "traceback (moſt recent call last)": (31, [SHORT, TRACE]),
+    "Traceback (moﬆ)": (14, [SHORT]),
+    "\u202e": (1, [SHORT, CONTROL]),
+    "\x00": (1, [SHORT, CONTROL]),
+    "tab\there\r\n": (8, [SHORT]),
+    "zero\u200bwidth": (10, [SHORT, CONTROL]),
+    "\ufeffbom": (4, [SHORT, CONTROL]),
+    "🙂": (1, [SHORT]),
+    "# One #\n## two  words\n####### no\n #3\n# \n": (18, [SHORT], [(1, "one"), (2, "two words")]),
+    "- a\n* B  b\n+ c\n-d\n1. e": (16, [SHORT], [], ["a", "b b", "c"]),
+    "| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 |\n| 4 | 5 |": (17, [SHORT], [], [], [["a", "b"], ["1", "2"]]),
+    "x\n| a | b |\n| --- | - |\n": (5, [SHORT]),
+    "a|b\n---|---\n1|2\nno bar\n3|4": (18, [SHORT], [], [], [["a", "b"], ["1", "2"]]),
+    "| A |\n| --- |\n| 1 |": (3, [SHORT]),
+    "h | h2\n--- | ---": (4, [SHORT], [], [], [["h", "h2"]]),
+    "a\x0bb\x0c# H\u2028- item": (10, [SHORT, CONTROL], [(1, "h")], ["item"]),
+}
 
 
 @pytest.fixture(scope="module")
 def judged(spark):
     t = F.col("t")
-    frame = spark.createDataFrame([(s,) for s in SAMPLES], "t string").select("t", quality.warnings(t).alias("w"), T.visible_length(t).alias("n"), T.headings(t).alias("h"), T.bullets(t).alias("b"), T.first_table(t).alias("r"))
+    frame = spark.createDataFrame([(s,) for s in CASES], "t string").select("t", quality.warnings(t).alias("w"), T.visible_length(t).alias("n"), T.headings(t).alias("h"), T.bullets(t).alias("b"), T.first_table(t).alias("r"))
     return {r.t: r for r in frame.collect()}
 
 
-@pytest.mark.parametrize("sample", SAMPLES)
+@pytest.mark.parametrize("sample", CASES)
 def test_rules(judged, sample):
-    r = judged[sample]
-    assert r.n == visible(sample)
-    assert r.w == warn(sample)
-    fine = "ﬁ" not in sample
-    assert [tuple(x) for x in r.h] == heads(sample) and r.b == items(sample) and r.r == table(sample) or not fine
+    r, (n, warned, *found) = judged[sample], CASES[sample]
+    assert (r.n, r.w) == (n, warned)
+    assert [[tuple(x) for x in r.h], r.b, r.r] == [*found, *[[], [], []][len(found) :]]
+
+
+@given(st.text(st.characters(codec="utf-8"), max_size=30))
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_properties_of_the_rules(spark, text):
+    """What holds for every text: markup and repeated spaces never count, and a rule finds what is put in."""
+    t = F.col("t")
+    variants = [text, f" {text} ", f"**{text}**", f"{text} C:\\x", f"{text} /a/b", f"{text} traceback (most recent call last)", f"{text}\u202e"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(variants)], "i int, t string")
+    got = {r.i: r for r in frame.select("i", T.visible_length(t).alias("n"), quality.warnings(t).alias("w")).collect()}
+    assert got[0].n == got[1].n == got[2].n
+    assert [w in got[i].w for i, w in ((3, PATH), (4, PATH), (5, TRACE), (6, CONTROL))] == [True] * 4
 
 
 def test_unreadable_text(spark):
