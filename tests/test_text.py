@@ -47,7 +47,8 @@ CASES = {
     "🙂": (1, [SHORT]),
     "# One #\n## two  words\n####### no\n #3\n# \n": (18, [SHORT], [(1, "one"), (2, "two words")]),
     "- a\n* B  b\n+ c\n-d\n1. e": (16, [SHORT], [], ["a", "b b", "c"]),
-    "| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 |\n| 4 | 5 |": (17, [SHORT], [], [], [["a", "b"], ["1", "2"]]),
+    "| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 |\n| 4 | 5 |": (17, [SHORT]),  # a dash alone makes no table
+    "| a | b |\n|---|:---:|\n| 1 | 2 |\n| 3 |\n| 4 | 5 |": (17, [SHORT], [], [], [["a", "b"], ["1", "2"]]),
     "x\n| a | b |\n| --- | - |\n": (5, [SHORT]),
     "a|b\n---|---\n1|2\nno bar\n3|4": (18, [SHORT], [], [], [["a", "b"], ["1", "2"]]),
     "| A |\n| --- |\n| 1 |": (3, [SHORT]),
