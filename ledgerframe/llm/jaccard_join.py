@@ -34,9 +34,9 @@ MOST_MATCHES, VERIFY_COST = 4, 16.0
 MOST_LARGE = 200_000
 #: Classes of more than this part of all rows are broadcast.
 HOT = 1_000
-#: n-grams and documents that a block holds at most (a single document may have more n-grams), and documents of a
-#: block where what a hub does not connect is compared.
-BLOCK_NGRAMS, BLOCK_DOCS, ACROSS_DOCS = 1_000_000, 512, 2_048
+#: n-grams and documents that a block holds at most (a single document may have more n-grams). Smaller blocks leave
+#: more documents apart from their hub, and these are sent to all blocks of the hub.
+BLOCK_NGRAMS, BLOCK_DOCS = 1_000_000, 2_048
 #: n-grams in this many documents of a block are counted by matrix products, rarer ones pair by pair.
 DENSE, CHUNK, CELLS = 24, 2_048, 1_000_000
 #: Cells of a block whose n-grams are all counted by one product.
@@ -271,7 +271,7 @@ def _named(own: DataFrame, classes: DataFrame, total: int) -> DataFrame:
 
 def _across(members: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """For hubs of several blocks: blocks of the documents not yet connected to their hub, against all blocks."""
-    size = lambda: F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / ACROSS_DOCS)).cast("long")
+    size = lambda: F.greatest(F.ceil(F.sum("n") / BLOCK_NGRAMS), F.ceil(F.count("*") / BLOCK_DOCS)).cast("long")
     members = members.join(large.select("hub"), "hub")
     own = members.join(members.groupBy("hub").agg(size().alias("blocks")), "hub").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     hub_roots = found.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
