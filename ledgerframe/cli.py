@@ -80,9 +80,15 @@ def convert(a: argparse.Namespace) -> int:
     rows = C.converted(content.select("input_path", "content"), _converter(a.converter))
     if a.normalize:
         rows = C.normalised(rows)
-    done = {r.input_path: r for r in rows.toLocalIterator()}
-    by = {i: o for _, i, o in requests}
-    wrong = executor.write_texts(base, [(by[i], r.text) for i, r in done.items() if r.status == "succeeded"], a.force)
+    by, done = {i: o for _, i, o in requests}, {}
+
+    def texts():
+        for r in rows.toLocalIterator():  # a text is written before the next one is fetched, and not kept
+            done[r.input_path] = (r.status, r.category, r.error)
+            if r.status == "succeeded":
+                yield by[r.input_path], r.text
+
+    wrong = executor.write_texts(base, texts(), a.force)
     results = []
     for seq, i, o in requests:
         r = done.get(i)
@@ -91,7 +97,7 @@ def convert(a: argparse.Namespace) -> int:
         elif o in wrong:
             results.append((seq, i, o, "failed", "output", wrong[o]))
         else:
-            results.append((seq, i, o, r.status, r.category, r.error))
+            results.append((seq, i, o, *r))
     failed = sum(r[3] == "failed" for r in results)
     code = WRONG if failed else FINE
     settings = {"recursive": a.recursive, "include": a.include, "exclude": a.exclude, "force": a.force, "normalization_profile": "conservative" if a.normalize else None}

@@ -91,7 +91,7 @@ def tree_digests(entries: DataFrame) -> DataFrame:
     entries: session, path, content. The order is part of the digest, so a session's files are read by one task, one
     file at a time and sorted by Spark; sessions are many and spread."""
     keyed = entries.select("session", "path", path_key(F.col("path")).alias("key"), "content")
-    dealt = keyed.repartition("session").sortWithinPartitions("session", "key", "path").select("session", "path", "content")
+    dealt = keyed.repartition("session").sortWithinPartitions("session", "key", "path", "content").select("session", "path", "content")
 
     def run(batches):
         session, tree = None, None

@@ -12,6 +12,7 @@ from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame
 
+from ..operators import intent as intent_rules
 from . import reports as R
 
 SETTINGS = {"recursive": False, "include": [], "exclude": [], "force": False, "table_structure": False, "artifacts_path_configured": False, "normalization_profile": None}
@@ -211,26 +212,27 @@ def intent_status(receipt_bytes: bytes, finals: Sequence[tuple[str, bytes]], lif
     return R.STATUS.build(body, producer)
 
 
+def _claimed(report: dict, source: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """The actions that a final report tells of, and the artifacts it is bound to."""
+    if source == R.SOURCES["backup-cleanup"]:
+        bound = {kind: report["bindings"][f"{k}_sha256"] for k, kind in zip(("inventory", "plan", "approval"), R.BINDINGS["backup-cleanup"], strict=True)}
+        return [(R.CLEANUP_ACTION, a["session"]) for a in report["actions"]], bound
+    return [(a["action"], a["path"]) for a in report["actions"]], {f"repair-{k}": report[k]["sha256"] for k in ("plan", "approval", "preflight")}
+
+
 def _conflict(receipt: dict, digest: str, source: str, report: dict) -> str | None:
-    own = report.get("intent_receipt")
-    if own is None:
-        return "legacy-final-report"
-    if own["sha256"] != digest:
-        return "receipt-sha256-mismatch"
-    if own["attempt_id"] != receipt["attempt_id"]:
-        return "attempt-id-mismatch"
-    if R.SOURCES[receipt["operation_type"]] != source:
-        return "operation-type-mismatch"
-    if source == "repair-execution":
-        did = [(a["action"], a["path"]) for a in report["actions"]]
-        bound = {f"repair-{k}": report[k]["sha256"] for k in ("plan", "approval", "preflight")}
-    else:
-        did = [(R.CLEANUP_ACTION, a["session"]) for a in report["actions"]]
-        bound = {"backup-inventory": report["bindings"]["inventory_sha256"], "backup-cleanup-plan": report["bindings"]["plan_sha256"], "backup-cleanup-approval": report["bindings"]["approval_sha256"]}
-    if did != [(a["action"], a["target"]) for a in receipt["actions"]]:
-        return "action-scope-mismatch"
-    known = {b["artifact_type"]: b["sha256"] for b in receipt["bindings"]}
-    return None if all(known.get(k) == v for k, v in bound.items()) else "binding-scope-mismatch"
+    """The first reason, in the order that operators.intent fixes, why a final report is not that of the receipt."""
+    own, (did, bound) = report.get("intent_receipt"), _claimed(report, source)
+    told, known = own or {}, {b["artifact_type"]: b["sha256"] for b in receipt["bindings"]}
+    agrees = {
+        "legacy-final-report": own is not None,
+        "receipt-sha256-mismatch": told.get("sha256") == digest,
+        "attempt-id-mismatch": told.get("attempt_id") == receipt["attempt_id"],
+        "operation-type-mismatch": R.SOURCES[receipt["operation_type"]] == source,
+        "action-scope-mismatch": did == [(a["action"], a["target"]) for a in receipt["actions"]],
+        "binding-scope-mismatch": bound.items() <= known.items(),
+    }
+    return next((reason for reason in intent_rules.CONFLICTS if not agrees[reason]), None)
 
 
 def lifecycle_of(receipt_bytes: bytes, inputs: Sequence[bytes], producer: str = R.PRODUCER) -> tuple[bool, bool | None]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -73,23 +73,34 @@ def _state(path: Path) -> dict:
     return {"exists": True, "bytes": len(data), "sha256": R.sha256(data)}
 
 
+#: The states that a session may go to; closed ones stay as they are.
+TRANSITIONS = {None: ("open",), "open": R.STATES} | dict.fromkeys(R.STATES[1:], ())
+
+
+def next_state(now: str | None, then: str) -> str:
+    """then, if a session may go there."""
+    if then not in TRANSITIONS[now]:
+        raise OutputError(f"a session that is {now} cannot become {then}")
+    return then
+
+
 class _Session:
     """A backup session: its manifest follows every change, each time from exactly the bytes it had."""
 
     def __init__(self, root: Path, tag: str, bindings: dict, producer: str) -> None:
         self.folder = root / f"{producer}-repair-v1-{tag}"
         self.folder.mkdir()
-        self.producer, self.bindings, self.items, self.content = producer, bindings, [], b""
+        self.producer, self.bindings, self.items, self.content, self.state = producer, bindings, [], b"", None
         self._put("open", first=True)
 
     def _put(self, state: str, first: bool = False) -> None:
-        path = self.folder / backup.MANIFEST
+        path, state = self.folder / backup.MANIFEST, next_state(self.state, state)
         if not first and disk.read_stable(path) != self.content:
             raise OutputError("the session's manifest was changed")
         items = sorted(self.items, key=lambda i: (R.key(i["backup"]), i["backup"]))
         content = R.SESSION.build({"state": state, "bindings": self.bindings, "items": items}, self.producer)
         write_new(path, content) if first else write_atomically(path, content)
-        self.content = content
+        self.content, self.state = content, state
 
     def keep(self, source: str, content: bytes) -> None:
         place = f"{len(self.items):04d}/{source}.bak"
@@ -104,30 +115,41 @@ class _Session:
 
 def execute_repair(spark: SparkSession, root: Path, manifest: Path, plan: Path, approval: Path, preflight: Path, backup_root: Path, tag: str, receipt: bytes | None = None, producer: str = R.PRODUCER) -> bytes:
     """Run the ready actions of a preflight that is still what the present state gives; back up before removing, and
-    undo everything if one fails. Returns the execution report."""
+    undo everything if one fails. Returns the execution report: also where the present state cannot be told, or the
+    session that backups need cannot be started. Inputs that change after the receipt was read are refused."""
     inputs = [disk.read_stable(p) for p in (manifest, plan, approval, preflight)]
     approved = builders.bound_approval(inputs[1], inputs[2], producer)
     known = R.PREFLIGHT.parse(inputs[3], producer)
     R.need(known["plan"]["sha256"] == R.sha256(inputs[1]) and known["approval"]["sha256"] == R.sha256(inputs[2]), "preflight of another plan")
     R.need(all(a["status"] == "ready" for a in known["actions"]), "blocked actions")
-    now = R.PREFLIGHT.parse(builders.preflight(inputs[1], inputs[2], Package(spark, root, manifest, producer).preflight_rows(approved), producer), producer)
     bound = None
     if receipt is not None:
         r = R.INTENT.parse(receipt, producer)
         R.need(r["operation_type"] == "repair-execution" and builders.lifecycle_of(receipt, inputs, producer) == (True, True), "receipt of another operation")
         bound = {"schema_version": 1, "attempt_id": r["attempt_id"], "sha256": R.sha256(receipt)}
+        if [disk.read_stable(p) for p in (manifest, plan, approval, preflight)] != inputs:
+            raise OutputError("an input changed after the receipt")
     items = {R.key(builders.sidecar_name(i["output"]["path"])): i for i in R.MANIFEST.parse(inputs[0], producer)["items"]}
     document = R.MANIFEST.parse(inputs[0], producer)
     actions = sorted(known["actions"], key=lambda a: (R.key(a["path"]), a["action"]))
     rows = [{"path": a["path"], "action": a["action"], "status": "not-run", "before": R.picked(a["target"], "exists", "bytes", "sha256"), "after": R.picked(a["target"], "exists", "bytes", "sha256"), "rollback": "not-required"} for a in actions]
-    stale = [i for i, a in enumerate(actions) if R.picked(a, *a) not in now["actions"]]
-    post = "not-run"
+    try:
+        now = R.PREFLIGHT.parse(builders.preflight(inputs[1], inputs[2], Package(spark, root, manifest, producer).preflight_rows(approved), producer), producer)["actions"]
+    except Exception:  # whatever keeps the present state from being told, nothing may be changed
+        now = []
+    stale = [i for i, a in enumerate(actions) if R.picked(a, *a) not in now]
+    removals = [i for i, a in enumerate(actions) if a["action"] == "remove-stale-sidecar"]
+    post, session, refused = "not-run", None, False
+    if removals and not stale:  # only what is removed needs a backup
+        names = ("manifest", "plan", "approval", "preflight")
+        try:
+            session = _Session(backup_root, tag, {k: {"sha256": R.sha256(b), "schema_version": 1} for k, b in zip(names, inputs, strict=True)}, producer)
+        except (OSError, OutputError, R.ReportError):
+            rows[removals[0]]["status"], refused = "failed", True
     if stale:
         rows[stale[0]]["status"] = "failed-precondition"
         rows[stale[0]]["before"] = rows[stale[0]]["after"] = _state(root / actions[stale[0]]["path"])
-    elif actions:
-        names = ("manifest", "plan", "approval", "preflight")
-        session = _Session(backup_root, tag, {k: {"sha256": R.sha256(b), "schema_version": 1} for k, b in zip(names, inputs, strict=True)}, producer)
+    elif actions and not refused:
         done: list[tuple[int, bytes | None]] = []
         failed = False
         for i, a in enumerate(actions):
@@ -171,7 +193,8 @@ def execute_repair(spark: SparkSession, root: Path, manifest: Path, plan: Path,
                 except (OSError, OutputError):
                     rows[i] |= {"status": "rollback-failed", "after": _state(target), "rollback": "failed"}
                     state = "rollback-failed"
-        session.close(state)
+        if session is not None:
+            session.close(state)
     body = {"summary": R.execution_summary(rows), **{k: {"sha256": R.sha256(b)} for k, b in zip(("plan", "approval", "preflight"), inputs[1:], strict=True)}, "post_validation": post, "actions": rows}
     return R.EXECUTION.build(body | ({"intent_receipt": bound} if bound else {}), producer)
 
@@ -200,7 +223,9 @@ def execute_cleanup(backup_root: Path, inventory: Path, plan: Path, approval: Pa
         folder, entry = backup_root / a["session"], entries[R.key(a["session"])]
         row = {"session": a["session"], "status": "not-run", "before": {"files": a["backup_files"], "bytes": a["backup_bytes"], "tree_sha256": a["tree_sha256"]}, "after": {"exists": folder.exists()}}
         if not failed:
-            gone = inspect(folder, producer) == {k: entry[k] for k in inspect(folder, producer)} and _remove(folder)
+            seen = inspect(folder, producer)
+            want_files = {i["backup"]: i["sha256"] for i in entry["items"]} | {backup.MANIFEST: entry["session_manifest_sha256"]}
+            gone = seen == {k: entry[k] for k in seen} and _remove(folder, want_files)
             failed = not gone
             row |= {"status": "deleted" if gone else "failed", "after": {"exists": os.path.lexists(folder)}}
         rows.append(row)
@@ -208,33 +233,46 @@ def execute_cleanup(backup_root: Path, inventory: Path, plan: Path, approval: Pa
     return R.CLEANUP_AUDIT.build(body | ({"intent_receipt": bound} if bound else {}), producer)
 
 
-def _remove(folder: Path) -> bool:
-    """Deepest first; before each step the rest must be what it should be."""
+def _identity(path: Path) -> tuple:
+    """What tells a file or folder from another one put in its place; links are no files."""
+    at = path.lstat()
+    if disk.is_linked(path):
+        raise OutputError(f"{path.name} is a link")
+    return (at.st_dev, at.st_ino) if path.is_dir() else (at.st_dev, at.st_ino, at.st_size, at.st_mtime_ns)
+
+
+def _remove(folder: Path, want: dict[str, str]) -> bool:
+    """Delete the files of a session, whose digests are given, and its folders, deepest first. Before each step all that
+    remains must be the very files and folders that were there at first, in the same root, and a file must still
+    have its digest."""
     found, folders, odd = session_tree(folder)
+    if odd or found != set(want):
+        return False
     order = sorted(found | folders, key=lambda p: (-p.count("/"), R.key(p)))
-    files = [p for p in order if p in found]
     try:
-        for step in [*files, *(p for p in order if p in folders)]:
-            if odd or session_tree(folder) != (found, folders, False):
+        root, known = _identity(folder.parent), {p: _identity(folder / p) for p in ("", *order)}
+        for step in [*(p for p in order if p in found), *(p for p in order if p in folders), ""]:
+            if session_tree(folder) != (found, folders, False) or _identity(folder.parent) != root or any(_identity(folder / p) != known[p] for p in ("", *found, *folders)):
                 return False
+            at = folder / step
             if step in found:
-                (folder / step).unlink()
-                found = found - {step}
+                if R.sha256(disk.read_stable(at)) != want[step] or _identity(at) != known[step]:
+                    return False
+                at.unlink()
             else:
-                (folder / step).rmdir()
-                folders = folders - {step}
-        folder.rmdir()
-    except OSError:
+                at.rmdir()
+            found, folders = found - {step}, folders - {step}
+    except (OSError, OutputError):
         return False
-    return True
+    return not os.path.lexists(folder)
 
 
 def cleanup_exit(report: bytes, producer: str = R.PRODUCER) -> int:
     return int(any(a["status"] == "failed" for a in R.CLEANUP_AUDIT.parse(report, producer)["actions"]))
 
 
-def write_texts(root: Path, rows: Sequence[tuple[str, str]], force: bool = False) -> dict[str, str]:
-    """Write converted texts below root; returns what failed by path."""
+def write_texts(root: Path, rows: Iterable[tuple[str, str]], force: bool = False) -> dict[str, str]:
+    """Write converted texts below root, one at a time as they come; returns what failed by path."""
     wrong: dict[str, str] = {}
     for path, text in rows:
         target = root / path

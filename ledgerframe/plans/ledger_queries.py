@@ -339,6 +339,9 @@ ORACLES = {
     "inventory_summary": f"WITH {_BACKUP} SELECT count(*) AS sessions, count(*) FILTER (classification = 'managed') AS managed, 0::BIGINT AS legacy, count(*) FILTER (classification <> 'managed') AS orphaned, count(*) FILTER (planning_eligible) AS planning_eligible, sum(n_items)::BIGINT AS items, sum(bytes)::BIGINT AS bytes, CASE WHEN bool_or(classification <> 'managed' OR coalesce(state = 'rollback-failed', false)) THEN 1 ELSE 0 END AS exit_code FROM inv",
     "expected_directories": f"WITH {_BACKUP} SELECT session, 'package' AS path FROM i UNION SELECT session, 'package/' || (p % 3) FROM i",
     "cleanup_plan": f"WITH {_BACKUP}, q AS (SELECT 'SESSION-' || (s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 100000 ELSE 0 END) AS session FROM supplier) SELECT coalesce(inv.session, q.session) AS session, CASE WHEN planning_eligible THEN manifest_sha256 END AS manifest_sha256, CASE WHEN planning_eligible THEN n_items ELSE 0 END AS files, CASE WHEN planning_eligible THEN inv.bytes ELSE 0 END AS bytes, coalesce(planning_eligible, false) AS eligible FROM q LEFT JOIN inv ON {_KEY('q.session')} = {_KEY('inv.session')}",
+    "session_tree_hash": r"""WITH f AS (SELECT 'order-' || l_orderkey AS session, encode('Line/' || l_linenumber) AS p, encode('part ' || l_partkey) AS c FROM lineitem),
+b AS (SELECT session, p, c, 'file\x00'::BLOB || unhex(lpad(to_hex(octet_length(p)), 16, '0')) || p || unhex(lpad(to_hex(octet_length(c)), 16, '0')) || c AS frame FROM f)
+SELECT session, sha256(list_reduce(list(frame ORDER BY p, c), lambda x, y: x || y)) AS tree_sha256 FROM b GROUP BY session""",
     "failfast_statuses": "WITH l AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2), f AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS bad, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS first_failure FROM l) SELECT l_orderkey, l_linenumber, CASE WHEN first_failure < l_linenumber THEN 'not-run' WHEN bad THEN 'failed' ELSE 'done' END AS outcome, first_failure FROM f",
     "audit_operations": f"WITH {_OPS} SELECT source_type, sha256, action_index, operation, target, status, outcome, package_change, outcome <> 'succeeded' AS operator_required, reason FROM ro",
     "audit_cleanup_operations": f"WITH {_OPS} SELECT sha256, outcome, reason, outcome <> 'succeeded' AS operator_required, count(*) AS n FROM co GROUP BY ALL",

@@ -1,6 +1,8 @@
 """From documents to audits on disk, with faults on the way."""
 
 import json
+import os
+import shutil
 
 import pytest
 
@@ -214,3 +216,117 @@ def test_streaming_conversion(spark, tmp_path):
     go()
     got = {r.input_path.rsplit("/", 1)[1]: (r.status, r.text) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got == {"a.txt": ("succeeded", "hello\n"), "b.txt": ("failed", None), "c.txt": ("succeeded", "more\n")}
+
+
+@pytest.fixture
+def cleanup(package):
+    """A repaired package whose backup session is approved for deletion: the session, and the arguments of the cleanup."""
+    out, args = broken(package)
+    assert execute(package, out, args) == 0
+    backup, inv = package / "backup", package / "inventory.json"
+    assert run("backup-inventory", "--backup-root", backup, "--output", inv) == 0
+    plan, approval = package / "cleanup-plan.json", package / "cleanup-approval.json"
+    session = next(backup.iterdir())
+    assert run("backup-cleanup-plan", "--inventory", inv, "--session", session.name, "--output", plan) == 0
+    assert run("approve-backup-cleanup", "--plan", plan, "--output", approval) == 0
+    return session, (backup, inv, plan, approval)
+
+
+def deleted(arguments):
+    return [a["status"] for a in R.CLEANUP_AUDIT.parse(executor.execute_cleanup(*arguments))["actions"]]
+
+
+def test_a_file_that_changes_after_the_inspection_is_not_deleted(cleanup, monkeypatch):
+    session, arguments = cleanup
+    file = next(session.rglob("*.bak"))
+    look = executor.inspect
+
+    def looking(folder, producer):
+        seen = look(folder, producer)
+        file.write_text("other bytes")
+        return seen
+
+    monkeypatch.setattr(executor, "inspect", looking)
+    assert deleted(arguments) == ["failed"]
+    assert file.read_text() == "other bytes" and (session / "session-manifest.json").exists()
+
+
+@pytest.mark.parametrize("what", ["file", "folder", "root", "link"])
+def test_what_is_swapped_during_the_cleanup_is_not_deleted(cleanup, monkeypatch, what):
+    """The same name and bytes, but another file or folder."""
+    session, arguments = cleanup
+    file, read, asked = next(session.rglob("*.bak")), executor.disk.read_stable, []
+
+    def reading(path):
+        content = read(path)
+        if path == file and asked and not asked.pop():
+            if what == "root":
+                session.parent.rename(session.parent.parent / "gone")
+                shutil.copytree(session.parent.parent / "gone", session.parent)
+            elif what == "folder":
+                file.parent.rename(session.parent.parent / "gone")
+                shutil.copytree(session.parent.parent / "gone", file.parent)
+            else:
+                file.rename(session.parent.parent / "gone")
+                file.symlink_to(session.parent.parent / "gone") if what == "link" else file.write_bytes(content)
+        return content
+
+    look = executor.inspect
+    monkeypatch.setattr(executor, "inspect", lambda *a: (look(*a), asked.append(0))[0])
+    monkeypatch.setattr(executor.disk, "read_stable", reading)
+    assert deleted(arguments) == ["failed"]
+    assert os.path.lexists(file)
+
+
+def test_an_untouched_session_is_deleted(cleanup):
+    session, arguments = cleanup
+    assert deleted(arguments) == ["deleted"] and not session.exists()
+
+
+def test_transitions_of_sessions():
+    assert executor.next_state(None, "open") == "open"
+    assert [executor.next_state("open", s) for s in R.STATES] == list(R.STATES)
+    for now in (None, *R.STATES[1:]):
+        for then in R.STATES:
+            if (now, then) != (None, "open"):
+                with pytest.raises(executor.OutputError):
+                    executor.next_state(now, then)
+
+
+def test_a_present_state_that_cannot_be_told_is_reported(package, monkeypatch):
+    out, args = broken(package)
+
+    def unreadable(*_):
+        raise ValueError("no")
+
+    monkeypatch.setattr(executor, "Package", unreadable)
+    assert execute(package, out, args) == 1
+    assert [a["status"] for a in R.EXECUTION.parse((package / "execution.json").read_bytes())["actions"]] == ["failed-precondition", "not-run"]
+    assert list((package / "backup").iterdir()) == []
+
+
+def test_a_session_that_cannot_be_opened_is_reported(package, monkeypatch):
+    out, args = broken(package)
+
+    def taken(*_):
+        raise FileExistsError("there already")
+
+    monkeypatch.setattr(executor, "_Session", taken)
+    assert execute(package, out, args) == 1
+    report = R.EXECUTION.parse((package / "execution.json").read_bytes())
+    assert {a["action"]: a["status"] for a in report["actions"]} == {"remove-stale-sidecar": "failed", "regenerate-sidecar": "not-run"}
+    assert (out / "sub/bad.metadata.json").exists() and not (out / "sub/c.metadata.json").exists()
+
+
+def test_inputs_that_change_after_the_receipt_are_refused(package, monkeypatch):
+    out, args = broken(package)
+    check = executor.builders.lifecycle_of
+
+    def checking(*a):
+        found = check(*a)
+        args["manifest"].write_bytes(args["manifest"].read_bytes() + b" ")
+        return found
+
+    monkeypatch.setattr(executor.builders, "lifecycle_of", checking)
+    assert execute(package, out, args, "--receipt", package / "receipt.json", "--attempt-id", "try-1") == 2
+    assert (out / "sub/bad.metadata.json").exists() and not (package / "execution.json").exists()
