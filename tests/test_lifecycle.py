@@ -330,3 +330,10 @@ def test_inputs_that_change_after_the_receipt_are_refused(package, monkeypatch):
     monkeypatch.setattr(executor.builders, "lifecycle_of", checking)
     assert execute(package, out, args, "--receipt", package / "receipt.json", "--attempt-id", "try-1") == 2
     assert (out / "sub/bad.metadata.json").exists() and not (package / "execution.json").exists()
+
+
+def test_directory_size(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_bytes(b"12345")
+    (tmp_path / "y").write_bytes(b"678")
+    assert executor.disk.directory_size(spark, tmp_path) == 8
