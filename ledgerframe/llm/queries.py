@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat, decontam, jaccard_join, pieces, quality, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +59,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_quality_classifier, op3_nearest_neighbours, op4_warc_revisits, op5_byte_bpe,
         op6_suffix_array_dedup, op7_benchmark_decontamination, op8_toxicity, op9_jaccard_join, op10_substring_dedup,
+        op13_sentencepiece,
     )
 }
 
