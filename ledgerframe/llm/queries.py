@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, jaccard_join, pieces, quality, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat, decontam, jaccard_join, pieces, quality, structure, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text with nulls as one space and faults by the checksum of id and turn: a turn is dropped,
+    emptied, robbed of its ends, repeated, or said to be the user's."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    rows = conversations.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), fault.alias("fault")).filter("fault <> 0")
+    return rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("fault", "copy")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations all of whose turns were dropped are reported as empty ones."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = structure.repaired(damaged(rows)).withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(b""), 256)}
+    return every.select("conv_id", *(F.coalesce(c, empty.get(c, F.lit(0).cast("long"))).alias(c) for c in structure.REPORT))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +90,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_chat_formatting, op2_quality_classifier, op3_nearest_neighbours, op4_warc_revisits, op5_byte_bpe,
         op6_suffix_array_dedup, op7_benchmark_decontamination, op8_toxicity, op9_jaccard_join, op10_substring_dedup,
-        op13_sentencepiece,
+        op12_structure_repair, op13_sentencepiece,
     )
 }
 
@@ -130,4 +149,45 @@ e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id
 e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node)
 SELECT r.node AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node"""
-ORACLES: dict[str, str] = {"op1_chat_formatting": _CHAT, "op4_warc_revisits": _WARC, "op6_suffix_array_dedup": _SUFFIX, "op9_jaccard_join": _JACCARD, "op10_substring_dedup": _SUBSTRING}
+_NO_FAULT = "y.f NOT IN ('blank', 'duplicate')"
+
+
+def _way(state: str, edit: str, price: int, text: str) -> str:
+    """The way that ends in a state, gone on by an edit."""
+    return f"CASE WHEN a.{state}.c IS NOT NULL THEN {{'c': a.{state}.c + {price} + CASE WHEN '{edit}' <> 'D' AND y.f = 'truncated' THEN 1 ELSE 0 END, 'e': a.{state}.e || '{edit}', 'x': a.{state}.x || {text}}} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w.c IS NOT NULL))[1]"
+
+
+def _kept(role: str, initial: str, between: dict[str, str]) -> list[str]:
+    """Ways that keep or rerole a turn as this role, after each state with the turns inserted before it."""
+    out = []
+    for state, inserted in between.items():
+        n, before = inserted.count(":"), f"'{inserted}' || " if inserted else ""
+        out.append(f"CASE WHEN {_NO_FAULT} AND y.i = '{initial}' THEN {_way(state, 'I' * n + 'K', 2 * n, before + 'y.r')} END")
+        if role:
+            out.append(f"CASE WHEN {_NO_FAULT} AND y.i <> '{initial}' THEN {_way(state, 'I' * n + 'R', 2 * n + 2, f"{before}chr(10) || '{role}:' || y.t")} END")
+    return out
+
+
+_STRUCTURE = rf"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT c.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i:i])::BIGINT), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS h FROM c, tab),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS m FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN m > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS f,
+  role[1:1] AS i, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) AS p FROM n),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+  count(*) FILTER (p IS NOT NULL AND p || i NOT IN ('su', 'ua', 'au')) AS illegal, list({{'i': i, 'f': f, 'r': chr(10) || role || ':' || text, 't': text}} ORDER BY n) AS ys FROM f GROUP BY conv_id),
+w AS (SELECT * EXCLUDE (ys), list_reduce(ys, lambda a, y: {{
+  'n': {_way('n', 'D', 3, "''")},
+  's': {_best(_way('s', 'D', 3, "''"), *_kept('', 's', {'n': ''}))},
+  'u': {_best(_way('u', 'D', 3, "''"), *_kept('user', 'u', {'n': '', 's': '', 'a': '', 'u': '~assistant:'}))},
+  'a': {_best(_way('a', 'D', 3, "''"), *_kept('assistant', 'a', {'u': '', 'n': '~user:', 's': '~user:', 'a': '~user:'}))}}},
+  {{'n': {{'c': 0, 'e': '', 'x': ''}}, 's': {{'c': NULL::INTEGER, 'e': '', 'x': ''}}, 'u': {{'c': NULL::INTEGER, 'e': '', 'x': ''}}, 'a': {{'c': NULL::INTEGER, 'e': '', 'x': ''}}}}) AS a FROM g),
+z AS (SELECT * EXCLUDE (a), {_best("a.n", "a.a", *(f"CASE WHEN a.{k}.c IS NOT NULL THEN {{'c': a.{k}.c + {2 * v.count(':')}, 'e': a.{k}.e || '{'I' * v.count(':')}', 'x': a.{k}.x || '{v}'}} END" for k, v in (('u', '~assistant:'), ('s', '~user:~assistant:'))))} AS b FROM w)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.e, '') AS audit,
+  sha256(coalesce(b.x[2:], '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id""".replace("'~assistant:'", "chr(10) || 'assistant:'").replace("'~user:~assistant:'", "chr(10) || 'user:' || chr(10) || 'assistant:'").replace("'~user:'", "chr(10) || 'user:'")
+ORACLES: dict[str, str] = {"op12_structure_repair": _STRUCTURE, "op1_chat_formatting": _CHAT, "op4_warc_revisits": _WARC, "op6_suffix_array_dedup": _SUFFIX, "op9_jaccard_join": _JACCARD, "op10_substring_dedup": _SUBSTRING}
