@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, jaccard_join, pieces, quality, structure, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, bpe, chat, decontam, jaccard_join, pieces, quality, runs, structure, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which one in ten by the checksum of its id repeats some of its words to its end. A document
+    without an id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    rows = rows.withColumn("a", F.expr("g % nullif(size(w), 0)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.size("w") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.detected(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    order = lambda a, b: F.when(longer(a, b) != 0, -F.signum(longer(a, b))).when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"])).cast("int")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    rows = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.get(F.array_sort("runs", order), F.lit(0)).alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")
+    )
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role and text with nulls as one space and faults by the checksum of id and turn: a turn is dropped,
     emptied, robbed of its ends, repeated, or said to be the user's."""
@@ -90,7 +111,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_chat_formatting, op2_quality_classifier, op3_nearest_neighbours, op4_warc_revisits, op5_byte_bpe,
         op6_suffix_array_dedup, op7_benchmark_decontamination, op8_toxicity, op9_jaccard_join, op10_substring_dedup,
-        op12_structure_repair, op13_sentencepiece,
+        op11_periodic_runs, op12_structure_repair, op13_sentencepiece,
     )
 }
 
@@ -177,7 +198,9 @@ c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 h AS (SELECT c.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i:i])::BIGINT), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS h FROM c, tab),
 d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS m FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN m > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS f,
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN m > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS f,
   role[1:1] AS i, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) AS p FROM n),
 g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
   count(*) FILTER (p IS NOT NULL AND p || i NOT IN ('su', 'ua', 'au')) AS illegal, list({{'i': i, 'f': f, 'r': chr(10) || role || ':' || text, 't': text}} ORDER BY n) AS ys FROM f GROUP BY conv_id),
