@@ -1,4 +1,4 @@
-"""Comparison keys: NFC and full case folding, in the JVM for ASCII and in Arrow batches for the rest."""
+"""Comparison keys: full case folding in the JVM, after NFC in Arrow batches where a value is not ASCII."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import text
+
 _ASCII = r"^[\x00-\x7f]*\z"
 
 
@@ -17,20 +19,12 @@ def _nfc_folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v).casefold(), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def _folded(values: pd.Series) -> pd.Series:
-    return values.map(str.casefold, na_action="ignore")
-
-
-def _two_ways(value: Column, exact) -> Column:
-    return F.coalesce(F.when(value.rlike(_ASCII), F.lower(value)), exact(F.when(~value.rlike(_ASCII), value)))
-
-
 def path_key(value: Column) -> Column:
-    """Key by which paths are the same document: NFC, then case folding."""
-    return _two_ways(value, _nfc_folded)
+    """Key by which paths are the same document: NFC, then case folding. Only the first needs Python: Spark has no function
+    for it."""
+    return F.coalesce(F.when(value.rlike(_ASCII), F.lower(value)), _nfc_folded(F.when(~value.rlike(_ASCII), value)))
 
 
 def folded(value: Column) -> Column:
     """Full case folding without normalisation, as the processing order uses it."""
-    return _two_ways(value, _folded)
+    return text.folded(value)

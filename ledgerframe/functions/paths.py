@@ -62,11 +62,12 @@ def ancestors(path: Column) -> Column:
 
 
 def pattern_regex(pattern: str) -> str:
-    """A case-insensitive regex for a path pattern: part by part, ** standing for any number of parts."""
+    """A case-insensitive regex for a path pattern: part by part, ** standing for any number of parts. No repeated groups,
+    which would need stack for each part of a path."""
     out, between = "", False
     for part in pattern.split("/"):
         if part == "**":
-            out, between = out + ("(?:/[^/]+)*" if between else "(?:[^/]+(?:/[^/]+)*)?"), True
+            out, between = out + ("(?:/.*[^/])?" if between else "(?:[^/](?:.*[^/])?)?"), True
             continue
         body, i = "", 0
         while i < len(part):
@@ -84,7 +85,7 @@ def pattern_regex(pattern: str) -> str:
             i += 1
         out += ("/" if between else "") + body
         between = True
-    out = re.sub(r"^\(\?:\[\^/\]\+\(\?:/\[\^/\]\+\)\*\)\?/", "(?:[^/]+/)*", out)
+    out = re.sub(r"^\(\?:\[\^/\]\(\?:\.\*\[\^/\]\)\?\)\?/", "(?:[^/].*/)?", out)
     return rf"(?is)^{out}\z"
 
 

@@ -15,9 +15,10 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 MARKUP = r"[#|*_`~>\-\[\]()]"
 WORD = r"\p{L}\p{N}_"
 WINDOWS_PATH = rf"(?<![{WORD}])[A-Za-z]:[\\/]"
-POSIX_PATH = rf"(?<![{WORD}/:])/(?:[^/{SPACE[1:]}+/)+"
+POSIX_PATH = rf"(?<![{WORD}/:])/[^/{SPACE[1:]}+/"  # one part tells; a repeated group would need stack for each part
 CONTROL = r"[\p{Cc}\p{Cf}\p{Cs}&&[^\n\r\t]]"
 TRACEBACK = "traceback (most recent call last)"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # the characters of SPACE
 
 
 def _class_of(length: int) -> str:
@@ -40,9 +41,38 @@ def collapsed(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, _runs_of(), " "), F.lit(" "))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed, and written, once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
+    """From Unicode's full case folding: the characters beyond ASCII that fold to one other character, these characters,
+    and those that fold to more."""
+    found = [(c, c.casefold()) for c in map(chr, range(0x80, sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.casefold() != c]
+    single = [(c, f) for c, f in found if len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single), [(c, f) for c, f in found if len(f) > 1]
+
+
+_ONE, _ITS, _LONGER = _foldings()
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def folded(text: Column) -> Column:
-    """Case folding for texts whose only characters with a longer folding are sharp s: keys.folded is exact for all."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # the capital one is lower-cased to the small one
+    """Full case folding, exact for every character.
+
+    Lower-casing settles ASCII and Latin-1, where only sharp s and the micro sign fold otherwise; texts with characters
+    beyond are folded by the tables alone, which no version of Unicode in the JVM can differ from."""
+    longer = "".join(c for c, _ in _LONGER)
+    table = F.split(F.lit(",".join(c + f for c, f in _LONGER)), ",")  # each with its folding
+
+    def beyond(own: Column) -> Column:
+        one = F.replace(F.translate(own, _UPPER + _ONE, _LOWER + _ITS), F.lit("ß"), F.lit("ss"))
+        more = F.aggregate(table, one, lambda so_far, e: F.replace(so_far, F.left(e, F.lit(1)), F.substr(e, F.lit(2))))
+        return F.when(F.translate(own, longer, "") != own, more).otherwise(one)
+
+    latin = lambda own: F.replace(F.replace(F.lower(own), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    return _let(text, lambda own: F.when(own.rlike(r"^[\x00-\xff]*+\z"), latin(own)).otherwise(beyond(own)))
 
 
 def normalised(text: Column) -> Column:
@@ -95,31 +125,44 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-#: What makes a line a heading, and an item of a list.
-_HEADING = rf"^{SPACE}*(#{{1,6}}){SPACE}+(.+?){SPACE}*#*{SPACE}*$"
-_BULLET = rf"^{SPACE}*[-*+]{SPACE}+(.+?){SPACE}*$"
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
+def _marked(line: Column) -> Column:
+    """struct<level, rest>: the number signs that a line begins with, and what comes after them."""
+    begun = F.ltrim(line, F.lit(BLANKS))
+    rest = F.ltrim(begun, F.lit("#"))
+    return F.struct((F.length(begun) - F.length(rest)).alias("level"), rest.alias("rest"))
+
+
+def _opens(rest: Column) -> Column:
+    """White space and at least one more character, be it white space as well."""
+    return rest.rlike(f"^{SPACE}") & (F.length(rest) > 1)
+
+
+def _title(rest: Column) -> Column:
+    """The text of a heading, without closing number signs; one that consists of them is the first."""
+    whole = _trimmed(rest)
+    return _let(F.rtrim(F.rtrim(whole, F.lit("#")), F.lit(BLANKS)), lambda own: F.when((own == "") & (whole != ""), "#").otherwise(own))
 
 
 def headings(text: Column) -> Column:
-    """array<struct<level:int, text:string>> in order."""
-    one = lambda line: F.struct(F.length(F.regexp_extract(line, _HEADING, 1)).alias("level"), normalised(F.regexp_extract(line, _HEADING, 2)).alias("text"))
-    found = F.transform(F.filter(lines(text), lambda line: line.rlike(_HEADING)), one)
+    """array<struct<level:int, text:string>> in order: lines of one to six number signs, white space and a text."""
+    marked = F.filter(F.transform(F.filter(lines(text), lambda line: line.contains("#")), _marked), lambda m: m["level"].between(1, 6) & _opens(m["rest"]))
+    found = F.transform(marked, lambda m: F.struct(m["level"].alias("level"), normalised(_title(m["rest"])).alias("text")))
     return F.when(text.contains("#"), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<struct<level:int,text:string>>")))  # the plain test spares most texts the lines
 
 
 def bullets(text: Column) -> Column:
-    found = F.transform(F.filter(lines(text), lambda line: line.rlike(_BULLET)), lambda line: normalised(F.regexp_extract(line, _BULLET, 1)))
+    begun = F.transform(lines(text), lambda line: F.ltrim(line, F.lit(BLANKS)))
+    items = F.filter(begun, lambda line: F.substring(line, 1, 1).isin("-", "*", "+") & _opens(F.substr(line, F.lit(2))))
+    found = F.transform(items, lambda line: normalised(F.substr(line, F.lit(2))))
     return F.when(text.contains("-") | text.contains("*") | text.contains("+"), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def _cells(line: Column) -> Column:
-    trimmed = F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", "")
-    return F.transform(F.split(F.btrim(trimmed, F.lit("|")), r"\|", -1), normalised)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.transform(F.split(F.btrim(_trimmed(line), F.lit("|")), r"\|", -1), normalised)
 
 
 def _upto(first: Column, last: Column) -> Column:
@@ -167,5 +210,6 @@ def sanitised(message: Column, own_path: Column, limit: int = 160) -> Column:
     name = F.element_at(F.split(own_path, "/"), -1)
     short = F.replace(collapsed(message), own_path, name)
     short = F.regexp_replace(short, rf"(?<![{WORD}])(?:[A-Za-z]:[\\/]{NOT_SPACE}*)", "<local-path>")
-    short = F.regexp_replace(short, rf"(?<![{WORD}/:<])/(?:[^/{SPACE[1:]}+/)+[^/{SPACE[1:]}*", "<local-path>")
+    part = f"[^/{SPACE[1:]}"
+    short = F.regexp_replace(short, rf"(?<![{WORD}/:<])/(?:{part}++/)++{part}*", "<local-path>")  # possessive: no stack for each part
     return F.when(F.length(short) > limit, F.concat(F.substring(short, 1, limit - 3), F.lit("..."))).otherwise(short)

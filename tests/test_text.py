@@ -1,6 +1,7 @@
 """Text rules against row-at-a-time statements of the same rules."""
 
-import re
+import random
+import time
 import unicodedata
 
 import pytest
@@ -99,50 +100,110 @@ def test_metrics(spark):
         assert fails(**good | {name: value})[1] == [metric]
 
 
-LINES = st.sampled_from(["", "a", "a ", "a  ", "a\t", "a \t", " \t", "```", "~~~", "~~~~ x", "  ```", "    ```", "``", "~~~ \t", "`````", "\ufeff"])
-
-
-def plain(text):
-    """The rule line by line, as it is stated."""
-    lines = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    out, mark = [], ""
-    for line in lines:
-        if mark:
-            out.append(line)
-            bare = line.lstrip(" ")
-            n = len(bare) - len(bare.lstrip(mark[0]))
-            if len(line) - len(bare) <= 3 and n >= len(mark) and not bare[n:].strip(" \t"):
-                mark = ""
-        elif m := re.match(r" {0,3}(`{3,}|~{3,})", line):
-            out.append(line)
-            mark = m[1]
-        else:
-            line = line.rstrip("\t")
-            out.append(line[:-1] if re.search(r"(?<! ) $", line) else line)
-    if mark:
-        return "\n".join(out).removesuffix("\n") + "\n"
-    while out and not out[-1].strip(" \t"):
-        out.pop()
-    return "\n".join(out) + "\n"
-
-
-@given(st.lists(LINES, max_size=9), st.sampled_from(["\n", "\r\n", "\r"]))
-@settings(max_examples=300, deadline=None)
-def test_fence_rule_on_its_own(lines, end):
-    text = end.join(lines).removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-    assert normalize.fenced(text) == plain(text)
-    assert normalize.fenced(normalize.fenced(text)) == normalize.fenced(text)
-
-
-def test_normalised_columns(spark):
-    import itertools
-
-    parts = ["", "a ", "a  ", "\t", "~~~", "``` x", "b\t", " "]
-    texts = ["\n".join(c) for n in (1, 2, 3) for c in itertools.product(parts, repeat=n)] + ["\ufeffa\r\nb \r\r\n", "\r", "~~~\r\nx \r\n"]
-    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize.normalised(F.col("t")).alias("n"))
-    again = frame.select("n", normalize.normalised(F.col("n")).alias("m"))
-    assert [r.t for r in frame.collect() if r.n != plain(r.t)] == []
-    assert again.filter("n <> m").count() == 0
+#: Texts and what they become, written by hand.
+NORMAL = {
+    "": "\n",
+    " \t\n \n": "\n",
+    "a": "a\n",
+    "a \nb  \nc\t\t\nd \t\ne\t \t\n": "a\nb  \nc\nd\ne\t\n",
+    "\ufeffa\r\nb \r\r\n": "a\nb\n",
+    "a\n\n\nb\n\n \n": "a\n\n\nb\n",
+    "a  \n\n": "a  \n",
+    "```\nx \n```\ny \n": "```\nx \n```\ny\n",
+    "```\nx \n``` z\ny \n\n": "```\nx \n``` z\ny \n\n",  # nothing closes it
+    "````\na \n```\nb\t\n`````  \nc \n": "````\na \n```\nb\t\n`````  \nc\n",
+    "~~~ x \n```\n~~~\t\nd \n": "~~~ x \n```\n~~~\t\nd\n",
+    "    ```\nx \n": "    ```\nx\n",
+    "   ```\nx \n    ```\ny \n   ```\nz ": "   ```\nx \n    ```\ny \n   ```\nz\n",
+    "```": "```\n",
+    "```\n": "```\n",
+    "```\n\n \n": "```\n\n \n",
+    "x\n~~~\n~~~\n\n\n": "x\n~~~\n~~~\n",
+    "a `x` ~~b~~ \n": "a `x` ~~b~~\n",
+    "\ufdd1 \n```\n\ufdd1 ": "\ufdd1\n```\n\ufdd1 \n",
+}
+
+
+def normal(spark, texts):
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(normalize.normalised(F.col("t")).alias("n"))
+    return [r.n for r in frame.collect()]
+
+
+def test_normalisation(spark):
+    assert dict(zip(NORMAL, normal(spark, NORMAL), strict=True)) == NORMAL
+    assert normal(spark, [None]) == [None]
+
+
+def test_properties_of_normalisation(spark):
+    """Once is enough, fences stay as they are, and line ends do not matter."""
+    pick = random.Random(2)
+    lines = ["", "a", "a ", "a  ", "b\t", "c \t", " \t", "~~~ x", "  ```", "    ```", "``", "`````"]
+    bodies = ["\n".join(pick.choice(lines[:7]) for _ in range(pick.randrange(6))) for _ in range(400)]
+    mixed = ["\n".join(pick.choice(lines) for _ in range(pick.randrange(9))) for _ in range(400)]
+    once = normal(spark, mixed + bodies)
+    assert normal(spark, once) == once
+    assert normal(spark, [t.replace("\n", "\r\n") for t in mixed + bodies]) == normal(spark, [t.replace("\n", "\r") for t in mixed + bodies]) == once
+    fences = [f"~~~\n{b}\n~~~" for b in bodies]
+    assert normal(spark, fences) == [f"{f}\n" for f in fences]
+    assert normal(spark, [f"x \n{f}\ny " for f in fences]) == [f"x\n{f}\ny\n" for f in fences]
+    assert all(n.endswith("\n") for n in once) and not any(n.endswith("\n\n") for n in normal(spark, bodies))
+
+
+def test_case_folding_of_every_character(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(every[k : k + 32]) for k in range(0, len(every), 32)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.folded(F.col("t")).alias("f"), keys.folded(F.col("t")).alias("k")).collect()
+    assert [r.t for r in got if not r.f == r.k == r.t.casefold()] == []
+
+
+def test_case_folding_of_random_texts(spark):
+    pick = random.Random(6)
+    odd = [c for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c]
+    texts = ["".join(pick.choice("aB ß“") if pick.random() < 0.7 else pick.choice(odd) for _ in range(pick.randrange(20))) for _ in range(10_000)] + ["ΟΔΟΣ", "ΟΔΟΣΑ", "Wiſdom", "eﬃgy", "5 µM", "İI", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", T.folded(F.col("t")).alias("f")).collect()
+    assert [r.t for r in got if r.f != (r.t and r.t.casefold())] == []
+    phrases = F.array(*map(F.lit, ["ΟΔΟΣ", "wisdom", "EFFIGY", "5 μm"]))
+    rest = spark.createDataFrame([("οδοσα Wiſdom eﬃgy 5 µM",)], "t string").select(T.missing(T.normalised(F.col("t")), phrases).alias("m")).first().m
+    assert rest == []
+
+
+#: Texts on which a pattern with a repeated group or a second look at the same blanks would run out of stack or of time.
+LONG = {
+    "parts of a path": "/a" * 100_000,
+    "blank lines at the end": "x" + "\n" * 100_000,
+    "blank lines within": "x" + "\n" * 100_000 + "y",
+    "blanks in a heading": "# a" + " " * 20_000 + "b",
+    "number signs": "# " + "#" * 100_000 + "x",
+    "blanks in an item": "- a" + " \t" * 50_000 + "b",
+    "blanks": " " * 100_000 + "x",
+    "tabs": "\t" * 100_000 + "x",
+    "blanks in a row": "|" + " " * 100_000 + "|b|\n|---|---|\n",
+    "fences": "```\n" * 50_000,
+    "fences that nothing closes": "~~~x\n" * 30_000 + "````\n",
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts(spark, name):
+    """Every rule, 2 seconds each at most."""
+    t = F.col("t")
+    frame = spark.createDataFrame([(LONG[name],)], "t string")
+    rules = {"normal": normalize.normalised(t), "warnings": quality.warnings(t), "headings": T.headings(t), "bullets": T.bullets(t), "table": T.first_table(t), "error": T.sanitised(t, F.lit("q")), "plain": T.normalised(t)}
+    for rule, column in rules.items():
+        frame.limit(0).select(column).collect()
+        began = time.perf_counter()
+        frame.select(column).write.format("noop").mode("overwrite").save()
+        assert time.perf_counter() - began < 2, rule
+    got = frame.select(T.has_absolute_path(t).alias("p"), F.size(T.headings(t)).alias("h"), F.length(normalize.normalised(t)).alias("n")).first()
+    assert got.p == (name == "parts of a path")
+    assert got.h == ("heading" in name or "signs" in name)
+    if name == "blank lines at the end":
+        assert got.n == 2
+
+
+def test_long_paths_match_patterns(spark):
+    frame = spark.createDataFrame([("a/" * 50_000 + "b.pdf",)], "p string")
+    assert frame.filter(paths.matches(F.col("p"), ("**/*.pdf",), ("x/**", "a/**/c.pdf"))).count() == 1
 
 
 def test_keys(spark):
