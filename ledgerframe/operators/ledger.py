@@ -31,14 +31,25 @@ def nothing() -> Column:
     return F.struct(F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
 
 
-def manifest_items(results: DataFrame) -> DataFrame:
-    """results (seq, input_path, output_path, status, input_content, output_content) as items: a failed one has no
-    output digest and may lack its input; others must have both, or are left out with `complete` false."""
+def digested(results: DataFrame) -> DataFrame:
+    """results with `input` and `output`, the digests of their contents (null: none), in place of input_content and
+    output_content. From here on a document is a narrow row."""
+    of = lambda c: F.when(F.col(c).isNotNull(), digest(F.col(c))).otherwise(nothing())
+    own = [c for c in results.columns if c not in ("input_content", "output_content", "input", "output")]
+    return results.select(*own, of("input_content").alias("input"), of("output_content").alias("output"))
+
+
+def items_of(results: DataFrame) -> DataFrame:
+    """Digested results as items: a failed one has no output digest and may lack its input; others must have both, or are
+    left out with `complete` false."""
     failed = F.col("status") == "failed"
-    source = F.when(F.col("input_content").isNotNull(), digest(F.col("input_content"))).otherwise(nothing())
-    target = F.when(~failed & F.col("output_content").isNotNull(), digest(F.col("output_content"))).otherwise(nothing())
-    complete = failed | (F.col("input_content").isNotNull() & F.col("output_content").isNotNull())
-    return results.select("seq", "input_path", "output_path", "status", source.alias("input"), target.alias("output"), complete.alias("complete"))
+    complete = failed | (F.col("input.sha256").isNotNull() & F.col("output.sha256").isNotNull())
+    return results.select("seq", "input_path", "output_path", "status", "input", F.when(failed, nothing()).otherwise(F.col("output")).alias("output"), complete.alias("complete"))
+
+
+def manifest_items(results: DataFrame) -> DataFrame:
+    """results (seq, input_path, output_path, status, input_content, output_content) as items."""
+    return items_of(digested(results))
 
 
 def manifest_summary(items: DataFrame) -> DataFrame:
@@ -71,68 +82,68 @@ def _issue(path: Column, category: str, detail: str, severity: str = "error") ->
     return F.struct(path.alias("path"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(detail).alias("detail"))
 
 
-def _issues(rows: DataFrame, *found: Column) -> DataFrame:
-    """One pass: each row's applicable issues, exploded."""
-    kept = F.filter(F.array(*found), lambda x: x.isNotNull()).cast(_ISSUE)
-    return rows.select(F.explode(kept).alias("i")).select("i.*")
+def _listed(*found: Column) -> Column:
+    return F.filter(F.array(*found), lambda x: x.isNotNull()).cast(_ISSUE)
+
 
+def _keyed(rows: DataFrame, **keys: Column) -> DataFrame:
+    """rows with the comparison keys of paths, all in one projection: one pass through Python for what is not ASCII."""
+    return rows.select("*", *(path_key(c).alias(n) for n, c in keys.items()))
 
-def sidecar_issues(sidecars: DataFrame, files: DataFrame) -> DataFrame:
-    """What each sidecar alone says against itself and its artifact on disk."""
-    on_disk = files.select(F.col("path").alias("output_path"), F.struct("bytes", "sha256").alias("disk"))
-    joined = sidecars.join(on_disk, "output_path", "left")
-    p, there = F.col("sidecar_path"), F.col("disk").isNotNull()
-    moved = path_key(p) != path_key(paths.sidecar_of(F.col("output_path")))
-    return _issues(
-        joined.withColumn("moved", moved),
-        F.when(F.col("moved"), _issue(p, "path-mismatch", "sidecar path")),
+
+def reconcile(items: DataFrame | None, sidecars: DataFrame, files: DataFrame, engine: Column | None = None, settings: Column | None = None, strict: bool = False) -> DataFrame:
+    """Issues between manifest, sidecars and files; without items only what sidecars say against themselves. Sidecars meet their files by path, then the items by the key of the
+    sidecar's path: of sidecars with one key the latest counts. What a sidecar says against itself goes along as a column."""
+    p, out = F.col("sidecar_path"), F.col("output_path")
+    disk = files.select(F.col("path").alias("output_path"), F.struct("bytes", "sha256").alias("disk"))
+    right = _keyed(sidecars, key=p, own_key=paths.sidecar_of(out), in_key=F.col("input_path"), out_key=out).join(disk, "output_path", "left")
+    there = F.col("disk").isNotNull()
+    own = _listed(
+        F.when(F.col("key") != F.col("own_key"), _issue(p, "path-mismatch", "sidecar path")),
         F.when(~there, _issue(p, "missing-artifact", "no file")),
         F.when(there & (F.col("disk.bytes") != F.col("artifact.bytes")), _issue(p, "artifact-size-mismatch", "size")),
         F.when(there & (F.col("disk.sha256") != F.col("artifact.sha256")), _issue(p, "artifact-digest-mismatch", "digest")),
     )
-
-
-def compare(items: DataFrame, sidecars: DataFrame, engine: Column, settings: Column) -> DataFrame:
-    """Issues between manifest and sidecars, from one full outer join on the sidecar's key."""
-    left = items.select(F.struct("input_path", "output_path", "status", "input", "output").alias("item"), paths.sidecar_of(F.col("output_path")).alias("expected"))
-    left = left.withColumn("key", path_key(F.col("expected")))
+    if items is None:
+        return right.select(F.explode(own).alias("i")).select("i.*")
     latest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
-    right = sidecars.withColumn("key", path_key(F.col("sidecar_path"))).withColumn("r", latest).filter("r = 1").select("key", F.struct("sidecar_path", "input_path", "output_path", "status", "source", "artifact", "engine", "settings").alias("side"))
-    both = left.join(right, "key", "full_outer")
+    right = right.select("key", latest.alias("r"), own.alias("own"), F.struct("sidecar_path", "status", "source", "artifact", "engine", "settings", "in_key", "out_key").alias("side"))
+    expected = paths.sidecar_of(out)
+    left = _keyed(items, key=expected, in_key=F.col("input_path"), out_key=out).withColumn("expected", expected)
+    both = left.select("key", F.lit(1).alias("r"), F.struct("expected", "status", "input", "output", "in_key", "out_key").alias("item")).join(right, ["key", "r"], "full_outer")
     item, side = F.col("item"), F.col("side")
     p, failed = side["sidecar_path"], item["status"] == "failed"
     matched = item.isNotNull() & side.isNotNull() & ~failed
     differ = lambda a, b: ~a.eqNullSafe(b)
-    paths_differ = differ(path_key(side["input_path"]), path_key(item["input_path"])) | differ(path_key(side["output_path"]), path_key(item["output_path"]))
-    return _issues(
-        both.withColumn("moved", paths_differ),
+    moved = differ(side["in_key"], item["in_key"]) | differ(side["out_key"], item["out_key"])
+    found = _listed(
         F.when(item.isNotNull() & failed & side.isNotNull(), _issue(p, "stale-sidecar", "failed item")),
-        F.when(item.isNotNull() & ~failed & side.isNull(), _issue(F.col("expected"), "missing-sidecar", "no sidecar")),
-        F.when(matched & F.col("moved"), _issue(p, "path-mismatch", "document path")),
+        F.when(item.isNotNull() & ~failed & side.isNull(), _issue(item["expected"], "missing-sidecar", "no sidecar")),
+        F.when(matched & moved, _issue(p, "path-mismatch", "document path")),
         F.when(matched & (differ(side["status"], item["status"]) | differ(side["engine"], engine)), _issue(p, "manifest-sidecar-mismatch", "status or engine")),
         F.when(matched & differ(side["settings"], settings), _issue(p, "settings-mismatch", "settings")),
         F.when(matched & (differ(side["source"], item["input"]) | differ(side["artifact"], item["output"])), _issue(p, "manifest-sidecar-mismatch", "digest")),
-        F.when(item.isNull(), _issue(p, "orphan-sidecar", "no item")),
+        F.when(item.isNull() & (F.col("r") == 1), _issue(p, "orphan-sidecar", "no item")),
     )
+    issues = both.select(F.explode(F.concat(F.coalesce("own", F.array().cast(_ISSUE)), found)).alias("i")).select("i.*")
+    return issues.unionByName(extra_artifacts(items, files, strict))
 
 
 def extra_artifacts(items: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
     """Markdown files that no manifest item names."""
-    known = items.select(path_key(F.col("output_path")).alias("key")).distinct()
+    known = items.select(path_key(F.col("output_path")).alias("key"))
     marked = files.filter(F.lower("path").endswith(".md")).withColumn("key", path_key(F.col("path")))
     return marked.join(known, "key", "left_anti").select("path", F.lit("error" if strict else "warning").alias("severity"), F.lit("extra-artifact").alias("category"), F.lit("not in manifest").alias("detail"))
 
 
-def reconcile(items: DataFrame, sidecars: DataFrame, files: DataFrame, engine: Column, settings: Column, strict: bool = False) -> DataFrame:
-    return sidecar_issues(sidecars, files).unionByName(compare(items, sidecars, engine, settings)).unionByName(extra_artifacts(items, files, strict))
-
-
-def checked_paths(items: DataFrame, sidecars: DataFrame, extra: DataFrame) -> DataFrame:
-    return sidecars.select(F.col("sidecar_path").alias("path")).union(items.select(paths.sidecar_of(F.col("output_path")))).union(extra.select("path")).distinct()
-
-
-def validation_summary(checked: DataFrame, issues: DataFrame) -> DataFrame:
-    """checked, passed, failed, warnings: distinct paths of each severity; passed is never negative."""
-    of = lambda s: F.count_distinct(F.when(F.col("severity") == s, F.col("path")))
-    counts = issues.agg(of("error").alias("failed"), of("warning").alias("warnings"))
-    return checked.agg(F.count("*").alias("checked")).crossJoin(counts).select("checked", F.greatest(F.col("checked") - F.col("failed"), F.lit(0)).alias("passed"), "failed", "warnings")
+def validation_summary(items: DataFrame, sidecars: DataFrame, issues: DataFrame) -> DataFrame:
+    """checked, passed, failed, warnings: distinct paths of sidecars, of the sidecars that items should have and of extra
+    artifacts, and those of each severity; passed is never negative. One grouping by path counts them all."""
+    none = F.lit(None).cast("string")
+    marks = sidecars.select(F.col("sidecar_path").alias("path"), none.alias("severity"), F.lit(True).alias("counts"))
+    marks = marks.unionByName(items.select(paths.sidecar_of(F.col("output_path")).alias("path"), none.alias("severity"), F.lit(True).alias("counts")))
+    marks = marks.unionByName(issues.select("path", "severity", (F.col("category") == "extra-artifact").alias("counts")))
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    by_path = marks.groupBy("path").agg(has(F.col("counts")).alias("checked"), has(F.col("severity") == "error").alias("failed"), has(F.col("severity") == "warning").alias("warned"))
+    totals = by_path.agg(*(F.count_if(c).alias(c) for c in ("checked", "failed", "warned")))
+    return totals.select("checked", F.greatest(F.col("checked") - F.col("failed"), F.lit(0)).alias("passed"), "failed", F.col("warned").alias("warnings"))

@@ -41,23 +41,23 @@ def preflight(approved: DataFrame, issues: DataFrame, items: DataFrame | None, f
     """Readiness of each approved action against the present state, and the first reason that blocks it.
 
     files also names the sidecars on disk. items is None if the manifest cannot be read."""
-    key = path_key(F.col("path"))
-    targets = files.select(F.col("path"), F.struct(F.lit(True).alias("exists"), "bytes", "sha256").alias("found"))
-    rows = approved.join(targets, "path", "left").withColumn("key", key)
-    target = F.coalesce("found", F.struct(F.lit(False).alias("exists"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("sha256")))
-    rows = rows.withColumn("target", target).drop("found")
+    there = F.struct(F.lit(True).alias("exists"), "bytes", "sha256")
+    absent = F.struct(F.lit(False).alias("exists"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
+    rows = approved.join(files.select("path", there.alias("found")), "path", "left").withColumn("target", F.coalesce("found", absent)).drop("found")
     if items is None:
-        rows = rows.withColumn("n", F.lit(0)).withColumn("item", F.lit(None)).withColumn("current", F.lit(False)).withColumn("fine", F.lit(False))
+        rows = rows.withColumns({"n": F.lit(0), "current": F.lit(False), "fine": F.lit(False)})
     else:
         disk = files.select(F.col("path").alias("output_path"), F.struct("bytes", "sha256").alias("disk"))
-        own = items.join(disk, "output_path", "left").withColumn("key", path_key(paths.sidecar_of(F.col("output_path"))))
-        own = own.groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct("status", "input", "output", "disk")).alias("item"))
-        now = issues.select(path_key(F.col("path")).alias("key"), F.col("category").alias("reason")).distinct().withColumn("current", F.lit(True))
-        rows = rows.join(own, "key", "left").join(now, ["key", "reason"], "left")
+        own = items.join(disk, "output_path", "left").select(path_key(paths.sidecar_of(F.col("output_path"))).alias("key"), F.struct("status", "input", "output", "disk").alias("item"))
+        now = issues.select(path_key(F.col("path")).alias("key"), F.col("category").alias("reason"))
+        # items and present issues of a key as one row: both are narrow, and are dealt out once
+        facts = own.select("key", "item", F.lit(None).cast("string").alias("reason")).unionByName(now.select("key", F.lit(None).cast(own.schema["item"].dataType).alias("item"), "reason"))
+        facts = facts.groupBy("key").agg(F.count("item").alias("n"), F.first("item", ignorenulls=True).alias("item"), F.collect_set("reason").alias("reasons"))  # a handful of categories
+        rows = rows.withColumn("key", path_key(F.col("path"))).join(facts, "key", "left")
         i = F.col("item")
         intact = i["status"].isin("succeeded", "skipped") & i["input"]["sha256"].isNotNull() & i["input"]["bytes"].isNotNull() & ~F.col("target.exists") & i["disk"].isNotNull() & (i["disk"] == i["output"])
         stale = (i["status"] == "failed") & F.col("target.exists") & F.col("target.sha256").isNotNull()
-        rows = rows.withColumn("fine", F.when(F.col("action") == REGENERATE_SIDECAR, intact).otherwise(stale))
+        rows = rows.withColumns({"current": F.array_contains("reasons", F.col("reason")), "fine": F.when(F.col("action") == REGENERATE_SIDECAR, intact).otherwise(stale)})
     supported = F.col("action").isin(REGENERATE_SIDECAR, REMOVE_STALE)
     ready = supported & paths.is_safe(F.col("path")) & F.coalesce((F.col("n") == 1) & F.col("current") & F.col("fine"), F.lit(False))
     reason = F.when(ready, None).when(~supported, "unsupported-action").when(F.lit(items is None), "manifest-invalid").when(~paths.is_safe(F.col("path")), "path-unsafe").otherwise("package-state-changed")

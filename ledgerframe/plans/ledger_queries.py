@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, paths
 from ..operators import audit, backup, intent, ledger, repair
+from ..sources.shared import settled
 from .synth import read
 
 MANIFEST_NAME = "artifact-manifest.json"
@@ -21,29 +22,31 @@ def _settings(flag):
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """items, sidecars and files over documents: stale, missing, tampered, moved and orphaned ones by id."""
+    """items, sidecars and files over documents: stale, missing, tampered, moved and orphaned ones by id. The texts are read
+    and digested once; all three come from the narrow rows."""
     i = F.col("doc_id")
     base = F.concat_ws("/", "source", "lang", i.cast("string"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", base.alias("base"))
     status = F.when(i % 20 == 0, "failed").when(i % 20 == 1, "skipped").otherwise("succeeded")
     rows = docs.select(i.alias("seq"), F.concat("base", F.lit(".pdf")).alias("input_path"), F.concat("base", F.lit(".md")).alias("output_path"), status.alias("status"), F.concat(F.lit("in"), i.cast("string")).alias("input_content"), F.col("text").alias("output_content"), "source", "lang")
-    items = ledger.manifest_items(rows)
+    rows = settled(ledger.digested(rows))
+    items = ledger.items_of(rows)
     own = rows.filter((F.col("seq") % 11 != 0) & ((F.col("status") != "failed") | (F.col("seq") % 40 == 0)))
     s = F.col("seq")
     where = F.concat(F.regexp_replace("output_path", r"\.md$", ""), F.lit(".metadata.json"))
-    artifact = ledger.digest(F.col("output_content"))
+    artifact = F.col("output")
     spoiled = F.struct(artifact["bytes"].alias("bytes"), F.when(s % 13 == 0, F.sha2(F.concat(F.lit("x"), s.cast("string")).cast("binary"), 256)).otherwise(artifact["sha256"]).alias("sha256"))
     sides = own.select(
         "seq", F.when(s % 29 == 0, F.upper(where)).otherwise(where).alias("sidecar_path"), "input_path",
         F.when(s % 37 == 0, F.concat(F.lit("moved/"), s.cast("string"), F.lit(".md"))).otherwise(F.col("output_path")).alias("output_path"),
-        F.when(F.col("status") == "failed", "succeeded").otherwise(F.col("status")).alias("status"), ledger.digest(F.col("input_content")).alias("source"), spoiled.alias("artifact"), _engine().alias("engine"), _settings(s % 17 == 0).alias("settings"),
+        F.when(F.col("status") == "failed", "succeeded").otherwise(F.col("status")).alias("status"), F.col("input").alias("source"), spoiled.alias("artifact"), _engine().alias("engine"), _settings(s % 17 == 0).alias("settings"),
     )
     stray = rows.filter(s % 50 == 0).select(
         (s + 1000000000).alias("seq"), F.concat_ws("/", "source", "lang", F.concat((s + 1000000000).cast("string"), F.lit(".metadata.json"))).alias("sidecar_path"), "input_path",
-        F.concat_ws("/", "source", "lang", F.concat((s + 1000000000).cast("string"), F.lit(".md"))).alias("output_path"), F.lit("succeeded").alias("status"), ledger.digest(F.col("input_content")).alias("source"), ledger.digest(F.col("output_content")).alias("artifact"), _engine().alias("engine"), _settings(F.lit(False)).alias("settings"),
+        F.concat_ws("/", "source", "lang", F.concat((s + 1000000000).cast("string"), F.lit(".md"))).alias("output_path"), F.lit("succeeded").alias("status"), F.col("input").alias("source"), F.col("output").alias("artifact"), _engine().alias("engine"), _settings(F.lit(False)).alias("settings"),
     )
-    disk = rows.filter((F.col("status") != "failed") & (s % 41 != 0)).select(F.col("output_path").alias("path"), ledger.digest(F.col("output_content")).alias("d"))
-    extra = rows.filter(s % 60 == 0).select(F.concat_ws("/", "source", "lang", F.concat((s + 2000000000).cast("string"), F.lit(".MD"))).alias("path"), ledger.digest(F.col("output_content")).alias("d"))
+    disk = rows.filter((F.col("status") != "failed") & (s % 41 != 0)).select(F.col("output_path").alias("path"), F.col("output").alias("d"))
+    extra = rows.filter(s % 60 == 0).select(F.concat_ws("/", "source", "lang", F.concat((s + 2000000000).cast("string"), F.lit(".MD"))).alias("path"), F.col("output").alias("d"))
     files = disk.union(extra).select("path", "d.bytes", "d.sha256")
     return items, sides.unionByName(stray), files
 
@@ -53,6 +56,11 @@ def _issues(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame
     return ledger.reconcile(items, sides, files, _engine(), _settings(F.lit(False)), strict)
 
 
+def _settled_issues(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    """For what looks at the issues more than once."""
+    return settled(_issues(spark, sf_dir, strict))
+
+
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch would convert: filtered by patterns, without what exists already."""
     items, _, files = _ledger(spark, sf_dir)
@@ -92,25 +100,25 @@ def reconcile_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, sides, files = _ledger(spark, sf_dir)
     issues = ledger.reconcile(items, sides, files, _engine(), _settings(F.lit(False)))
-    return ledger.validation_summary(ledger.checked_paths(items, sides, ledger.extra_artifacts(items, files)), issues)
+    return ledger.validation_summary(items, sides, issues)
 
 
 def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.plan(_issues(spark, sf_dir, strict=True), MANIFEST_NAME)
+    return repair.plan(_settled_issues(spark, sf_dir, strict=True), MANIFEST_NAME)
 
 
 def repair_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = _issues(spark, sf_dir)
+    issues = _settled_issues(spark, sf_dir)
     return repair.plan_summary(issues, repair.plan(issues, MANIFEST_NAME))
 
 
 def approval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.approvable(repair.plan(_issues(spark, sf_dir), MANIFEST_NAME)).select("path", "action", "reason")
+    return repair.approvable(repair.plan(_settled_issues(spark, sf_dir), MANIFEST_NAME)).select("path", "action", "reason")
 
 
 def _preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, sides, files = _ledger(spark, sf_dir)
-    issues = ledger.reconcile(items, sides, files, _engine(), _settings(F.lit(False)))
+    issues = settled(ledger.reconcile(items, sides, files, _engine(), _settings(F.lit(False))))
     on_disk = sides.select(F.col("sidecar_path").alias("path"), F.lit(100).cast("long").alias("bytes"), F.sha2(F.col("sidecar_path").cast("binary"), 256).alias("sha256"))
     return repair.preflight(repair.approvable(repair.plan(issues, MANIFEST_NAME)), issues, items, files.unionByName(on_disk))
 

@@ -149,10 +149,7 @@ class Package:
             self.bad = self.bad.unionByName(self.spark.createDataFrame([(builders.sidecar_name(o), "error", "outside-package-root", "manifest output") for o in out], ISSUES))
 
     def issues(self, strict: bool = False) -> DataFrame:
-        found = self.bad.unionByName(ledger.sidecar_issues(self.sidecars, self.files))
-        if self.items is not None:
-            found = found.unionByName(ledger.compare(self.items, self.sidecars, self.engine, self.settings)).unionByName(ledger.extra_artifacts(self.items, self.files, strict))
-        return found
+        return self.bad.unionByName(ledger.reconcile(self.items, self.sidecars, self.files, self.engine, self.settings, strict))
 
     def checked(self) -> list[str]:
         paths = set(self.sidecar_paths)
