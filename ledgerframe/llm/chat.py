@@ -16,8 +16,9 @@ from .common import checkpointed
 
 #: Turn numbers in one chunk, and so in one rendered part.
 CHUNK_TURNS = 256
-#: Bits of each of the two sums' terms, so that millions of turns cannot overflow a long.
-TERM_BITS = 40
+#: Sums that make up a prefix hash, and bits of their terms, so that millions of turns cannot overflow a long: prefixes
+#: are told apart by 160 bits.
+SUMS, TERM_BITS = 4, 40
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -35,34 +36,37 @@ def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def prefixes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the turns: conv, place (from 1), n (turns of the conversation) and the rolling prefix hashes a and b at every
+    """From the turns: conv, place (from 1), n (turns of the conversation) and the rolling prefix hashes a0, a1... at every
     turn; and conv, chunk and part, the chunk's number within the conversation.
 
-    Texts are shuffled once, to put the turns of a chunk in order; from then on a turn is two hashes. What is joined
-    by conversation is a row a chunk."""
-    own = lambda salt: F.transform("turns", lambda t: F.xxhash64(F.lit(salt), t["role"], t["text"]))
-    hashes = checkpointed(_in_order(rows).select("conv", "chunk", own(1).alias("ha"), own(2).alias("hb")))
+    Texts are shuffled here to put the turns of a chunk in order; from then on a turn is its hashes. What is joined
+    by conversation is a row a chunk. Equal turns of a chunk count once, null turn numbers come first. Empty input: no rows."""
+    each = range(SUMS)
+    own = lambda k: F.transform("turns", lambda t: F.xxhash64(F.lit(k), t["role"], t["text"]))
+    hashes = checkpointed(_in_order(rows).select("conv", "chunk", *(own(k + 1).alias(f"h{k}") for k in each)))
     every = Window.partitionBy("conv")
     before = every.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hashes.select("conv", "chunk", F.size("ha").alias("c"))
+    sizes = hashes.select("conv", "chunk", F.size("h0").alias("c"))
     starts = sizes.select("conv", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"), F.sum("c").over(every).alias("n"), (F.row_number().over(every.orderBy("chunk")) - 1).alias("part"))
     starts = checkpointed(starts)
-    term = lambda c, salt: F.transform(c, lambda h, i: F.xxhash64(F.lit(salt), F.col("start") + i, h).bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
-    terms = hashes.join(starts, ["conv", "chunk"]).select("conv", "chunk", "start", "n", term("ha", 1).alias("ta"), term("hb", 2).alias("tb"))
+    term = lambda k: F.transform(f"h{k}", lambda h, i: F.xxhash64(F.lit(k + 1), F.col("start") + i, h).bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
+    terms = hashes.join(starts, ["conv", "chunk"]).select("conv", "chunk", "start", "n", *(term(k).alias(f"t{k}") for k in each))
     added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    sums = terms.select("conv", "chunk", added("ta").alias("ca"), added("tb").alias("cb"))
-    offsets = sums.select("conv", "chunk", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("ca", "oa"), ("cb", "ob"))))
-    turns = terms.join(offsets, ["conv", "chunk"]).select("conv", "chunk", "start", "n", "oa", "ob", F.posexplode(F.arrays_zip("ta", "tb")).alias("i", "t"))
+    sums = terms.select("conv", "chunk", *(added(f"t{k}").alias(f"c{k}") for k in each))
+    offsets = sums.select("conv", "chunk", *(F.coalesce(F.sum(f"c{k}").over(before), F.lit(0)).alias(f"o{k}") for k in each))
+    turns = terms.join(offsets, ["conv", "chunk"]).select("conv", "chunk", "start", "n", *(f"o{k}" for k in each), F.posexplode(F.arrays_zip(*(f"t{k}" for k in each))).alias("i", "t"))
     rolling = Window.partitionBy("conv", "chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    out = turns.select("conv", (F.col("start") + F.col("i") + 1).alias("place"), "n", (F.col("oa") + F.sum("t.ta").over(rolling)).alias("a"), (F.col("ob") + F.sum("t.tb").over(rolling)).alias("b"))
+    out = turns.select("conv", (F.col("start") + F.col("i") + 1).alias("place"), "n", *((F.col(f"o{k}") + F.sum(f"t.t{k}").over(rolling)).alias(f"a{k}") for k in each))
     return checkpointed(out), starts.select("conv", "chunk", "part")
 
 
 def maximal(found: DataFrame) -> DataFrame:
-    """conv, n_turns and n_logged (equal conversations) of those that are no proper prefix of another."""
-    whole = found.filter("place = n").groupBy("place", "a", "b").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
-    inner = found.filter("place < n").select("place", "a", "b").distinct()
-    return whole.join(inner, ["place", "a", "b"], "left_anti").select("conv", F.col("place").alias("n_turns"), "n_logged")
+    """conv, n_turns and n_logged (equal conversations) of those that are no proper prefix of another. Of equal ones the
+    smallest id stays. Empty input: no rows."""
+    prefix = ["place", *(f"a{k}" for k in range(SUMS))]
+    whole = found.filter("place = n").groupBy(*prefix).agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
+    inner = found.filter("place < n").select(*prefix).distinct()
+    return whole.join(inner, prefix, "left_anti").select("conv", F.col("place").alias("n_turns"), "n_logged")
 
 
 def formatted(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

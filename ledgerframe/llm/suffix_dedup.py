@@ -118,7 +118,7 @@ class _Held:
         self.size = 0
 
     def add(self, left: int, text: bytes, core: int, doc: int, row: int, at: int) -> None:
-        key = bytes((left,)) + text
+        key = left.to_bytes(2, "big") + text
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.core)
@@ -144,8 +144,8 @@ class _Held:
         if self.entries:
             number, doc, row, at = np.array(self.entries, np.int64).T
             texts = list(self.numbers)
-            left = np.array([t[0] for t in texts], np.int64)
-            n = np.array([t.count(b" ", 1) + 1 for t in texts], np.int64)
+            left = np.array([int.from_bytes(t[:2], "big") for t in texts], np.int64)
+            n = np.array([t.count(b" ", 2) + 1 for t in texts], np.int64)
             least = np.full(len(texts), np.iinfo(np.int64).max)
             np.minimum.at(least, number, doc)
             late = doc > least[number]
@@ -164,7 +164,7 @@ class _Held:
                 used, entry = np.unique(number[own], return_inverse=True)
                 out["bucket"].append(int(bucket[used[0]]))
                 out["hot"].append(0)
-                out["text"].append(_ZSTD.compress(b"\n".join(texts[i][1:] for i in used)))
+                out["text"].append(_ZSTD.compress(b"\n".join(texts[i][2:] for i in used)))
                 out["core"].append(core[used].tobytes())
                 out["doc"].append(pack(least[used]))
                 out["shape"].append(_ZSTD.compress(np.c_[left[used], n[used]].astype("<u2").tobytes()))

@@ -20,6 +20,8 @@ from .linear import fit_sparse, sigmoid
 
 #: Labelled rows that the fit uses at most: those of least hash of their ids.
 FIT_ROWS = 20_000
+#: Documents that are held out: SQL on the column `id`, the id as a number.
+HELD_OUT = "crc32(cast(id as string)) % 5 = 0"
 BITS, SIZES, FEATURES, SMOOTHING, PENALTY = 20, (3, 4, 5), 1_024, 1.0, 1e-4
 _SLICES = 64
 _BASE, _ODD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -59,7 +61,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     label counts, and labels other than 0 and 1 do not; of rows with one id the text of least hash. Without labels of
     both classes every score is the smoothed share of toxic rows."""
     size = 1 << BITS
-    rows = labelled(docs, labels, doc_id, text, label, F.max, FIT_ROWS, "crc32(cast(id as string)) % 5 <> 0").select("body", "y")
+    rows = labelled(docs, labels, doc_id, text, label, F.max, FIT_ROWS, f"not ({HELD_OUT})").select("body", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, size), "<u4"), [0, 0]
@@ -119,5 +121,5 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             scores = np.array([shared.value.score(x.as_py()) for x in batch.column("body")], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("body"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("body")).select(F.col("id").alias("doc_id"), F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "body")
     return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
