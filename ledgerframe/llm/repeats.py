@@ -29,7 +29,8 @@ SPREAD = 64
 LEAST_GROUPS = 256
 _ZSTD = zstandard.ZstdCompressor(level=1)
 _SENT = "bucket int, lo binary, hi binary, doc binary, row binary, at binary, weight binary, done_doc long, done_row long"
-FOUND = "doc long, row_key long, at binary"
+#: What a bucket found, packed by parts of the documents: a record for each part, not for each document.
+PACKED = "part int, doc binary, row_key binary, at binary"
 
 #: What a finder yields for a document: row key, document id, fingerprints (128 bits, of which 96 are compared),
 #: their first words, and a hash that is the same for equal windows and mostly for neighbouring ones: windows of
@@ -66,7 +67,7 @@ def unpack(packed: bytes, kind: str) -> np.ndarray:
 
 
 def by_row(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Places gathered by document and row key, as FOUND."""
+    """Places gathered by document and row key: doc, row_key, at."""
     order = np.lexsort((at, row, doc))
     doc, row, at = doc[order], row[order], at[order].astype("<u4")
     starts = np.flatnonzero(starts_of(doc, row))
@@ -177,20 +178,60 @@ def meeting(source: DataFrame, find: Callable[[pa.RecordBatch], Iterator[Found]]
 
 
 def exchanged(sent: DataFrame, buckets: int, meet: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """meet of each bucket. Rows of bucket -1 are settled: spread by document and row, they pass as they are."""
-    dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("done_doc", "done_row"), F.lit(max(buckets, LEAST_GROUPS)))).otherwise(F.col("bucket")))
+    """meet of each bucket, PACKED. Rows of bucket -1 are settled: spread by document and row, they pass as they are. A row
+    without a key goes to part -1.
 
-    def either(table: pa.Table) -> pa.Table:
-        if table["spread"][0].as_py() >= 0:
-            try:
-                return meet(table)
-            finally:
-                release()
-        return pa.table({"doc": table["done_doc"], "row_key": table["done_row"], "at": table["at"]})
+    The windows that a document shares are spread over ever more buckets as these become more. Packed by parts, that makes
+    longer records rather than more rows."""
+    parts = max(buckets, LEAST_GROUPS)
+    dealt = sent.withColumn("spread", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("done_doc", "done_row"), F.lit(parts))).otherwise(F.col("bucket")))
 
-    return dealt.groupBy("spread").applyInArrow(either, FOUND)
+    def either(table: pa.Table) -> pa.Table:
+        if table["spread"][0].as_py() < 0:
+            return packed(table["done_doc"], table["done_row"], table["at"], parts)
+        try:
+            found = meet(table)
+            return packed(found["doc"], found["row_key"], found["at"], parts)
+        finally:
+            release()
+
+    return dealt.groupBy("spread").applyInArrow(either, PACKED)
+
+
+def packed(docs: pa.ChunkedArray, rows: pa.ChunkedArray, places: pa.ChunkedArray, parts: int) -> pa.Table:
+    """Rows of document, row key and places (unsigned 32-bit) as PACKED: the places of a part one after another, each with
+    its document and row key."""
+    hot = [x.as_py() for x, d in zip(places, docs, strict=True) if not d.is_valid]
+    at = [x.as_py() for x, d in zip(places, docs, strict=True) if d.is_valid]
+    doc, row = (np.array([x for x in c.to_pylist() if x is not None], np.int64) for c in (docs.filter(docs.is_valid()), rows.filter(docs.is_valid())))
+    part = (mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((row, doc, part))
+    cuts = np.flatnonzero(starts_of(part[order]))
+    out: dict[str, list] = {"part": [-1] * len(hot), "doc": [b""] * len(hot), "row_key": [b""] * len(hot), "at": hot}
+    for s, e in zip(cuts, np.append(cuts, len(order))[1:], strict=True):
+        own = order[s:e]
+        size = np.array([len(at[i]) // 4 for i in own], np.int64)
+        out["part"].append(int(part[own[0]]))
+        out["doc"].append(pack(np.repeat(doc[own], size)))
+        out["row_key"].append(pack(np.repeat(row[own], size)))
+        out["at"].append(pack(np.frombuffer(b"".join(at[i] for i in own), "<u4")))
+    return pa.table({"part": pa.array(out["part"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("doc", "row_key", "at")}})
 
 
 def gathered(found: DataFrame) -> DataFrame:
-    """One row a key; what is gathered is bounded by the words of one text."""
-    return found.groupBy("doc", "row_key").agg(F.collect_list("at").alias("late_at"))
+    """doc, row_key and late_at of PACKED rows, one row a key; what is gathered is bounded by the words of one text."""
+
+    def unpacked(table: pa.Table) -> pa.Table:
+        try:
+            doc, row, at = (np.concatenate([unpack(x, kind) for x in table[c].to_pylist()]) for c, kind in (("doc", "<i8"), ("row_key", "<i8"), ("at", "<u4")))
+            return pa.Table.from_batches([by_row(doc, row, at)])
+        finally:
+            release()
+
+    kept = found.filter("part >= 0").groupBy("part").applyInArrow(unpacked, "doc long, row_key long, at binary")
+    return kept.select("doc", "row_key", F.array("at").alias("late_at"))
+
+
+def hot_places(found: DataFrame) -> DataFrame:
+    """`at` of the rows without a key."""
+    return found.filter("part < 0").select("at")

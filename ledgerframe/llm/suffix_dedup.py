@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, hashed, mixed, text_size, tidy, windows
-from .repeats import Found, buckets_for, by_row, exchanged, gathered, later, meeting, pack, starts_of, unpack
+from .repeats import Found, buckets_for, by_row, exchanged, gathered, hot_places, later, meeting, pack, starts_of, unpack
 from .substring_dedup import keyed, with_removals
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -246,9 +246,9 @@ def repeated_runs(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", tex
                 yield key.as_py(), doc.as_py(), lo[at], hi[at], at.astype("<u4"), lo[at]
 
     met = checkpointed(meeting(rows, suffixes, size // 2, hot_from))  # narrow: places, and the hot cores
-    common = b"".join(r["at"] for r in met.filter("row_key is null").select("at").toLocalIterator())  # 8 bytes each of MOST_HOT at most
+    common = b"".join(r["at"] for r in hot_places(met).toLocalIterator())  # 8 bytes each of MOST_HOT at most
     hot_cores = docs.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(common, "<u8")))
-    anchors = gathered(met.filter("row_key is not null")).withColumnRenamed("late_at", "anchors")
+    anchors = gathered(met).withColumnRenamed("late_at", "anchors")
     anchored = rows.join(anchors.hint("shuffle_hash"), ["doc", "row_key"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,3 +151,24 @@ def test_count_min_never_underestimates(spark):
     estimate = counted.repeated(lo, hi)
     assert all(e for e, n in zip(estimate, seen.values(), strict=True) if n > 1)
     assert sum(estimate) < len(seen)
+
+
+def test_long_runs_are_measured_in_two_bytes(spark):
+    """Runs of more words than a byte counts, before and after the word they share."""
+    words = [f"q{i}" for i in range(1_500)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[100:1_300], "y"])), (3, " ".join(words[:599]))]
+    found = {tuple(r) for r in suffix_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string"), length=600).collect()}
+    assert found == {(2, 1, 1_200)}
+
+
+def test_a_document_in_many_buckets_is_one_row(spark, monkeypatch):
+    """However many buckets its windows fall into: what buckets find is packed by parts of the documents."""
+    from ledgerframe.llm import repeats
+
+    monkeypatch.setattr(repeats, "BUCKET_TEXT", 500)
+    monkeypatch.setattr(repeats, "LEAST_GROUPS", 3)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(14)) for k in range(40)]
+    rows = [(d, " - ".join(f"{p} d{d}x{k}" for k, p in enumerate(phrases))) for d in range(6)]
+    late = substring_dedup.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc for r in late) == [1, 2, 3, 4, 5]
+    assert all(len(b"".join(r.late_at)) == 4 * 80 for r in late)
