@@ -240,26 +240,29 @@ def _passed(blocks: DataFrame, kind, report: list[StructField]) -> DataFrame:
     first = keys.groupBy(F.col("conv").alias("c"), F.col("key").alias("k")).agg(F.min("block").alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = keys.join(first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("key") == F.col("k")) & (F.col("block") > F.col("first")))
     seen = again.groupBy(F.col("block").alias("b")).agg(F.collect_list("key").alias("seen"))  # a block's turns at most
-    rows = blocks.join(seen, F.col("block") == F.col("b"), "left").select("conv", "block", "turns", "roles", "texts", "keys", "seen")
+    rows = blocks.join(seen, F.col("block") == F.col("b"), "left").select("conv", "block", "turns", "roles", "texts", "keys", F.coalesce("seen", F.array().cast("array<binary>")).alias("seen"))
+    known = F.transform("keys", lambda k: F.array_contains("seen", k)).alias("known")
+    dealt = rows.select("conv", "block", F.arrays_zip("turns", "roles", "texts", "keys", known).alias("t")).repartition("conv").sortWithinPartitions("conv", "block")
+    turns = dealt.select("conv", "block", F.explode("t").alias("t")).select("conv", "block", "t.turns", "t.roles", "t.texts", "t.keys", "t.known")  # a turn a row again: batches are counted in rows
     form = StructType([StructField("conv", kind), *report])
     arrow = _arrow_of(form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, repair, current = _Out(arrow), None, None
-        for conv, _, turns, roles, texts, own, seen in (row for batch in batches for i in range(batch.num_rows) for row in _rows_of(iter([batch.slice(i, 1)]))):
+        out, repair, current, at, own = _Out(arrow), None, None, None, set()
+        for conv, block, t, r, x, k, before in _rows_of(batches):
             if repair is None or conv != current:
                 if repair is not None:
                     yield from out.add((current, *repair.end()))
                 repair, current = Repair(), conv
-            known = set(seen or ())
-            for t, r, x, k in zip(turns, roles, texts, own, strict=True):
-                repair.add(t, r, x, k in known)
-                known.add(k)
+            if block != at:
+                at, own = block, set()
+            repair.add(t, r, x, before or k in own)
+            own.add(k)
         if repair is not None:
             yield from out.add((current, *repair.end()))
         yield from out.rest()
 
-    return rows.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(tidy(run), form)
+    return turns.mapInArrow(tidy(run), form)
 
 
 def _arrow_of(form: StructType) -> pa.Schema:
