@@ -1,11 +1,13 @@
 """Every operator on documents and every stage of the pipeline, on odd rows, odd columns and empty tables."""
 
+import hashlib
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerframe.llm import bpe, decontam, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
+from ledgerframe.llm import ann, bpe, chat, decontam, jaccard_join, pieces, quality, runs, structure, substring_dedup, suffix_dedup, toxicity, warc
 from ledgerframe.llm.common import table
 
 #: Names that the operators use themselves, or add in another case.
@@ -45,11 +47,13 @@ def operators(spark):
         "components": (jaccard_join.components, False, ["doc_id", "n_shingles", "component_id"]),
         "near copies": (jaccard_join.kept, True, []),
         "windows": (substring_dedup.digests, True, ["n_words", "n_removed", "kept_sha256"]),
+        "runs": (runs.detected, True, ["runs", "collapsed"]),
+        "pieces": (lambda d: pieces.round_trip(d, public_tokenizers.path("piece_bpe_32k.model")), True, ["n_tokens", "ids_sha256", "decoded_sha256"]),
     }
 
 
 #: Rows that each gives for the 14 odd ones.
-COUNTS = {"quality": 14, "bpe": 14, "bpe ids": 14, "suffixes": 3, "suffix cut": 14, "leaks": 5, "leak-free": 9, "toxicity": 14, "components": 14, "near copies": 12, "windows": 14}
+COUNTS = {"quality": 14, "bpe": 14, "bpe ids": 14, "suffixes": 3, "suffix cut": 14, "leaks": 5, "leak-free": 9, "toxicity": 14, "components": 14, "near copies": 12, "windows": 14, "runs": 14, "pieces": 14}
 
 
 @pytest.mark.parametrize("name", list(COUNTS))
@@ -86,10 +90,62 @@ def test_stage(spark, odd, tmp_path, k):
     columns = list(corpus_pipeline.COLUMNS) + (["n_tokens", "bpe_ids", "ids_sha256", "decoded_sha256"] if k == 4 else [])
     out = stage(spark, odd, str(tmp_path))
     assert out.columns == columns
-    assert 0 < out.count() <= 14
+    got = sorted(((str(r.doc_id), r.text) for r in out.collect()), key=str)
+    whole = sorted(((str(r.doc_id), r.text) for r in odd.select("doc_id", "text").collect()), key=str)
+    if k in (0, 3):  # of the odd rows these stages keep or drop whole ones
+        assert set(got) <= set(whole) and len(got) == (9 if k == 3 else len(got)) > 0
+        if k == 3:
+            assert {i for i, _ in whole} - {i for i, _ in got} == {"1", "2", "3", "9", "11"}
+    elif k == 1:
+        assert sorted(i for i, _ in got) == sorted(i for i, _ in whole if i not in ("2", "8"))
+    elif k == 2:
+        texts_ = dict(got)
+        assert (texts_["1"], texts_["2"], texts_["3"], texts_["4"], texts_["8"]) == (LONG, "", "end", None, "x y") and len(got) == 14
+        assert {r.n_chars for r in out.filter("doc_id in (2, 8)").collect()} == {0, 3}
+    else:
+        assert sorted(i for i, _ in got) == sorted(i for i, _ in whole)
+        none = out.filter("doc_id = 4").first()
+        assert (none.text, none.n_tokens, bytes(none.bpe_ids), none.decoded_sha256) == (None, 0, b"", hashlib.sha256(b"").hexdigest())
     for empty in (odd.limit(0), odd.select(*corpus_pipeline.COLUMNS).limit(0)):
         assert stage(spark, empty, str(tmp_path)).count() == 0
     labels.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
     items.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
     assert stage(spark, odd, str(tmp_path)).count() == (12 if k == 1 else 14)  # 2 and 8 are near copies of 1 and 7
     assert table(spark, str(tmp_path), "labels").count() == 0, name
+
+
+def test_long_and_clashing_conversations(spark):
+    """Texts of a megabyte, ids and turns that are null, and columns named as the operators name theirs, in both cases."""
+    big = "word " * 200_000
+    rows = [(1, 0, "user", big), (1, 1, "assistant", "Yes."), (2, 0, "user", big), (None, 0, "user", "x."), (3, None, None, None), (3, 300, "user", "Hi.")]
+    names = ["conv", "Conv", "place", "chunk", "TURNS", "h0", "a0", "block", "Seen", "key"]
+    data = spark.createDataFrame([(*r, *names) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"c{i} string" for i in range(len(names)))).toDF("conv_id", "turn", "role", "text", *names)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        shown = {(r.conv_id, r.part): r for r in chat.formatted(data).collect()}
+        fixed = {r.conv_id: r for r in structure.repaired(data).collect()}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert {k: (r.n_turns, r.n_logged) for k, r in shown.items()} == {(1, 0): (2, 1), (3, 0): (2, 1), (3, 1): (2, 1)}
+    assert big in shown[1, 0].text
+    assert {k: (r.audit, r.cost, r.truncated) for k, r in fixed.items()} == {1: ("KK", 1, 1), 2: ("D", 3, 1), None: ("KI", 2, 0), 3: ("DKI", 5, 0)}
+
+
+def test_long_urls_and_headers(spark):
+    """Addresses of 100,000 characters, header maps with many names, null ones, and clashing columns."""
+    url = "http://Ex.com/" + "a/" * 50_000 + "?" + "&".join(f"q{i}={i}" for i in range(5_000))
+    pages = spark.createDataFrame([(1, url, "<p>x</p>", 1), (2, None, None, 2), (3, "", "y", 3)], "page_id long, url string, html string, PAGE int")
+    got = warc.resolved(warc.captures(pages)).collect()
+    assert {r.status for r in got} <= {"resolved", "mismatch", "unverified", "unresolved"}
+    assert any(r.url and len(r.url) > 100_000 and r.status == "resolved" for r in got)
+
+
+def test_odd_vectors(spark):
+    """Null, zero, short and non-finite vectors take no part; ties go to the smaller id; equal vectors are near."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, 2.0]), (100, None)]
+    name = [f.name for f in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").schema if f.name != "vec_id"][0]
+    data = spark.createDataFrame([(i, v, "x") for i, v in rows], f"vec_id long, {name} array<double>, rank string")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 9)) for r in ann.search(data).collect()}
+    assert got == {(0, 1): (2, 1.0), (0, 2): (3, 1.0), (0, 3): (50, 1.0), (0, 4): (9, 0.0), (50, 1): (0, 1.0), (50, 2): (2, 1.0), (50, 3): (3, 1.0), (50, 4): (9, 0.0)}
+    assert ann.search(data.limit(0)).count() == 0
