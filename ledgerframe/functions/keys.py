@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import text
 
@@ -28,3 +28,14 @@ def path_key(value: Column) -> Column:
 def folded(value: Column) -> Column:
     """Full case folding without normalisation, as the processing order uses it."""
     return text.folded(value)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _each_nfc_folded(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: [x if x is None else unicodedata.normalize("NFC", x).casefold() for x in v], na_action="ignore")
+
+
+def path_keys(values: Column) -> Column:
+    """path_key of every element of an array."""
+    plain = F.forall(values, lambda v: F.coalesce(v.rlike(_ASCII), F.lit(True)))
+    return F.coalesce(F.when(plain, F.transform(values, F.lower)), _each_nfc_folded(F.when(~plain, values)))

@@ -14,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from ..operators import backup
+from ..operators import backup, histories
 from ..sources import files as disk
 from . import builders
 from . import reports as R
@@ -73,8 +73,8 @@ def _state(path: Path) -> dict:
     return {"exists": True, "bytes": len(data), "sha256": R.sha256(data)}
 
 
-#: The states that a session may go to; closed ones stay as they are.
-TRANSITIONS = {None: ("open",), "open": R.STATES} | dict.fromkeys(R.STATES[1:], ())
+#: The states that a session may go to; a new one is open.
+TRANSITIONS = {None: ("open",)} | histories.TRANSITIONS
 
 
 def next_state(now: str | None, then: str) -> str:
