@@ -125,11 +125,11 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def _trimmed(line: Column) -> Column:
+def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def _marked(line: Column) -> Column:
+def marked(line: Column) -> Column:
     """struct<level, rest>: the number signs that a line begins with, and what comes after them."""
     begun = F.ltrim(line, F.lit(BLANKS))
     rest = F.ltrim(begun, F.lit("#"))
@@ -143,14 +143,14 @@ def _opens(rest: Column) -> Column:
 
 def _title(rest: Column) -> Column:
     """The text of a heading, without closing number signs; one that consists of them is the first."""
-    whole = _trimmed(rest)
+    whole = trimmed(rest)
     return _let(F.rtrim(F.rtrim(whole, F.lit("#")), F.lit(BLANKS)), lambda own: F.when((own == "") & (whole != ""), "#").otherwise(own))
 
 
 def headings(text: Column) -> Column:
     """array<struct<level:int, text:string>> in order: lines of one to six number signs, white space and a text."""
-    marked = F.filter(F.transform(F.filter(lines(text), lambda line: line.contains("#")), _marked), lambda m: m["level"].between(1, 6) & _opens(m["rest"]))
-    found = F.transform(marked, lambda m: F.struct(m["level"].alias("level"), normalised(_title(m["rest"])).alias("text")))
+    own = F.filter(F.transform(F.filter(lines(text), lambda line: line.contains("#")), marked), lambda m: m["level"].between(1, 6) & _opens(m["rest"]))
+    found = F.transform(own, lambda m: F.struct(m["level"].alias("level"), normalised(_title(m["rest"])).alias("text")))
     return F.when(text.contains("#"), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<struct<level:int,text:string>>")))  # the plain test spares most texts the lines
 
 
@@ -162,7 +162,7 @@ def bullets(text: Column) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(F.btrim(_trimmed(line), F.lit("|")), r"\|", -1), normalised)
+    return F.transform(F.split(F.btrim(trimmed(line), F.lit("|")), r"\|", -1), normalised)
 
 
 def _upto(first: Column, last: Column) -> Column:
