@@ -1,148 +1,15 @@
-"""Registered queries over report documents and over decisions drawn from them, and their SQL."""
+"""Registered queries over decisions drawn from reports, and their SQL."""
 
 from __future__ import annotations
 
-import copy
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import audit, backup, convert, ledger, repair
 from . import ledger_queries as L
-from . import reports as R
 from .synth import read
 
-_SHA, _OTHER = "a" * 64, "b" * 64
-_NONE, _FILE = {"exists": False, "bytes": None, "sha256": None}, {"exists": True, "bytes": 3, "sha256": _SHA}
-_BOUND, _VERSION = {"sha256": _SHA}, {"sha256": _SHA, "schema_version": 1}
-_DIGEST = {"bytes": 3, "sha256": _SHA}
-_SETTINGS = {"table_structure": False, "normalization_profile": None, "artifacts_path_configured": False}
-_SIDE = "a/b.metadata.json"
-_FIX = {"path": _SIDE, "action": "regenerate-sidecar", "reason_category": "missing-sidecar", "safe": True}
-_LOOK = {"path": "a/c.md", "action": "manual-review", "reason_category": "path-mismatch", "safe": False}
-_KEPT = {"source": _SIDE, "backup": f"0000/{_SIDE}.bak", "bytes": 3, "sha256": _SHA}
-_DELETE = {"action": R.CLEANUP_ACTION, "reason_category": R.CLEANUP_REASON, "session": "s1", "session_manifest_sha256": _SHA, "tree_sha256": _SHA, "backup_files": 2, "backup_bytes": 9, "eligible": True}
-_RECEIPT = {"sha256": _SHA, "operation_type": "repair-execution", "attempt_id": "try-1"}
-_OPERATION = {
-    "source_type": "repair-execution", "source_sha256": _SHA, "source_action_index": 0, "action": "repair-regenerate-sidecar", "target": _SIDE, "mutation_scope": "package", "source_status": "succeeded",
-    "outcome": "succeeded", "package_change": "changed", "operator_action_required": False, "reason": "completed", "rollback": "available", "before": _NONE, "after": _FILE,
-}
-
-#: For each family a body that is valid, and changes (place, value) of which each makes it invalid.
-SAMPLES: list[tuple[R.Family, dict, list[tuple[str, object]]]] = [
-    (R.SIDECAR, {"engine": {"name": "e", "version": "1"}, "document": {"input_path": "a/b.pdf", "output_path": "a/b.md", "status": "succeeded"}, "artifact": _DIGEST, "source": _DIGEST, "settings": _SETTINGS},
-     [("engine.version", ""), ("document.input_path", "../b.pdf"), ("document.status", "failed"), ("artifact.bytes", -1), ("source.sha256", "A" * 64), ("settings.table_structure", 0)]),
-    (R.MANIFEST, {"engine": {"name": "e", "version": ""}, "settings": _SETTINGS, "items": [{"input": {"path": "a.pdf", **_DIGEST}, "output": {"path": "a.md", **_DIGEST}, "status": "succeeded"}]},
-     [("items.0.output.sha256", None), ("items.0.input.path", "/a.pdf"), ("items.0.status", "done"), ("items", {}), ("engine.name", None)]),
-    (R.PLAN, {"summary": {"issues": 3, "actions": 2, "manual_review": 1}, "actions": [_FIX, _LOOK]},
-     [("summary.actions", 3), ("summary.manual_review", 0), ("actions.0.safe", False), ("actions.1.safe", True), ("actions.0.reason_category", "stale-sidecar"), ("actions.0.path", "C:/b"), ("summary.issues", 1)]),
-    (R.APPROVAL, {"plan": _VERSION, "scope": {"mode": "all-safe"}, "approved_actions": [_FIX]},
-     [("approved_actions.0", _LOOK), ("scope.mode", "all"), ("plan.sha256", "x"), ("plan.schema_version", True)]),
-    (R.PREFLIGHT, {"summary": {"actions": 1, "ready": 1, "blocked": 0}, "plan": _BOUND, "approval": _BOUND, "actions": [
-        {"path": _SIDE, "action": "regenerate-sidecar", "reason_category": "missing-sidecar", "status": "ready", "block_reason": None, "target": {"path": _SIDE, **_NONE},
-         "preconditions": {"plan_approved": True, "safe": True, "package_state_matches": True, "backup_required": False}}]},
-     [("summary.ready", 0), ("actions.0.block_reason", "x"), ("actions.0.target", {"path": _SIDE, **_FILE}), ("actions.0.preconditions.backup_required", True), ("actions.0.target.path", "a"), ("actions.0.preconditions.safe", False)]),
-    (R.EXECUTION, {"summary": {"planned": 1, "executed": 1, "succeeded": 1, "failed": 0, "rolled_back": 0, "not_run": 0}, "plan": _BOUND, "approval": _BOUND, "preflight": _BOUND, "post_validation": "passed",
-                   "actions": [{"path": _SIDE, "action": "regenerate-sidecar", "status": "succeeded", "before": _NONE, "after": _FILE, "rollback": "available"}]},
-     [("summary.executed", 0), ("actions.0.rollback", "completed"), ("actions.0.after", _NONE), ("actions.0.before.bytes", 3), ("post_validation", "unknown"), ("intent_receipt", {"sha256": _SHA}), ("actions.0.status", "not-run")]),
-    (R.SESSION, {"state": "open", "bindings": {k: _VERSION for k in ("manifest", "plan", "approval", "preflight")}, "items": [_KEPT]},
-     [("state", "closed"), ("bindings.plan", {}), ("items.0.backup", f"0/{_SIDE}.bak"), ("items.0.source", "a/b.md"), ("items", [_KEPT, _KEPT]), ("items.0.bytes", True)]),
-    (R.INVENTORY, {"summary": {"sessions": 1, "managed": 1, "orphaned": 0, "legacy_unmanaged": 0, "planning_eligible": 1, "backup_files": 1, "backup_bytes": 3}, "sessions": [
-        {"session": "s1", "classification": "managed", "state": "complete", "planning_eligible": True, "session_manifest_sha256": _SHA, "tree_sha256": _SHA, "items": [_KEPT]}]},
-     [("summary.managed", 0), ("summary.backup_bytes", 4), ("sessions.0.state", "open"), ("sessions.0.planning_eligible", False), ("sessions.0.tree_sha256", None), ("sessions.0.classification", "unexpected-entry"), ("sessions.0.session", "a/b")]),
-    (R.CLEANUP_PLAN, {"inventory": _VERSION, "policy": {"mode": "explicit-sessions"}, "summary": {"requested": 1, "planned": 1, "blocked": 0}, "actions": [_DELETE]},
-     [("summary.planned", 0), ("actions.0.eligible", False), ("actions.0.session", ".."), ("policy.mode", "all"), ("actions", [_DELETE, _DELETE])]),
-    (R.CLEANUP_APPROVAL, {"plan": _VERSION, "scope": {"mode": "all-planned"}, "approved_actions": [_DELETE]},
-     [("approved_actions.0", _DELETE | {"eligible": False, "session_manifest_sha256": None, "tree_sha256": None, "backup_files": 0, "backup_bytes": 0}), ("scope", {}), ("approved_actions.0.backup_files", 1.5)]),
-    (R.CLEANUP_AUDIT, {"bindings": {f"{k}_sha256": _SHA for k in ("inventory", "plan", "approval")}, "summary": {"planned": 1, "deleted": 1, "failed": 0, "not_run": 0},
-                       "actions": [{"session": "s1", "status": "deleted", "before": {"files": 2, "bytes": 9, "tree_sha256": _SHA}, "after": {"exists": False}}]},
-     [("actions.0.after.exists", True), ("summary.deleted", 0), ("summary.extra", 1), ("summary.not_run", False), ("bindings.plan_sha256", ""), ("actions.0.status", "gone")]),
-    (R.INTENT, {"attempt_id": "try-1", "operation_type": "repair-execution", "bindings": [{"artifact_type": k, "schema_version": 1, "sha256": _SHA} for k in R.BINDINGS["repair-execution"]],
-                "actions": [{"action_index": 0, "action": "regenerate-sidecar", "target": _SIDE, "reason_category": "missing-sidecar", "intent": "approved-for-execution"}]},
-     [("operation_type", "backup-cleanup"), ("actions.0.action_index", 1), ("actions.0.target", "a/./b.metadata.json"), ("actions.0.target", "a/b.md"), ("bindings.0.schema_version", 1.0), ("attempt_id", "-x"), ("actions.0.intent", "done")]),
-    (R.AUDIT, {"summary": {"operations": 1, "succeeded": 1, "partial": 0, "failed": 0, "rolled_back": 0, "not_run": 0, "operator_action_required": 0, "package_change_observed": True},
-               "sources": [{"source_type": "repair-execution", "schema_version": 1, "sha256": _SHA}], "operations": [_OPERATION]},
-     [("operations.0.source_sha256", _OTHER), ("operations.0.outcome", "failed"), ("operations.0.package_change", "unchanged"), ("operations.0.source_action_index", 1), ("summary.operations", 2), ("summary.package_change_observed", None), ("sources", []), ("operations.0.after", _NONE)]),
-    (R.STATUS, {"receipt": _RECEIPT, "classification": "paired", "final_reports": [{"source_type": "repair-execution", "sha256": _SHA}], "operator_action_required": False, "reason": "paired",
-                "bindings": {"receipt_final_report": "verified", "lifecycle_inputs": "not-provided", "current_preconditions": "not-provided"}},
-     [("classification", "orphan"), ("reason", "final-report-missing"), ("operator_action_required", True), ("bindings.lifecycle_inputs", "mismatch"), ("final_reports", []), ("final_reports.0.source_type", "backup-cleanup-audit"), ("bindings.receipt_final_report", "missing")]),
-    (R.CONTEXT, {"operational_audit": {"schema_version": 1, "sha256": _SHA, "operations": 2, "operator_action_required_count": 0}, "summary": {"audit_operations": 2, "intent_statuses": 1, "operator_action_required": False},
-                 "intent_statuses": [{"schema_version": 1, "sha256": _SHA, "operator_action_required": False, "classification": "paired"}]},
-     [("summary.audit_operations", 1), ("summary.operator_action_required", 0), ("operational_audit.operator_action_required_count", 3), ("intent_statuses.0.operator_action_required", True), ("intent_statuses.0.sha256", None)]),
-]
-#: What every family is tried with besides: name, change, and whether a family with a loose, plain or exact version takes it.
-GENERAL: list[tuple[str, dict, tuple[bool, bool, bool]]] = [
-    ("as it is", {}, (True, True, True)), ("with another field", {"note": "x"}, (True, True, True)), ("version 1.0", {"schema_version": 1.0}, (True, True, False)), ("version true", {"schema_version": True}, (True, False, False)),
-    ("version 2", {"schema_version": 2}, (False, False, False)), ("version as text", {"schema_version": "1"}, (False, False, False)), ("another type", {"report_type": "x"}, (False, False, False)),
-]
-
-
-def changed(body: dict, place: str, value: object) -> dict:
-    """A copy of body with another value at a dotted place."""
-    out = copy.deepcopy(body)
-    *way, last = place.split(".")
-    at = out
-    for step in way:
-        at = at[int(step)] if isinstance(at, list) else at[step]
-    if isinstance(at, list):
-        at[int(last)] = value
-    else:
-        at[last] = value
-    return out
-
-
-def variants() -> list[tuple[int, str, int, str, bytes, bool]]:
-    """Number of the family, its kind, number and name of the variant, its bytes, and whether they are valid."""
-    out = []
-    for k, (family, body, faults) in enumerate(SAMPLES):
-        whole = {"report_type": family.report_type(), "schema_version": 1, **body}
-        strict = {R.loosely_one: 0, R.one: 1, R.exactly_one: 2}[family.version]
-        own = [(name, json.dumps(whole | change).encode(), fine[strict]) for name, change, fine in GENERAL]
-        own += [("cut short", json.dumps(whole).encode()[:-1], False), ("a list", b"[]", False), ("no UTF-8", b"\xff{}", False)]
-        own += [(f"{place} = {json.dumps(value, sort_keys=True)[:40]}", json.dumps(changed(whole, place, value)).encode(), False) for place, value in faults]
-        out += [(k, family.kind, i, name, content, fine) for i, (name, content, fine) in enumerate(own)]
-    return out
-
-
-def validated(reports: DataFrame, producer: str = R.PRODUCER) -> DataFrame:
-    """reports: any columns, with `kind` (of a family) and `content` (bytes). Adds `valid` and, where it is not, `fault`,
-    in place of content. Null content and unknown kinds are not valid. Rows are independent."""
-    families = {f.kind: f for f in R.FAMILIES}
-    kept = [c for c in reports.columns if c != "content"]
-    place = reports.columns.index("kind"), reports.columns.index("content")
-
-    def judge(kind: str | None, content: bytes | None) -> str | None:
-        if kind not in families or content is None:
-            return "no family or no content"
-        try:
-            families[kind].parse(content, producer)
-        except R.ReportError as e:
-            return str(e)
-        return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            faults = pa.array([judge(k.as_py(), c.as_py()) for k, c in zip(batch.column(place[0]), batch.column(place[1]), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), faults.is_null(), faults], names=[*kept, "valid", "fault"])
-
-    form = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.schema if f.name != "content"), "valid boolean, fault string"])
-    return reports.mapInArrow(run, form)
-
-
-def report_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is a report of some family in some variant, sound or with a planted fault."""
-    known = spark.createDataFrame([(k, kind, i, content) for k, kind, i, _, content, _ in variants()], "family int, kind string, variant int, content binary")  # fixed, some 250 rows
-    most = F.broadcast(known.groupBy("family").agg(F.count("*").alias("n")))
-    i = F.col("doc_id")
-    rows = read(spark, sf_dir, "documents").select("doc_id", (i % len(SAMPLES)).cast("int").alias("family")).join(most, "family")
-    rows = rows.select("doc_id", "family", (F.floor(i / len(SAMPLES)) % F.col("n")).cast("int").alias("variant")).join(F.broadcast(known), ["family", "variant"])
-    return validated(rows.select("doc_id", "kind", "variant", "content")).drop("fault")
-
-
 def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.execution_summary(L._repair_reports(spark, sf_dir).select(F.explode("actions").alias("a")).select("a.status"))
 
@@ -201,16 +68,14 @@ def mode_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (report_validation, execution_summary, cleanup_plan_summary, deletion_order, expected_sidecars, pending_requests, undeclared_operations, canonical_order_check, context_totals, mode_recommendation)
+    for f in (execution_summary, cleanup_plan_summary, deletion_order, expected_sidecars, pending_requests, undeclared_operations, canonical_order_check, context_totals, mode_recommendation)
 }
 
-_VARIANTS = ", ".join(f"({k}, '{kind}', {i}, {str(fine).lower()})" for k, kind, i, _, _, fine in variants())
 _MODES = " UNION ALL ".join(
     f"SELECT '{name}' AS s, a.event_id // 2 AS k, {ok.format('a.event_id')} AS x, {ok.format('b.event_id')} AS y FROM events a JOIN events b ON a.event_id % 2 = 0 AND b.event_id = a.event_id + 1"
     for name, ok in (("mixed", "{0} % 3 <> 0"), ("better", "({0} % 2 = 1 OR {0} % 5 <> 0)"), ("same", "true OR {0} = 0"))
 )
 ORACLES = {
-    "report_validation": f"WITH v(f, kind, variant, valid) AS (VALUES {_VARIANTS}), n AS (SELECT f, count(*) AS n FROM v GROUP BY f) SELECT doc_id, kind, variant, valid FROM documents JOIN n ON n.f = doc_id % {len(SAMPLES)} JOIN v ON v.f = n.f AND v.variant = (doc_id // {len(SAMPLES)}) % n.n",
     "execution_summary": f"WITH {L._OPS} SELECT count(*) AS actions, count(*) AS executed, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status IN ('failed', 'failed-precondition', 'rollback-failed')) AS failed, count(*) FILTER (status = 'rolled-back') AS rolled_back FROM o0",
     "cleanup_plan_summary": f"WITH {L._BACKUP} SELECT count(*) AS requested, count(*) FILTER (coalesce(planning_eligible, false)) AS planned, count(*) FILTER (NOT coalesce(planning_eligible, false)) AS blocked FROM (SELECT 'session-' || (s_suppkey + CASE WHEN s_suppkey % 10 = 0 THEN 100000 ELSE 0 END) AS q FROM supplier) LEFT JOIN inv ON inv.session = q",
     "deletion_order": f"WITH {L._BACKUP}, e AS (SELECT session, backup AS path FROM i WHERE p % 101 <> 0 UNION ALL SELECT * FROM (SELECT session, 'package' FROM i UNION SELECT session, 'package/' || (p % 3) FROM i) UNION ALL SELECT session, 'session-manifest.json' FROM s) SELECT session, path, row_number() OVER (PARTITION BY session ORDER BY length(path) - length(replace(path, '/', '')) DESC, path) AS step FROM e",
