@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +51,39 @@ def converted(documents: DataFrame, factory: Callable[[], Converter]) -> DataFra
     return rows.withColumn("category", category).withColumn("error", T.sanitised(F.col("error"), F.col("input_path")))
 
 
+def table_function(factory: Callable[[], Callable[[bytes], str | tuple[str, Sequence[str]]]]):
+    """A table function of a document's content (binary), for DataFrames and, registered, for SQL with LATERAL.
+
+    Rows: kind, seq, value. A converter gives a text, or a text and warnings: the text is one row (`text`, 0), each warning
+    one more (`warning`, numbered from 0). A document that fails, or has no content, is one row (`error`, 0) with the
+    kind of its error. The converter is built once a partition; if that fails, all documents of the partition do."""
+
+    class Converted:
+        def __init__(self) -> None:
+            self._broken: Exception | None = None
+            try:
+                self._converter = factory()
+            except Exception as e:
+                self._broken = e
+
+        def eval(self, content: bytes):
+            try:
+                if self._broken:
+                    raise self._broken
+                if content is None:
+                    raise InputError("no content")
+                found = self._converter(bytes(content))
+                text, warnings = (found, ()) if isinstance(found, str) else found
+            except Exception as e:  # errors are part of the result
+                yield "error", 0, type(e).__name__
+                return
+            yield "text", 0, text
+            for i, warning in enumerate(warnings):
+                yield "warning", i, warning
+
+    return F.udtf(Converted, returnType="kind string, seq int, value string", useArrow=True)
+
+
 def normalised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("text").isNotNull(), normalize.normalised(F.col("text"))))
 

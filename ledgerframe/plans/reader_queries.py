@@ -5,10 +5,12 @@ faults by its ids and, where a text becomes part of a path or a version, by what
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger, readers
+from ..operators import convert, ledger, readers
 from .synth import read
 
 PRODUCER = "ledgerframe"
@@ -131,7 +133,24 @@ def report_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.reports(report_texts(read(spark, sf_dir, "orders"), lines), PRODUCER)
 
 
-QUERIES = {f.__name__: f for f in (sidecar_reading, manifest_reading, report_issues)}
+def _stripped(content: bytes) -> tuple[str, list[str]]:
+    """A small converter: a page without its tags, and what is odd about it."""
+    page = content.decode()
+    text = re.sub("<[^>]*>", "", page)
+    found = {"scripts are dropped": "<script" in page, "no heading": "<h1" not in page, "a link is lost": "<a " in page, "nothing is left": not text.strip(" \n")}
+    if len(text) % 50 == 7:
+        raise convert.InputError("a page of this length")
+    return text, [k for k, holds in found.items() if holds]
+
+
+def converted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through the converter as a table function, from SQL."""
+    spark.udtf.register("convert_page", convert.table_function(lambda: _stripped))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("content"))
+    return spark.sql("SELECT page_id, kind, seq, CASE WHEN kind = 'text' THEN sha2(encode(value, 'utf-8'), 256) ELSE value END AS value FROM {pages}, LATERAL convert_page(content)", pages=pages)
+
+
+QUERIES = {f.__name__: f for f in (sidecar_reading, manifest_reading, report_issues, converted_pages)}
 
 #: A path below its root that names something.
 _SAFE = lambda p: rf"({p} <> '' AND NOT contains({p}, '\') AND NOT regexp_matches({p}, '^[A-Za-z]:') AND NOT starts_with({p}, '/') AND NOT list_contains(string_split({p}, '/'), '..') AND regexp_matches({p}, '(^|/)([^/.]|\.[^/.]|\.\.[^/])'))"
@@ -157,4 +176,9 @@ CASE WHEN k % 41 = 0 THEN 'family' WHEN k % 43 = 0 THEN 'json' WHEN k % 29 = 0 O
  WHEN f = 2 AND (k % 31 = 0 OR (k % 13 = 0 AND one)) THEN 'rule'
  WHEN f = 3 AND (k % 31 = 0 OR (k % 13 = 0 AND one_a) OR (k % 11 = 0 AND three AND one)) THEN 'rule'
  WHEN f = 4 AND (k % 31 = 0 OR (k % 13 = 0 AND one_a)) THEN 'rule' ELSE '' END AS issue FROM g"""
-ORACLES = {"sidecar_reading": _SIDECARS, "manifest_reading": _MANIFESTS, "report_issues": _REPORTS}
+_PAGES = r"""WITH p AS (SELECT page_id, html, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages), ok AS (SELECT * FROM p WHERE length(t) % 50 <> 7),
+w AS (SELECT page_id, list_filter([CASE WHEN contains(html, '<script') THEN 'scripts are dropped' END, CASE WHEN NOT contains(html, '<h1') THEN 'no heading' END, CASE WHEN contains(html, '<a ') THEN 'a link is lost' END,
+  CASE WHEN trim(t, ' ' || chr(10)) = '' THEN 'nothing is left' END], lambda x: x IS NOT NULL) AS ws FROM ok)
+SELECT page_id, 'error' AS kind, 0::INTEGER AS seq, 'InputError' AS value FROM p WHERE length(t) % 50 = 7 UNION ALL SELECT page_id, 'text', 0, sha256(t) FROM ok
+UNION ALL SELECT page_id, 'warning', unnest(range(len(ws)))::INTEGER, unnest(ws) FROM w"""
+ORACLES = {"converted_pages": _PAGES, "sidecar_reading": _SIDECARS, "manifest_reading": _MANIFESTS, "report_issues": _REPORTS}

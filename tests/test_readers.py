@@ -122,3 +122,18 @@ def test_keys_of_arrays(spark):
     rows = [(["A", "b"],), (["É", None, "ß"],), ([],), (None,)]
     got = [r.k for r in spark.createDataFrame(rows, "v array<string>").select(keys.path_keys(F.col("v")).alias("k")).collect()]
     assert got == [["a", "b"], ["é", None, "ss"], [], None]
+
+
+def test_converter_as_a_table_function(spark):
+    """Texts, warnings and errors as rows; a converter that cannot be built fails every document."""
+    from ledgerframe.operators import convert
+
+    def convert_one(content):
+        if content == b"bad":
+            raise convert.ConverterError("x")
+        return content.decode() if content == b"plain" else (content.decode().upper(), ["first", "second"])
+
+    docs = spark.createDataFrame([(1, b"plain"), (2, b"more"), (3, b"bad"), (4, None)], "i int, content binary")
+    tell = lambda factory: sorted(map(tuple, docs.lateralJoin(convert.table_function(factory)(F.col("content").outer())).select("i", "kind", "seq", "value").collect()))
+    assert tell(lambda: convert_one) == [(1, "text", 0, "plain"), (2, "text", 0, "MORE"), (2, "warning", 0, "first"), (2, "warning", 1, "second"), (3, "error", 0, "ConverterError"), (4, "error", 0, "InputError")]
+    assert tell(lambda: 1 / 0) == [(i, "error", 0, "ZeroDivisionError") for i in (1, 2, 3, 4)]
