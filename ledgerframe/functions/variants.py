@@ -54,6 +54,11 @@ def elements(value: Column) -> Column:
     return F.when(kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
 
 
+def names(value: Column) -> Column:
+    """The fields of an object, null for other kinds."""
+    return F.when(is_object(value), F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+
+
 def _holds(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 

@@ -203,7 +203,7 @@ def _rule(family: str, v: Column, actions: Column, ordered: Column) -> Column:
         ),
         "cleanup-plan": lambda: _all(actions, _cleaned) & ordered & _summary(v, requested=n, planned=eligible, blocked=n - eligible),
         "cleanup-approval": lambda: _all(actions, lambda a: _cleaned(a) & _b(a, ".eligible")) & ordered,
-        "cleanup-audit": lambda: receipt & _all(actions, lambda a: (_s(a, ".status") != "deleted") | ~_b(a, ".after.exists")) & ordered & _summary(v, planned=n, deleted=_number(s, "deleted"), failed=_number(s, "failed"), not_run=_number(s, "not-run")),
+        "cleanup-audit": lambda: receipt & _all(actions, lambda a: (_s(a, ".status") != "deleted") | ~_b(a, ".after.exists")) & ordered & (F.size(V.names(V.at(v, ".summary"))) == 4) & _summary(v, planned=n, deleted=_number(s, "deleted"), failed=_number(s, "failed"), not_run=_number(s, "not-run")),
     }[family]()
 
 
