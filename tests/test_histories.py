@@ -1,7 +1,7 @@
 """Histories of sessions and chains of bindings, odd rows and ties."""
 
 from ledgerframe.operators import histories
-from ledgerframe.plans import executor
+from ledgerframe.plans import executor, history_queries
 
 
 def test_the_table_is_that_of_the_single_session(spark):
@@ -41,3 +41,21 @@ def test_chains(spark):
     got = {r.package: (r.reached, r.broken) for r in histories.chains(spark.createDataFrame(rows, "package string, kind string, sha256 string, bindings map<string,string>, n int")).collect()}
     assert got == {k: v for k, (_, v) in cases.items()}
     assert histories.chains(spark.createDataFrame([], "package string, kind string, sha256 string, bindings map<string,string>")).count() == 0
+
+
+def test_chains_of_odd_reports(spark):
+    full = {"preflight": "f", "approval": "a", "plan": "p", "manifest": "m"}
+    below = lambda k: {x: full[x] for x in histories.CHAIN[histories.CHAIN.index(k) + 1 :]}
+    reports = [(k, full[k], below(k)) for k in full]
+    rows = [("x", "receipt", "r", full), ("x", "receipt", "r", full), ("x", "receipt", "r", {**full, "plan": None}), ("x", "receipt", "s", {**full, "manifest": "n"}), (None, "receipt", "r", full), ("y", "receipt", "r", full)]
+    rows += [("x", *r) for r in reports] + [(None, *r) for r in reports] + [("y", k, s, None if k == "plan" else b) for k, s, b in reports]
+    got = histories.chains(spark.createDataFrame(rows, "package string, kind string, sha256 string, bindings map<string,string>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("x", "r", "manifest", None), ("x", "r", "manifest", None), ("x", "r", "receipt", "preflight: mismatch"), ("x", "s", "receipt", "preflight: mismatch"), (None, "r", "receipt", "preflight: missing"), ("y", "r", "approval", "plan: mismatch"),
+    ], key=str)
+
+
+def test_no_reports_are_broadcast(spark, sf_dir):
+    """Digests are made of narrow columns, so Spark takes their relation for a small one."""
+    plan = history_queries.binding_chains(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 5
