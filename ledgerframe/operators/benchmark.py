@@ -26,14 +26,16 @@ def in_raw_order(text: Column, markers: Column) -> Column:
     return F.forall(at, lambda i: i > 0) & (F.array_sort(at) == at)
 
 
-def table_of(text: Column, expected: Column) -> Column:
+def table_of(text: Column, expected: Column, blanks: str = T.BLANKS) -> Column:
     """struct<class, rows, columns> from all lines with two bars or more: a line of dashes and colons makes them a table, one
     with two cells that are not blank a structured one. rows and columns (the most of such cells) are null where no table is
-    expected; a null text has none."""
+    expected; a null text has none. `blanks` are the characters that do not count at the ends of lines and cells: all
+    white space, unless a caller's rule takes fewer."""
+    bare = lambda value: F.btrim(value, F.lit(blanks))
     barred = F.filter(T.lines(F.coalesce(text, F.lit(""))), lambda line: F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2)
-    trimmed = F.transform(barred, T.trimmed)
+    trimmed = F.transform(barred, bare)
     data = F.filter(trimmed, lambda line: ~line.rlike(_RULE))
-    cells = F.transform(data, lambda line: F.size(F.filter(F.split(F.btrim(line, F.lit("|")), r"\|", -1), lambda c: T.trimmed(c) != "")))
+    cells = F.transform(data, lambda line: F.size(F.filter(F.split(F.btrim(line, F.lit("|")), r"\|", -1), lambda c: bare(c) != "")))
     widest = F.coalesce(F.array_max(cells), F.lit(0))
     kind = F.when(~expected, CLASSES[0]).when((F.size(barred) < 2) | (F.size(data) == F.size(barred)), CLASSES[1]).when(widest >= 2, CLASSES[3]).otherwise(CLASSES[2])
     return F.struct(kind.alias("class"), F.when(expected, F.size(data)).alias("rows"), F.when(expected, widest).alias("columns"))
