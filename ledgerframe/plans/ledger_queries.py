@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, paths
@@ -181,16 +181,19 @@ def failfast_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _repair_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as execution reports with their lines as actions."""
-    n = F.col("l_linenumber")
-    status = F.when(F.col("l_returnflag") == "A", "succeeded").when(F.col("l_returnflag") == "R", "rolled-back").when(F.col("l_linestatus") == "O", "failed").when(n % 2 == 0, "rollback-failed").otherwise("failed-precondition")
     state = lambda there, size: F.struct(there.alias("exists"), size.cast("long").alias("bytes"), F.sha2(size.cast("string").cast("binary"), 256).alias("sha256"))
-    q = F.col("l_partkey")
-    act = F.struct(
-        (n - 1).alias("i"), F.when(n % 2 == 0, "regenerate-sidecar").otherwise("remove-stale-sidecar").alias("action"), F.concat(F.lit("p/"), q.cast("string")).alias("path"), status.alias("status"), F.lit("not-required").alias("rollback"),
-        state(F.lit(True), F.when(q % 5 == 0, None).otherwise(q)).alias("before"), state(F.lit(True), q + F.when(q % 3 == 0, 1).otherwise(0)).alias("after"),
-    )
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(act)).alias("actions"))  # an order's lines: a handful
-    return rows.select("l_orderkey", F.sha2(F.col("l_orderkey").cast("string").cast("binary"), 256).alias("sha256"), "actions")
+
+    def act(line: Column) -> Column:
+        n, q = line["l_linenumber"], line["l_partkey"]
+        status = F.when(line["l_returnflag"] == "A", "succeeded").when(line["l_returnflag"] == "R", "rolled-back").when(line["l_linestatus"] == "O", "failed").when(n % 2 == 0, "rollback-failed").otherwise("failed-precondition")
+        return F.struct(
+            (n - 1).alias("i"), F.when(n % 2 == 0, "regenerate-sidecar").otherwise("remove-stale-sidecar").alias("action"), F.concat(F.lit("p/"), q.cast("string")).alias("path"), status.alias("status"), F.lit("not-required").alias("rollback"),
+            state(F.lit(True), F.when(q % 5 == 0, None).otherwise(q)).alias("before"), state(F.lit(True), q + F.when(q % 3 == 0, 1).otherwise(0)).alias("after"),
+        )
+
+    # An order's lines: a handful. They are shuffled as they are, and digested where they are together.
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")).alias("lines"))
+    return lines.select("l_orderkey", F.sha2(F.col("l_orderkey").cast("string").cast("binary"), 256).alias("sha256"), F.sort_array(F.transform("lines", act)).alias("actions"))
 
 
 def audit_operations(spark: SparkSession, sf_dir: str) -> DataFrame:

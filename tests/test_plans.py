@@ -6,6 +6,7 @@ import pytest
 
 from ledgerframe.operators import ledger, repair
 from ledgerframe.plans import ledger_queries as L
+from ledgerframe.plans import report_queries
 from ledgerframe.sources.shared import settled
 
 
@@ -60,3 +61,12 @@ def test_preflight_without_a_manifest(spark):
     files = spark.createDataFrame([], "path string, bytes long, sha256 string")
     got = repair.preflight(actions, issues, None, files).first()
     assert (got.status, got.block_reason) == ("blocked", "manifest-invalid")
+
+
+@pytest.mark.parametrize("query", [report_queries.undeclared_operations, report_queries.execution_summary, L.audit_operations, L.audit_summary])
+def test_lines_are_collected_as_they_are(spark, sf_dir, query):
+    """Digests are made where an order's lines are together, and those of sources are not broadcast."""
+    plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    collected = [line for line in plan.splitlines() if "partial_collect_list" in line]
+    assert collected and not any("sha2" in line.split("partial_collect_list")[1] for line in collected)
+    assert "Broadcast" not in plan
