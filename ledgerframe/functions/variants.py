@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from . import paths
 
 Test = Callable[[Column], Column]
-#: A test, or fields with theirs; other fields are ignored.
-Shape = Test | dict[str, "Shape"]
+#: A test, fields with theirs (others are ignored), or that of every element of an array.
+Shape = Test | dict[str, "Shape"] | list["Shape"]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def parsed(content: Column) -> Column:
     """The value as VARIANT, null if the text is not one JSON value. Spark's parser stops after a first value, so the text
     is read as the first of two elements, of which the second, its digest, must have been reached."""
-    mark = F.md5(content.cast("binary"))
-    inside = F.try_parse_json(F.concat(F.lit("["), content, F.lit(',"'), mark, F.lit('"]')))
-    return F.when(F.try_variant_get(inside, "$[1]", "string") == mark, at(inside, "[0]"))
+    inside = lambda mark: F.try_parse_json(F.concat(F.lit("["), content, F.lit(',"'), mark, F.lit('"]')))
+    return let(F.md5(content.cast("binary")), lambda mark: let(inside(mark), lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == mark, at(v, "[0]"))))
 
 
 def at(value: Column, path: str) -> Column:
@@ -51,12 +55,12 @@ def boolean(value: Column) -> Column:
 
 def elements(value: Column) -> Column:
     """array<variant> of an array, null for other kinds."""
-    return F.when(kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def names(value: Column) -> Column:
     """The fields of an object, null for other kinds."""
-    return F.when(is_object(value), F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
 def _holds(test: Column) -> Column:
@@ -132,16 +136,33 @@ def maybe(test: Test) -> Test:
     return lambda v: kind(v).isin("VOID", "NOTHING") | test(v)
 
 
-def every(shape: Shape) -> Test:
-    return lambda v: _holds(F.forall(elements(v), lambda e: fits(e, shape)))
+def every(shape: Shape) -> Shape:
+    return [shape]
 
 
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+    """Asked without a look at what the object holds."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
+
+
+def _layout(shape: Shape) -> str:
+    if isinstance(shape, dict):
+        return f"struct<{','.join(f'`{k}`:{_layout(s)}' for k, s in shape.items())}>"
+    return f"array<{_layout(shape[0])}>" if isinstance(shape, list) else "variant"
+
+
+def typed(value: Column, shape: Shape, path: str = "") -> Column:
+    """What a shape names, taken out at once: structs and arrays, null for other kinds, with VARIANTs for its tests."""
+    return F.try_variant_get(value, f"${path}", _layout(shape))
+
+
+def holds(own: Column, shape: Shape) -> Column:
+    """Whether what `typed` took out is as the shape says."""
+    if isinstance(shape, dict):
+        return reduce(lambda a, b: a & b, (holds(own[k], s) for k, s in shape.items()), own.isNotNull())
+    return _holds(F.forall(own, lambda e: holds(e, shape[0]))) if isinstance(shape, list) else shape(own)
 
 
 def fits(value: Column, shape: Shape) -> Column:
     """Whether a value is as a shape says."""
-    if not isinstance(shape, dict):
-        return shape(value)
-    return reduce(lambda a, b: a & b, (fits(at(value, f".{k}"), s) for k, s in shape.items()), is_object(value))
+    return let(typed(value, shape), lambda own: holds(own, shape))

@@ -126,16 +126,8 @@ def _all(actions: Column, test) -> Column:
     return F.forall(actions, lambda a: F.coalesce(test(a), F.lit(False)))
 
 
-def _s(action: Column, path: str) -> Column:
-    return V.string(V.at(action, path))
-
-
-def _b(action: Column, path: str) -> Column:
-    return V.boolean(V.at(action, path))
-
-
-def _state(action: Column, path: str) -> Column:
-    return F.struct(_b(action, f"{path}.exists").alias("exists"), V.number(V.at(action, f"{path}.bytes")).alias("bytes"), _s(action, f"{path}.sha256").alias("sha256"))
+def _state(thing: Column) -> Column:
+    return F.struct(V.boolean(thing["exists"]).alias("exists"), V.number(thing["bytes"]).alias("bytes"), V.string(thing["sha256"]).alias("sha256"))
 
 
 def _whole(s: Column) -> Column:
@@ -144,84 +136,93 @@ def _whole(s: Column) -> Column:
 
 
 def _planned(a: Column) -> Column:
-    kind, reason = _s(a, ".action"), _s(a, ".reason_category")
+    kind, reason = V.string(a["action"]), V.string(a["reason_category"])
     due = F.create_map(*(F.lit(x) for pair in {**_REASONS, "regenerate-manifest": "extra-artifact"}.items() for x in pair))
-    return (_b(a, ".safe") == kind.isin(*_REASONS)) & (F.coalesce(due[kind], reason) == reason)
+    return (V.boolean(a["safe"]) == kind.isin(*_REASONS)) & (F.coalesce(due[kind], reason) == reason)
 
 
 def _cleaned(a: Column) -> Column:
-    bound = lambda f: _s(a, f).isNotNull() == _b(a, ".eligible")
-    none = (V.number(V.at(a, ".backup_files")) == 0) & (V.number(V.at(a, ".backup_bytes")) == 0)
-    return bound(".session_manifest_sha256") & bound(".tree_sha256") & ~_s(a, ".session").isin(".", "..") & (_b(a, ".eligible") | none)
+    bound = lambda f: V.string(a[f]).isNotNull() == V.boolean(a["eligible"])
+    none = (V.number(a["backup_files"]) == 0) & (V.number(a["backup_bytes"]) == 0)
+    return bound("session_manifest_sha256") & bound("tree_sha256") & ~V.string(a["session"]).isin(".", "..") & (V.boolean(a["eligible"]) | none)
 
 
 def _preflighted(a: Column) -> Column:
-    kind, ready, target = _s(a, ".action"), _s(a, ".status") == "ready", _state(a, ".target")
+    kind, ready, target = V.string(a["action"]), V.string(a["status"]) == "ready", _state(a["target"])
     makes = kind == "regenerate-sidecar"
     reason = F.when(makes, "missing-sidecar").otherwise("stale-sidecar")
     fit = F.when(makes, ~target["exists"]).otherwise(target["exists"] & target["sha256"].isNotNull())
-    return (_s(a, ".reason_category") == reason) & (_b(a, ".preconditions.backup_required") == ~makes) & (_s(a, ".target.path") == _s(a, ".path")) & _whole(target) & (_b(a, ".preconditions.package_state_matches") == ready) & (_s(a, ".block_reason").isNull() == ready) & (~ready | fit)
+    return (V.string(a["reason_category"]) == reason) & (V.boolean(a["preconditions"]["backup_required"]) == ~makes) & (V.string(a["target"]["path"]) == V.string(a["path"])) & _whole(target) & (V.boolean(a["preconditions"]["package_state_matches"]) == ready) & (V.string(a["block_reason"]).isNull() == ready) & (~ready | fit)
 
 
 def _executed(a: Column) -> Column:
-    status, before, after = _s(a, ".status"), _state(a, ".before"), _state(a, ".after")
+    status, before, after = V.string(a["status"]), _state(a["before"]), _state(a["after"])
     due = F.create_map(*(F.lit(x) for pair in _ROLLBACKS.items() for x in pair))
     made = ~before["exists"] & after["exists"] & after["sha256"].isNotNull()
     gone = before["exists"] & before["sha256"].isNotNull() & ~after["exists"]
-    done = F.when(_s(a, ".action") == "regenerate-sidecar", made).otherwise(gone)
+    done = F.when(V.string(a["action"]) == "regenerate-sidecar", made).otherwise(gone)
     kept = ~status.isin("failed-precondition", "not-run", "rolled-back") | before.eqNullSafe(after)
-    return (due[status] == _s(a, ".rollback")) & _whole(before) & _whole(after) & kept & ((status != "succeeded") | done)
+    return (due[status] == V.string(a["rollback"])) & _whole(before) & _whole(after) & kept & ((status != "succeeded") | done)
 
 
-def _summary(v: Column, **counts: Column) -> Column:
+def _summary(own: Column, **counts: Column) -> Column:
     """The counts that a report claims are those of its actions."""
-    return reduce(lambda a, b: a & b, (V.number(V.at(v, f".summary.{k}")) == c.cast("long") for k, c in counts.items()))
+    return reduce(lambda a, b: a & b, (V.number(own["summary"][k]) == c.cast("long") for k, c in counts.items()))
 
 
 def _statuses(actions: Column) -> Column:
-    return F.transform(actions, lambda a: _s(a, ".status"))
+    return F.transform(actions, lambda a: V.string(a["status"]))
 
 
 def _number(statuses: Column, *which: str) -> Column:
     return F.size(F.filter(statuses, lambda s: s.isin(*which)))
 
 
-def _rule(family: str, v: Column, actions: Column, ordered: Column) -> Column:
-    """What holds across the fields of a family: its actions, their order, and its summary."""
+#: Families whose actions come in the order of their keys.
+_ORDERED = ("execution", "cleanup-plan", "cleanup-approval", "cleanup-audit")
+
+
+def _rule(family: str, v: Column, own: Column, ordered: Column) -> Column:
+    """What holds across the fields of a family, taken out of the report v: its actions, their order, and its summary."""
+    actions = own[SHAPES[family][1]]
     n, s = F.size(actions), _statuses(actions)
-    eligible = F.size(F.filter(actions, lambda a: _b(a, ".eligible")))
-    manual = F.size(F.filter(actions, lambda a: _s(a, ".action") == "manual-review"))
-    blocked = _number(s, "blocked")
+    eligible = lambda: F.size(F.filter(actions, lambda a: V.boolean(a["eligible"])))
+    manual = lambda: F.size(F.filter(actions, lambda a: V.string(a["action"]) == "manual-review"))
+    blocked = lambda: _number(s, "blocked")
     given = V.at(v, ".intent_receipt")
     receipt = (V.kind(given) == "NOTHING") | V.fits(given, {"schema_version": V.exactly_one, "attempt_id": V.attempt, "sha256": V.digest})
     return {
-        "plan": lambda: _all(actions, _planned) & _summary(v, actions=n, manual_review=manual) & (V.number(V.at(v, ".summary.issues")) >= n),
-        "approval": lambda: _all(actions, lambda a: _planned(a) & _b(a, ".safe")),
-        "preflight": lambda: _all(actions, _preflighted) & _summary(v, actions=n, ready=n - blocked, blocked=blocked),
+        "plan": lambda: _all(actions, _planned) & _summary(own, actions=n, manual_review=manual()) & (V.number(own["summary"]["issues"]) >= n),
+        "approval": lambda: _all(actions, lambda a: _planned(a) & V.boolean(a["safe"])),
+        "preflight": lambda: _all(actions, _preflighted) & _summary(own, actions=n, ready=n - blocked(), blocked=blocked()),
         "execution": lambda: receipt & _all(actions, _executed) & ordered & _summary(
-            v, planned=n, executed=n - _number(s, "not-run"), succeeded=_number(s, "succeeded"), failed=_number(s, "failed-precondition", "failed", "rollback-failed"), rolled_back=_number(s, "rolled-back"), not_run=_number(s, "not-run")
+            own, planned=n, executed=n - _number(s, "not-run"), succeeded=_number(s, "succeeded"), failed=_number(s, "failed-precondition", "failed", "rollback-failed"), rolled_back=_number(s, "rolled-back"), not_run=_number(s, "not-run")
         ),
-        "cleanup-plan": lambda: _all(actions, _cleaned) & ordered & _summary(v, requested=n, planned=eligible, blocked=n - eligible),
-        "cleanup-approval": lambda: _all(actions, lambda a: _cleaned(a) & _b(a, ".eligible")) & ordered,
-        "cleanup-audit": lambda: receipt & _all(actions, lambda a: (_s(a, ".status") != "deleted") | ~_b(a, ".after.exists")) & ordered & (F.size(V.names(V.at(v, ".summary"))) == 4) & _summary(v, planned=n, deleted=_number(s, "deleted"), failed=_number(s, "failed"), not_run=_number(s, "not-run")),
+        "cleanup-plan": lambda: _all(actions, _cleaned) & ordered & _summary(own, requested=n, planned=eligible(), blocked=n - eligible()),
+        "cleanup-approval": lambda: _all(actions, lambda a: _cleaned(a) & V.boolean(a["eligible"])) & ordered,
+        "cleanup-audit": lambda: receipt & _all(actions, lambda a: (V.string(a["status"]) != "deleted") | ~V.boolean(a["after"]["exists"])) & ordered & (F.size(V.names(V.at(v, ".summary"))) == 4) & _summary(own, planned=n, deleted=_number(s, "deleted"), failed=_number(s, "failed"), not_run=_number(s, "not-run")),
     }[family]()
 
 
 def reports(texts: DataFrame, producer: str) -> DataFrame:
     """texts with `issue` in place of content: json, type (report type or version), fields, rule (actions, their order, the
     summary), family (not one of SHAPES), or empty. All families are judged in one pass without a shuffle: a report is a row,
-    its actions an array. Null texts are no JSON; other columns stay. Empty input: no rows."""
+    its actions an array, and all fields of its family are taken out at once. Null texts are no JSON; other columns stay.
+    Empty input: no rows."""
     own = [c for c in texts.columns if c != "content"]
     v, family = F.col("_v"), F.col("family")
     rows = texts.select(*own, V.parsed(F.col("content")).alias("_v"))
-    pick = lambda told: F.coalesce(*(F.when(family == f, told(f)) for f in SHAPES))
-    rows = rows.select("*", pick(lambda f: (V.string(V.at(v, ".report_type")) == report_type(f, producer)) & SHAPES[f][0](V.at(v, ".schema_version"))).alias("_type"), pick(lambda f: V.elements(V.at(v, f".{SHAPES[f][1]}"))).alias("_actions"))
-    rows = rows.select("*", pick(lambda f: V.fits(v, SHAPES[f][2])).alias("_fields"), F.transform("_actions", lambda a: F.coalesce(_s(a, ".session"), _s(a, ".path"))).alias("_names"), F.transform("_actions", lambda a: _s(a, ".action")).alias("_kinds"))
+    pick = lambda told, of=tuple(SHAPES): F.coalesce(*(F.when(family == f, told(f)) for f in of))
+    named = [dict.fromkeys(("session", "path", "action"), V.is_string)]
+    rows = rows.select("*", pick(lambda f: (V.string(V.at(v, ".report_type")) == report_type(f, producer)) & SHAPES[f][0](V.at(v, ".schema_version"))).alias("_type"), pick(lambda f: V.typed(v, named, f".{SHAPES[f][1]}"), _ORDERED).alias("_named"))
+    rows = rows.select("*", F.transform("_named", lambda a: F.coalesce(V.string(a["session"]), V.string(a["path"]))).alias("_names"), F.transform("_named", lambda a: V.string(a["action"])).alias("_kinds"))
     rows = rows.withColumn("_keys", keys.path_keys(F.col("_names")))
     places = F.transform(F.arrays_zip("_keys", "_kinds"), lambda p: F.when(family == "execution", F.concat_ws("\x00", p["_keys"], p["_kinds"])).otherwise(p["_keys"]))
-    ordered = places == F.array_sort(F.array_distinct(places))
-    issue = _first(
-        (~family.isin(*SHAPES), "family"), (v.isNull(), "json"), (~F.coalesce(F.col("_type"), F.lit(False)), "type"), (~F.coalesce(F.col("_fields"), F.lit(False)), "fields"),
-        (~F.coalesce(pick(lambda f: _rule(f, v, F.col("_actions"), ordered)), F.lit(False)), "rule"),
-    )
+    rows = rows.withColumn("_places", places).withColumn("_ordered", F.col("_places") == F.array_sort(F.array_distinct("_places")))
+
+    def judged(f: str) -> Column:
+        sound = lambda test: F.coalesce(test, F.lit(False))
+        return V.let(V.typed(v, SHAPES[f][2]), lambda fields: _first((~sound(V.holds(fields, SHAPES[f][2])), "fields"), (~sound(_rule(f, v, fields, F.col("_ordered"))), "rule")))
+
+    issue = F.when(~family.isin(*SHAPES), "family").when(v.isNull(), "json").when(~F.coalesce(F.col("_type"), F.lit(False)), "type").otherwise(pick(judged))
     return rows.select(*own, issue.alias("issue"))

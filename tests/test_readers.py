@@ -137,3 +137,15 @@ def test_converter_as_a_table_function(spark):
     tell = lambda factory: sorted(map(tuple, docs.lateralJoin(convert.table_function(factory)(F.col("content").outer())).select("i", "kind", "seq", "value").collect()))
     assert tell(lambda: convert_one) == [(1, "text", 0, "plain"), (2, "text", 0, "MORE"), (2, "warning", 0, "first"), (2, "warning", 1, "second"), (3, "error", 0, "ConverterError"), (4, "error", 0, "InputError")]
     assert tell(lambda: 1 / 0) == [(i, "error", 0, "ZeroDivisionError") for i in (1, 2, 3, 4)]
+
+
+def test_reports_are_parsed_once_and_taken_apart_at_once(spark):
+    """Of every family all fields come out in one cast: kinds are asked of single values only."""
+    rows = spark.createDataFrame([("plan", "{}")], "family string, content string")
+    plan = readers.reports(rows, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("variant_get") <= 350
+    shape = {"a": {"b": V.digest, "c": V.maybe(V.count)}, "d": V.every({"e": V.text, "f": {"g": V.flag}})}
+    frame = spark.createDataFrame([(json.dumps(x),) for x in ({"a": {"b": "0" * 64, "c": None}, "d": [{"e": "x", "f": {"g": True}}]}, {"a": {"b": "0" * 64}, "d": []}, {"a": {"b": "0" * 64}, "d": [7]}, {"a": {"b": "0" * 64}, "d": {}}, {"a": [], "d": []}, [1])], "t string")
+    found = frame.select(V.fits(F.parse_json("t"), shape).alias("x"))
+    assert [r.x for r in found.collect()] == [True, True, False, False, False, False]
+    assert found._jdf.queryExecution().analyzed().toString().count("variant_get") == 5  # what is named, at once, and four values
